@@ -98,7 +98,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, shards: int = 1, id_col: str =
     schema = f"{id_col} {pieces.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     keys = [id_col, "piece", "start", "length", "ids_crc32"]
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", id_col, "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="last")
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
         return rows[keys].assign(sequence_id=(int(key[0]) << 40) + bins, offset=offsets)
