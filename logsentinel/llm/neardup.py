@@ -70,8 +70,7 @@ def text_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts, ends, first = K.words(data, offs)
     hashed, at = K.shingles(K.hashes(data, starts, ends), first, WIDTH)
     text = np.repeat(np.arange(len(offs) - 1), np.diff(at))
-    order = np.lexsort((hashed, text))
-    hashed, text = hashed[order], text[order]
+    hashed = K.sort_within(hashed, at)
     keep = np.ones(len(hashed), bool)
     keep[1:] = (hashed[1:] != hashed[:-1]) | (text[1:] != text[:-1])
     hashed, text = hashed[keep], text[keep]

@@ -153,6 +153,16 @@ def shingles(word_hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tupl
     return out, out_first
 
 
+def sort_within(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A copy in which each text's values are sorted."""
+    out = values.copy()
+    at = first.tolist()
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b - a > 1:
+            out[a:b].sort()
+    return out
+
+
 class Memo:
     """Values of 64-bit keys, kept between the batches of a task and bounded in number."""
 

@@ -156,27 +156,48 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_co
     return train(rows.column(text_col).combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.asarray(rows.column("label").to_numpy(), np.int64))
 
 
+class Scorer:
+    """The model in a task: scores of the texts of a batch."""
+
+    def __init__(self, docs: DataFrame, model: dict[str, np.ndarray]):
+        line = model["soft"][:, 1] - model["soft"][:, 0]
+        self.shared = docs.sparkSession.sparkContext.broadcast((model["vectors"] @ line).astype(np.float32))
+        self.bias = float(model["bias"][1] - model["bias"][0])
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        bags = _Bags(*K.utf8(column))
+        z = bags.texts(bags.windows(self.shared.value.astype(np.float64)))
+        return 1 / (1 + np.exp(-np.clip(z + self.bias, -500, 500)))
+
+
 def predict(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row: the softmax's probability of the toxic class, for the soft maximum of the text's windows.
 
     A text without words (null, empty) gets the softmax of the bias alone; repeated rows a row each; null ids
     stay null; an empty table gives an empty result; other columns are not read.
     """
-    line = model["soft"][:, 1] - model["soft"][:, 0]
-    shared = docs.sparkSession.sparkContext.broadcast((model["vectors"] @ line).astype(np.float32))
-    bias = float(model["bias"][1] - model["bias"][0])
+    scorer = Scorer(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = shared.value.astype(np.float64)
         for batch in batches:
             for part in K.slices(batch, text_col):
-                bags = _Bags(*K.utf8(part.column(text_col)))
-                z = bags.texts(bags.windows(scores))
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(1 / (1 + np.exp(-np.clip(z + bias, -500, 500))))], names=[id_col, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(scorer(part.column(text_col)))], names=[id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score under ``threshold``, all columns as they are, in one pass without a shuffle."""
+    scorer = Scorer(docs, fit(docs, labels, id_col=id_col, text_col=text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch, text_col):
+                yield part.filter(pa.array(scorer(part.column(text_col)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) for every row; see ``fit`` and ``predict``."""
     scored = predict(docs, fit(docs, labels, folds, held, id_col, text_col), id_col, text_col)
