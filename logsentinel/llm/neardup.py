@@ -7,11 +7,10 @@
 2. Texts with equal sets become one vertex (its smallest id), so copies never meet in a bucket.
 3. Star-shaped candidates: a bucket's centre is its most connected member (members of a bucket
    count for each other over all bands); each member is paired with the centre only. Pairs are
-   confirmed on full sets, and components contracted. In later rounds a bucket is a star of its
-   components' representatives.
-4. What a star can't see is done exactly: for buckets that still hold several components, vertices
-   which share too few of their shingles with any other open vertex are excluded by a bound that
-   can't exclude a link, and the open pairs across components are confirmed on full sets.
+   confirmed on full sets, and components contracted.
+4. What a star can't see is done exactly: in buckets that still hold several components, vertices and
+   pairs are excluded by upper bounds of an intersection, which can't exclude a link, and the
+   remaining pairs across components are confirmed on full sets.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**40 = 2.5e-7.
 """
@@ -35,7 +34,8 @@ BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 WIDTH = 5
 PERCENT = 75
-STAR_ROUNDS = 2
+#: Rounds of bounds before the remaining pairs are compared, and the parts of all hashes in the last bound.
+NARROWING, GROUPS = 2, 64
 
 
 @lru_cache(maxsize=1)
@@ -163,16 +163,22 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(spread, "bucket", "left_semi")
 
 
-def _possible(sets: DataFrame) -> DataFrame:
-    """Vertices that may have a link: enough of their shingles occur in another open vertex, too.
+def _narrow(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members that may still have a link across components, and their sets with ``common``.
 
-    If a share s of a set occurs nowhere else, no partner reaches a similarity over 1 - s.
+    ``common`` counts the shingles that occur in another open vertex too, so no intersection is larger, and
+    ``groups`` counts them by GROUPS parts of all hashes, so none is larger than the sum of the smaller counts.
+    A link between sets of n and m shingles needs an intersection of PERCENT / (100 + PERCENT) of n + m at least.
     """
-    for _ in range(2):
-        shared = sets.select("node", "n", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-        enough = sets.select("node", "n", F.explode("shingles").alias("h")).join(shared, "h", "left_semi").groupBy("node", "n").agg(F.count("*").alias("common")).where(f"100 * common >= {PERCENT} * n").select("node")
-        sets = checkpoint(sets.join(enough, "node", "left_semi"))
-    return sets
+    open_sets = sets.select("node", "n", "shingles").join(members.select("node").distinct(), "node", "left_semi")
+    flat = open_sets.select("node", F.explode("shingles").alias("h"))
+    shared = flat.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    common = flat.join(shared, "h", "left_semi").groupBy("node").agg(F.count("*").alias("common"), F.array(*[F.count_if(F.pmod("h", F.lit(GROUPS)) == g).cast("int") for g in range(GROUPS)]).alias("groups"))
+    open_sets = checkpoint(open_sets.join(common, "node").where(f"100 * common >= {PERCENT} * n"))
+    sized = members.select("bucket", "node", "comp").join(open_sets.select("node", "n", "common", "groups"), "node")
+    around = sized.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least"), F.max("common").alias("most")).where("x < y")
+    able = sized.join(around, "bucket").where(f"{100 + PERCENT} * least(common, most) >= {PERCENT} * (n + greatest(least, n * {PERCENT} / 100))")
+    return checkpoint(able.select("bucket", "node", "comp", "n", "common", "groups")), open_sets
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -186,22 +192,18 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     degree = members.groupBy("node").agg(F.sum("mates").alias("degree"))
     members = checkpoint(members.drop("mates").join(degree, "node").withColumn("comp", F.col("node")))
     sets = checkpoint(shingle_sets(docs.join(degree.select("node"), "node", "left_semi")))
-    tested, found = None, None
-    for _ in range(STAR_ROUNDS):
-        pairs = _stars(members)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        good = checkpoint(_confirm(pairs, sets))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = good if found is None else found.unionByName(good)
-        members = checkpoint(_open(_with_components(members, components(found))))
-    open_sets = _possible(sets.join(members.select("node").distinct(), "node", "left_semi"))
-    rest = _open(members.join(open_sets.select("node", "n"), "node")).select("bucket", "node", "comp", "n")
-    x = rest.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    y = rest.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    crossing = x.join(y, "bucket").where(f"a < b AND ca <> cb AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
-    return checkpoint(found.unionByName(_confirm(crossing.join(tested, ["a", "b"], "left_anti"), open_sets)))
+    tested = checkpoint(_stars(members))
+    found = checkpoint(_confirm(tested, sets))
+    members = checkpoint(_open(_with_components(members, components(found))))
+    for _ in range(NARROWING):
+        members, sets = _narrow(members, sets)
+    x, y = (members.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "n", "common", "groups"))) for side in "ab")
+    needed = F.col("n_a") + F.col("n_b")
+    bound = F.aggregate(F.zip_with("groups_a", "groups_b", lambda p, q: F.least(p, q)), F.lit(0), lambda t, g: t + g)
+    able = F.expr(f"node_a < node_b AND comp_a <> comp_b AND 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    able = able & ((100 + PERCENT) * F.least("common_a", "common_b") >= PERCENT * needed) & ((100 + PERCENT) * bound >= PERCENT * needed)
+    crossing = x.withColumnRenamed("bucket", "own").join(y, (F.col("own") == F.col("bucket")) & able).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return checkpoint(found.unionByName(_confirm(crossing.join(tested, ["a", "b"], "left_anti"), sets)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
