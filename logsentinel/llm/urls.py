@@ -31,18 +31,23 @@ def build_filter(spark: SparkSession, rules: Iterable[tuple[str, str, str]], fol
     Of rules with equal host and path the last counts. Hosts are lower-cased.
     """
     table = sorted({host.translate(_LOWER) + path: (verdict, len(path)) for host, path, verdict in rules}.items(), key=lambda r: xxhash.xxh64_intdigest(r[0]))
-    folder = folder or tempfile.mkdtemp(prefix="url-filter-")
     digests = np.array([xxhash.xxh64_intdigest(r) for r, _ in table], "<u8")
     name = f"urlfilter-{xxhash.xxh64_hexdigest(json.dumps(table))}"
+    if (spark.sparkContext.applicationId, name) in _SHIPPED:
+        return name
+    folder = folder or tempfile.mkdtemp(prefix="url-filter-")
     digests.tofile(os.path.join(folder, name + ".keys"))
     strings = [r.encode() for r, _ in table]
     with open(os.path.join(folder, name + ".json"), "w") as f:
         json.dump({"ends": np.cumsum([len(s) for s in strings]).tolist(), "strings": b"".join(strings).decode(), "verdicts": [v for _, (v, _) in table], "paths": sorted({n for _, (_, n) in table})}, f)
     for ext in (".keys", ".json"):
         spark.sparkContext.addFile(os.path.join(folder, name + ext))
+    _SHIPPED.add((spark.sparkContext.applicationId, name))
     return name
 
 
+#: (application, filter) whose files Spark has; a file name can be added once.
+_SHIPPED: set[tuple[str, str]] = set()
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 

@@ -143,6 +143,10 @@ def test_decontamination_odd_rows(spark):
     assert len(none) == 6 and not any(r["contaminated"] for r in none)
 
 
+def test_filter_is_shipped_once(spark):
+    assert urls.build_filter(spark, urls.RULES) == urls.build_filter(spark, urls.RULES)
+
+
 def test_url_parts():
     assert urls.split_url("HTTP://A.Example.COM/en/x?y#z") == ("a.example.com", "/en/x")
     assert urls.split_url("no scheme") == urls.split_url(None) == ("", "")
