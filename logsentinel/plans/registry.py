@@ -455,6 +455,9 @@ def _(spark, d):
     return L.dft(_season(spark, d, "hour"), "path", 24)
 
 
+from logsentinel.plans import more  # noqa: E402, F401  registers the rest
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
