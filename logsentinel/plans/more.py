@@ -140,12 +140,12 @@ def _(spark, d):
     return P.throttle_report(found, R.throttle(found, seconds=DAY // 1000))
 
 
-WEIGHED = [("server_error", "status >= 500", 60.0), ("denied", "status IN (401, 403)", 50.0), ("slow", "request_time_s > 5", 40.0), ("large", "bytes_sent > 500000", 30.0)]
+WEIGHED = [("server_error", "status >= 500", 60.0), ("denied", "status IN (401, 403)", 50.0), ("slow", "request_time_s > 1", 40.0), ("large", "bytes_sent > 50000", 30.0)]
 
 
-@query("rule_set", with_log("SELECT line_no, ip, CAST(total AS DOUBLE) AS total, rules FROM (SELECT line_no, ip, " + " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0.0 END" for _, c, w in WEIGHED) + " AS total, concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in WEIGHED) + ") AS rules FROM al) WHERE total >= 90"))
+@query("rule_set", with_log("SELECT line_no, ip, CAST(total AS DOUBLE) AS total, rules FROM (SELECT line_no, ip, " + " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0.0 END" for _, c, w in WEIGHED) + " AS total, concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in WEIGHED) + ") AS rules FROM al) WHERE total >= 70"))
 def _(spark, d):
-    return P.weigh_rules(Q.log(spark, d), WEIGHED, 90.0)
+    return P.weigh_rules(Q.log(spark, d), WEIGHED, 70.0)
 
 
 @query("alert_json")
