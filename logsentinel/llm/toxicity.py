@@ -2,9 +2,9 @@
 
 A word is the average of the vectors of its character n-grams (3 to 5 bytes, with word boundaries)
 and of itself, all hashed into ``BUCKETS`` vectors, so misspellings share most vectors with their
-word. Windows of ``WINDOW`` words are averaged into a softmax of two classes; a text has the soft maximum of
-its windows, so a short remark counts in a long text. Vectors and softmax are trained jointly in numpy on
-a bounded sample of labelled rows.
+word. Every run of ``WINDOW`` words is averaged into a softmax of two classes; a text has the maximum of its
+windows, so a short remark counts in a long text, and texts that are joined score as the worst of them, but for
+the windows across the seams. Vectors and softmax are trained jointly in numpy on a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ from .labelled import fold, sample
 
 BUCKETS, DIM, WINDOW = 1 << 18, 8, 8
 GRAMS = (3, 4, 5)
-#: Bounds of the sample that the model is fitted on: ids of each label, bytes of a text.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_TEXT_BYTES = 2000, 4000, 32_768
+#: Bounds of the sample that the model is fitted on: ids of each label, bytes of all texts of each label.
+TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
+TRAIN_BYTES = {1: 8 << 20, 0: 16 << 20}
+#: Bytes that a row counts for at least.
+ROW_BYTES = 16
 STEPS, RATE, DECAY = 100, 0.05, 1e-5
 #: Subwords of fewer training texts keep a zero vector, and so many labels are taken to be wrong.
 LEAST_TEXTS, NOISE = 5, 0.03
@@ -57,25 +60,23 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 class _Bags:
-    """Distinct words of some texts with their subwords, the words' places in windows, and the windows of texts."""
+    """Distinct words of some texts with their subwords, the words' places in texts, and the windows that begin at them."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         data = K.LOWER[data]
         starts, ends, first = K.words(data, offs, SEP)
         _, at, self.word = np.unique(K.hashes(data, starts, ends), return_index=True, return_inverse=True)
         self.gram, self.gram_first = subwords(data, starts[at], ends[at])
-        count = np.diff(first)
-        wins = -(-count // WINDOW)
-        self.text_first = np.concatenate([[0], np.cumsum(wins)]).astype(np.int64)
-        step = np.arange(int(self.text_first[-1])) - np.repeat(self.text_first[:-1], wins)
-        self.win_first = np.repeat(first[:-1], wins) + step * WINDOW
-        self.win_size = np.maximum(np.diff(np.append(self.win_first, len(starts))), WINDOW // 4).astype(float)
-        self.has = wins > 0
+        self.count = np.diff(first)
+        self.has = self.count > 0
+        self.first, self.size = first[:-1][self.has], self.count[self.has]
+        #: Words that begin a window: all but the last ones of a text; of a text shorter than a window the first one.
+        self.full = np.repeat(first[1:], self.count) - np.arange(len(starts)) >= WINDOW
+        self.short = self.size < WINDOW
 
     def common_subwords(self, least: int) -> np.ndarray:
         """Buckets of at least so many texts."""
-        text = np.repeat(np.arange(len(self.has)), np.diff(self.text_first))
-        of_word = np.repeat(text, np.diff(np.append(self.win_first, len(self.word))))
+        of_word = np.repeat(np.arange(len(self.has)), self.count)
         words = len(self.gram_first) - 1
         pair = np.unique(of_word * words + self.word)
         seen = np.zeros(BUCKETS, np.int64)
@@ -86,25 +87,30 @@ class _Bags:
         return np.flatnonzero(seen >= least)
 
     def windows(self, bucket_scores: np.ndarray) -> np.ndarray:
-        """Average of each window's words, these the average of their subwords."""
+        """For each word the average of the window that begins at it; words are the average of their subwords."""
         if not len(self.word):
             return np.zeros(0)
-        word = np.add.reduceat(bucket_scores[self.gram], self.gram_first[:-1]) / np.diff(self.gram_first)
-        return np.add.reduceat(word[self.word], self.win_first) / self.win_size
+        return self.slide(np.add.reduceat(bucket_scores[self.gram], self.gram_first[:-1]) / np.diff(self.gram_first))
+
+    def slide(self, word: np.ndarray) -> np.ndarray:
+        """Averages of windows for scores of the distinct words; -inf where no window begins."""
+        word = word[self.word]
+        out = word.copy()
+        for k in range(1, min(WINDOW, len(word))):
+            out[:-k] += word[k:]
+        out /= WINDOW
+        out[~self.full] = -np.inf
+        out[self.first[self.short]] = np.add.reduceat(word, self.first)[self.short] / np.maximum(self.size[self.short], WINDOW // 4)
+        return out
 
     def texts(self, windows: np.ndarray) -> np.ndarray:
-        """Soft maximum of each text's windows; 0 for a text without words."""
+        """Maximum of each text's windows, whatever their number; 0 for a text without words."""
         out = np.zeros(len(self.has))
         if len(windows):
-            out[self.has] = _soft_maximum(windows, self.text_first[:-1][self.has])
+            out[self.has] = np.maximum.reduceat(windows, self.first)
         return out
 
 
-def _soft_maximum(z: np.ndarray, first: np.ndarray) -> np.ndarray:
-    top = np.maximum.reduceat(z, first)
-    return top + np.log(np.add.reduceat(np.exp(z - np.repeat(top, np.diff(np.append(first, len(z))))), first))
-
-
 def train(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     """Vectors (BUCKETS, DIM) and softmax (DIM, 2), (2,), by Adam on all texts at once.
 
@@ -121,23 +127,30 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> dict[str, np.nd
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     many = np.diff(bags.gram_first)
-    keep = place[bags.gram] >= 0
-    gram, of_word = place[bags.gram[keep]], np.repeat(np.arange(len(many)), many)[keep]
-    weight = 1.0 / many
-    first, per = bags.text_first[:-1][bags.has], np.diff(np.append(bags.win_first, len(bags.word)))
-    wins = np.diff(np.append(first, bags.text_first[-1]))
+    gram = place[bags.gram]
+    keep = gram >= 0
+    kept, gram = np.add.reduceat(keep, bags.gram_first[:-1], dtype=np.int64), gram[keep]
+    bags.gram = keep = None
+    known, weight = np.flatnonzero(kept), 1.0 / many
+    known_first = np.cumsum(kept[known]) - kept[known]
+    long = np.minimum(bags.size, WINDOW)
+    step_in = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
     y = NOISE + (1 - 2 * NOISE) * y
     p = {"vectors": rng.normal(0, 0.1, (len(used), DIM)), "soft": rng.normal(0, 1.0, (DIM, 2)), "bias": out["bias"] - [0, 3.0]}
     mean, var = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     for step in range(1, STEPS + 1):
         line = p["soft"][:, 1] - p["soft"][:, 0]
-        word = np.bincount(of_word, weights=(p["vectors"] @ line)[gram], minlength=len(many)) * weight
-        z = np.add.reduceat(word[bags.word], bags.win_first) / bags.win_size
-        text = _soft_maximum(z, first)
+        word = np.zeros(len(many))
+        if len(known):
+            word[known] = np.add.reduceat((p["vectors"] @ line)[gram], known_first) * weight[known]
+        z = bags.slide(word)
+        text = np.maximum.reduceat(z, bags.first)
+        top = np.flatnonzero(z == np.repeat(text, bags.size))
+        top = top[np.searchsorted(top, bags.first)]
         err = (1 / (1 + np.exp(-np.clip(text + p["bias"][1] - p["bias"][0], -30, 30))) - y) / len(y)
-        grad_z = np.repeat(err, wins) * np.exp(z - np.repeat(text, wins))
-        word = np.bincount(bags.word, weights=np.repeat(grad_z / bags.win_size, per), minlength=len(many)) * weight
-        g = np.bincount(gram, weights=word[of_word], minlength=len(used))
+        share_of_word = np.repeat(err / np.maximum(long, WINDOW // 4), long)
+        word = np.bincount(bags.word[np.repeat(top, long) + step_in], weights=share_of_word, minlength=len(many)) * weight
+        g = np.bincount(gram, weights=np.repeat(word, kept), minlength=len(used))
         own = p["vectors"].T @ g
         grads = {"vectors": g[:, None] * line + DECAY * p["vectors"], "soft": np.stack([-own, own], axis=1), "bias": np.array([-err.sum(), err.sum()])}
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
@@ -150,9 +163,19 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> dict[str, np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
-    """The model from at most TRAIN_TOXIC and TRAIN_CLEAN ids of the labels whose crc32 of the id modulo ``folds`` is not ``held``."""
+    """The model from at most TRAIN_TOXIC and TRAIN_CLEAN ids of the labels whose crc32 of the id modulo ``folds`` is not ``held``.
+
+    Texts of any length are learned from; an id is passed over where its rows don't fit what is left of TRAIN_BYTES.
+    """
     picked = sample(docs.select(id_col, text_col), labels, "toxic", folds, held, {1: TRAIN_TOXIC, 0: TRAIN_CLEAN}, id_col)
-    rows = picked.where(F.octet_length(text_col) <= TRAIN_TEXT_BYTES).orderBy(id_col, F.xxhash64(text_col)).select(text_col, "label").toArrow()
+    bytes_of = F.sum(F.greatest(F.octet_length(text_col), F.lit(ROW_BYTES)))
+    left, over = dict(TRAIN_BYTES), []
+    for i, label, n in picked.groupBy(id_col, "label").agg(bytes_of).orderBy(F.xxhash64(id_col), id_col).collect():
+        if n > left[label]:
+            over.append(i)
+        else:
+            left[label] -= n
+    rows = picked.where(~F.col(id_col).isin(over)).orderBy(id_col, F.xxhash64(text_col)).select(text_col, "label").toArrow()
     return train(rows.column(text_col).combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.asarray(rows.column("label").to_numpy(), np.int64))
 
 
@@ -171,7 +194,7 @@ class Scorer:
 
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row: the softmax's probability of the toxic class, for the soft maximum of the text's windows.
+    """(id, score) for every row: the softmax's probability of the toxic class, for the maximum of the text's windows.
 
     A text without words (null, empty) gets the softmax of the bias alone; repeated rows a row each; null ids
     stay null; an empty table gives an empty result; other columns are not read.
