@@ -28,7 +28,7 @@ from pyspark.sql.window import Window as W
 
 from . import textkit as K
 from .graph import components
-from .session import checkpoint
+from .session import checkpoint, stored
 
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
@@ -234,9 +234,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one id of each component (rows that repeat that id all stay)."""
-    gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of ``docs`` that stay: exactly one of each component, the one with the smallest id (null ids come last).
+
+    Rows are numbered in a stored copy, so rows that repeat an id and rows without one are documents of their own.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    comps = near_duplicates(rows, "__row", text_col).select("__row", "component_id")
+    first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))).getField("__row")
+    kept = rows.select("__row", id_col).join(comps, "__row").groupBy("component_id").agg(first.alias("__row")).select("__row")
+    return rows.join(kept, "__row", "left_semi").drop("__row")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

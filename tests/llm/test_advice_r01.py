@@ -6,8 +6,8 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 
+from logsentinel.llm import decontam, neardup, toxicity
 from logsentinel.llm import textkit as K
-from logsentinel.llm import toxicity
 
 
 def test_toxicity_does_not_grow_with_length(spark):
@@ -52,3 +52,18 @@ def test_toxicity_windows_are_all_runs_of_words():
     at = score[bags.word]
     runs = [at[i : i + toxicity.WINDOW].mean() for i in range(len(words) - toxicity.WINDOW + 1)]
     assert np.allclose(bags.texts(bags.slide(score)), [max(runs), 0, at[20:23].mean(), at[23] / 2])
+
+
+def test_drops_judge_rows_and_not_ids(spark):
+    rng = random.Random(6)
+    prose = lambda: " ".join(f"{rng.choice('bdfgk')}{rng.choice('aeiou')}{rng.randrange(10**6)}" for _ in range(60))
+    leak, clean, other, copied = (prose() for _ in range(4))
+    benchmark = spark.createDataFrame([("b1", " ".join(leak.split()[20:40]))], "item_id string, text string")
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    rows = [(None, leak, "a"), (1, leak, "b"), (1, clean, "c"), (2, leak, "d"), (2, None, "e"), (None, clean, "f"), (3, "", "g")]
+    left = decontam.drop_contaminated(table(rows), benchmark)
+    assert left.columns == ["doc_id", "text", "source"] and sorted(r.source for r in left.collect()) == ["c", "e", "f", "g"]
+    near = copied + " end"
+    rows = [(5, copied, "a"), (5, copied, "a"), (7, copied, "b"), (None, near, "c"), (None, near, "c"), (9, clean, "d"), (9, other, "e"), (None, leak, "f"), (None, leak, "f"), (8, None, "g"), (None, "", "h")]
+    left = neardup.drop_near_duplicates(table(rows))
+    assert left.columns == ["doc_id", "text", "source"] and sorted(r.source for r in left.collect()) == ["a", "d", "e", "f", "g", "h"]
