@@ -11,9 +11,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None,
         for batch in batches:
             for part in K.slices(batch, text_col):
                 values, first = coder.units(*K.utf8(part.column(text_col)))
-                tokens = per_text(values & 0xFFFFFF, first)
+                tokens = per_text(coder.lengths(values), first)
                 stop = np.cumsum(tokens + 1)
                 ids = np.full(int(stop[-1]) if len(stop) else 0, end_id, "<u4")
                 body = np.ones(len(ids), bool)
@@ -98,13 +98,14 @@ def pack(pieces: DataFrame, capacity: int = 2048, shards: int = 1, id_col: str =
     schema = f"{id_col} {pieces.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     keys = [id_col, "piece", "start", "length", "ids_crc32"]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", id_col, "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="last")
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        order = [("length", "descending"), (id_col, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        rows = rows.select(keys).take(pc.sort_indices(rows, sort_keys=order, null_placement="at_end"))
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
-        return rows[keys].assign(sequence_id=(int(key[0]) << 40) + bins, offset=offsets)
+        return rows.append_column("sequence_id", pa.array((key[0].as_py() << 40) + bins)).append_column("offset", pa.array(offsets))
 
     shard = F.pmod(F.xxhash64(*keys), F.lit(max(1, shards))).alias("shard")
-    return pieces.select(*keys, shard).groupBy("shard").applyInPandas(run, schema)
+    return pieces.select(*keys, shard).groupBy("shard").applyInArrow(run, schema)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

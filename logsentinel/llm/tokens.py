@@ -36,13 +36,15 @@ class Encoder:
     def __init__(self, path: str, ids: bool = False, limit: int = 2_000_000):
         self.tokenizer, self.ids, self.memo = _tokenizer(path), ids, K.Memo(limit)
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        #: Places in the pool of the units that are kept (n + 1, in the order of their numbers), and how many are.
+        self.bounds = np.zeros(1 << 12, np.int64)
+        self.used = self.kept = 0
 
     def _encode(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def units(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A value for each unit (its length, or place in the pool << 24 | length) and each text's first unit."""
+        """A value for each unit (its length, or its number where ids are kept) and each text's first unit."""
         starts, ends, first = K.units(data, offs)
         h = K.hashes(data, starts, ends)
         uniq, at, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -51,7 +53,7 @@ class Encoder:
             missing = np.flatnonzero(~known)
             if self.memo.full(len(missing)):
                 self.memo.clear()
-                self.used, missing = 0, np.arange(len(uniq))
+                self.used, self.kept, missing = 0, 0, np.arange(len(uniq))
             new = np.zeros(len(missing), np.int64)
             raw = data.tobytes()
             for lo in range(0, len(missing), 8192):
@@ -71,15 +73,20 @@ class Encoder:
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), np.uint32)])
         self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        begin = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        self.used += total
-        if len(sizes) and sizes.max() >= 1 << 24:
-            raise ValueError("a unit without white space has over 16 million tokens")
-        return begin << 24 | sizes
+        numbers = self.kept + np.arange(len(sizes))
+        if self.kept + len(sizes) >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros(max(len(sizes), len(self.bounds)), np.int64)])
+        self.bounds[numbers + 1] = self.used + np.cumsum(sizes)
+        self.used, self.kept = self.used + total, self.kept + len(sizes)
+        return numbers
+
+    def lengths(self, values: np.ndarray) -> np.ndarray:
+        """The numbers of tokens of units."""
+        return self.bounds[values + 1] - self.bounds[values] if self.ids else values
 
     def ids_of(self, values: np.ndarray) -> np.ndarray:
         """The ids of units, one after the other."""
-        size, begin = values & 0xFFFFFF, values >> 24
+        size, begin = self.lengths(values), self.bounds[values]
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0
         return self.pool[np.repeat(begin - (stop - size), size) + np.arange(total)]

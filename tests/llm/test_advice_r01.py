@@ -4,9 +4,10 @@ import random
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
-from logsentinel.llm import decontam, neardup, toxicity
+from logsentinel.llm import decontam, neardup, packing, tokens, toxicity
 from logsentinel.llm import textkit as K
 
 
@@ -67,3 +68,23 @@ def test_drops_judge_rows_and_not_ids(spark):
     rows = [(5, copied, "a"), (5, copied, "a"), (7, copied, "b"), (None, near, "c"), (None, near, "c"), (9, clean, "d"), (9, other, "e"), (None, leak, "f"), (None, leak, "f"), (8, None, "g"), (None, "", "h")]
     left = neardup.drop_near_duplicates(table(rows))
     assert left.columns == ["doc_id", "text", "source"] and sorted(r.source for r in left.collect()) == ["a", "d", "e", "f", "g", "h"]
+
+
+def test_packing_keeps_large_ids_beside_null_ones(spark):
+    ids = [2**53 + 1, None, 2**62 + 3, 7, -(2**60) - 1]
+    docs = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    got = [r.doc_id for r in packing.pack_documents(docs).collect()]
+    assert sorted(got, key=str) == sorted(ids, key=str)
+
+
+def test_units_of_over_16_million_tokens(monkeypatch):
+    class Encoded:
+        def __init__(self, ids):
+            self.ids = ids
+
+    long = np.arange((1 << 24) + 5, dtype=np.uint32)
+    coder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    monkeypatch.setattr(coder, "_encode", lambda texts: [Encoded(long if t.strip() == "long" else np.array([1, 2])) for t in texts])
+    values, first = coder.units(*K.utf8(pa.array(["long", "a", "", "long"])))
+    assert tokens.per_text(coder.lengths(values), first).tolist() == [len(long), 2, 0, len(long)]
+    assert np.array_equal(coder.ids_of(values), np.concatenate([long, [1, 2], long]))
