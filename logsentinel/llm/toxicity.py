@@ -4,12 +4,14 @@ A word is the average of the vectors of its character n-grams (3 to 5 bytes, wit
 and of itself, all hashed into ``BUCKETS`` vectors, so misspellings share most vectors with their
 word. Every run of ``WINDOW`` words is averaged into a softmax of two classes; a text has the maximum of its
 windows, so a short remark counts in a long text, and texts that are joined score as the worst of them, but for
-the windows across the seams. Vectors and softmax are trained jointly in numpy on a bounded sample of labelled rows.
+the windows across the seams. Windows are an extension of averaging the whole text (``window=None``); the README has the
+figures of folds inside the training rows on which it was chosen. Vectors and softmax are trained jointly in numpy on a
+bounded sample of labelled rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,137 +61,190 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return out, first
 
 
-class _Bags:
-    """Distinct words of some texts with their subwords, the words' places in texts, and the windows that begin at them."""
+class Bags:
+    """Distinct words of some texts with their subwords, and for each text its words; built slice by slice.
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
-        data = K.LOWER[data]
-        starts, ends, first = K.words(data, offs, SEP)
-        _, at, self.word = np.unique(K.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        self.gram, self.gram_first = subwords(data, starts[at], ends[at])
-        self.count = np.diff(first)
+    ``parts`` are byte and offset arrays (``textkit.utf8``). Windows of ``window`` words begin at all words of a text but the
+    last ones; a text shorter than a window is one. Without a window a text is averaged whole.
+    """
+
+    def __init__(self, parts: Iterable[tuple[np.ndarray, np.ndarray]], window: int | None = WINDOW, least: int = 0):
+        known, gram, many = K.Memo(1 << 62), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        word, count, seen = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], np.zeros(BUCKETS, np.int32)
+        self.window, self.words = window, 0
+        for data, offs in parts:
+            data = K.LOWER[data]
+            starts, ends, first = K.words(data, offs, SEP)
+            u, at, back = np.unique(K.hashes(data, starts, ends), return_index=True, return_inverse=True)
+            ids, old = known.find(u)
+            fresh = np.flatnonzero(~old)
+            g, f = subwords(data, starts[at[fresh]], ends[at[fresh]])
+            ids[fresh] = self.words + np.arange(len(fresh))
+            known.add(u[fresh], ids[fresh])
+            self.words += len(fresh)
+            gram.append(g.astype(np.int32))
+            many.append(np.diff(f))
+            word.append(ids[back].astype(np.int32))
+            count.append(np.diff(first))
+            if least:
+                of, at = subwords(data, starts[at], ends[at])
+                for t in np.split(back, first[1:-1]):
+                    t = np.unique(t)
+                    n = np.diff(at)[t]
+                    seen[np.unique(of[np.repeat(at[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])] += 1
+        self.gram, many, self.word, self.count = map(np.concatenate, (gram, many, word, count))
+        self.gram_first = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
+        #: Buckets of at least ``least`` texts.
+        self.common = np.flatnonzero(seen >= least)
         self.has = self.count > 0
-        self.first, self.size = first[:-1][self.has], self.count[self.has]
-        #: Words that begin a window: all but the last ones of a text; of a text shorter than a window the first one.
-        self.full = np.repeat(first[1:], self.count) - np.arange(len(starts)) >= WINDOW
-        self.short = self.size < WINDOW
-
-    def common_subwords(self, least: int) -> np.ndarray:
-        """Buckets of at least so many texts."""
-        of_word = np.repeat(np.arange(len(self.has)), self.count)
-        words = len(self.gram_first) - 1
-        pair = np.unique(of_word * words + self.word)
-        seen = np.zeros(BUCKETS, np.int64)
-        for t in np.split(pair % words, np.flatnonzero(np.diff(pair // words)) + 1):
-            many = self.gram_first[t + 1] - self.gram_first[t]
-            at = np.repeat(self.gram_first[t] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            seen[np.unique(self.gram[at])] += 1
-        return np.flatnonzero(seen >= least)
-
-    def windows(self, bucket_scores: np.ndarray) -> np.ndarray:
-        """For each word the average of the window that begins at it; words are the average of their subwords."""
-        if not len(self.word):
-            return np.zeros(0)
-        return self.slide(np.add.reduceat(bucket_scores[self.gram], self.gram_first[:-1]) / np.diff(self.gram_first))
+        last = np.cumsum(self.count)
+        self.first, self.size = (last - self.count)[self.has], self.count[self.has]
+        if window:
+            self.full = np.repeat(last.astype(np.int32), self.count) - np.arange(len(self.word), dtype=np.int32) >= window
+            self.short = self.size < window
+
+    def of_words(self, bucket_scores: np.ndarray) -> np.ndarray:
+        """A word is the average of its subwords."""
+        if not self.words:
+            return np.zeros(0, np.float32)
+        return np.add.reduceat(bucket_scores[self.gram], self.gram_first[:-1]) / np.diff(self.gram_first)
 
     def slide(self, word: np.ndarray) -> np.ndarray:
-        """Averages of windows for scores of the distinct words; -inf where no window begins."""
-        word = word[self.word]
+        """For scores of the distinct words the averages of the windows by their first words; -inf where none begins."""
+        word = word.astype(np.float32)[self.word]
         out = word.copy()
-        for k in range(1, min(WINDOW, len(word))):
+        for k in range(1, min(self.window, len(word))):
             out[:-k] += word[k:]
-        out /= WINDOW
+        out /= self.window
         out[~self.full] = -np.inf
-        out[self.first[self.short]] = np.add.reduceat(word, self.first)[self.short] / np.maximum(self.size[self.short], WINDOW // 4)
+        out[self.first[self.short]] = np.add.reduceat(word, self.first)[self.short] / np.maximum(self.size[self.short], self.window // 4)
         return out
 
-    def texts(self, windows: np.ndarray) -> np.ndarray:
-        """Maximum of each text's windows, whatever their number; 0 for a text without words."""
+    def texts(self, word: np.ndarray) -> np.ndarray:
+        """Maximum of each text's windows, whatever their number (or its average); 0 for a text without words."""
         out = np.zeros(len(self.has))
-        if len(windows):
-            out[self.has] = np.maximum.reduceat(windows, self.first)
+        if len(self.word) and self.window:
+            out[self.has] = np.maximum.reduceat(self.slide(word), self.first)
+        elif len(self.word):
+            out[self.has] = np.add.reduceat(word[self.word], self.first) / self.size
         return out
 
+    def tops(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score of each text that has words, and first word and number of words of the window that decides it."""
+        if not self.window:
+            return np.add.reduceat(word[self.word], self.first) / self.size, self.first, self.size
+        z = self.slide(word)
+        text = np.maximum.reduceat(z, self.first)
+        top = np.flatnonzero(z == np.repeat(text, self.size))
+        return text, top[np.searchsorted(top, self.first)], np.minimum(self.size, self.window)
+
 
-def train(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
-    """Vectors (BUCKETS, DIM) and softmax (DIM, 2), (2,), by Adam on all texts at once.
+def train(parts: Iterable[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, window: int | None = WINDOW, steps: int = STEPS, rate: float = RATE, noise: float = NOISE, seed: int = 5) -> dict[str, np.ndarray]:
+    """Buckets with a vector, their vectors (n, DIM), and softmax (DIM, 2), (2,), by Adam on all texts at once.
 
     With one label only, or without texts, the model knows the labels' share alone.
     """
     rng = np.random.default_rng(seed)
-    share = (labels.sum() + 0.5) / (len(labels) + 1)
-    out = {"vectors": np.zeros((BUCKETS, DIM)), "soft": np.zeros((DIM, 2)), "bias": np.log([1 - share, share])}
-    bags = _Bags(*K.utf8(texts))
+    share = (labels.sum() + 0.25) / (len(labels) + 1)
+    out = {"used": np.zeros(0, np.int64), "vectors": np.zeros((0, DIM)), "soft": np.zeros((DIM, 2)), "bias": np.log([1 - share, share])}
+    bags = Bags(parts, window, LEAST_TEXTS)
     y = labels[bags.has].astype(float)
     if not len(y) or y.min() == y.max():
         return out
-    used = bags.common_subwords(LEAST_TEXTS)
-    place = np.full(BUCKETS, -1)
+    used = bags.common
+    place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
     many = np.diff(bags.gram_first)
     gram = place[bags.gram]
-    keep = gram >= 0
-    kept, gram = np.add.reduceat(keep, bags.gram_first[:-1], dtype=np.int64), gram[keep]
-    bags.gram = keep = None
+    kept, gram = np.add.reduceat(gram >= 0, bags.gram_first[:-1], dtype=np.int64), gram[gram >= 0]
     known, weight = np.flatnonzero(kept), 1.0 / many
     known_first = np.cumsum(kept[known]) - kept[known]
-    long = np.minimum(bags.size, WINDOW)
-    step_in = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
-    y = NOISE + (1 - 2 * NOISE) * y
-    p = {"vectors": rng.normal(0, 0.1, (len(used), DIM)), "soft": rng.normal(0, 1.0, (DIM, 2)), "bias": out["bias"] - [0, 3.0]}
+    y = noise + (1 - 2 * noise) * y
+    p = {"vectors": rng.normal(0, 0.1, (len(used), DIM)), "soft": rng.normal(0, 1.0, (DIM, 2)), "bias": out["bias"] - [0, 3.0 if window else 0.0]}
     mean, var = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         line = p["soft"][:, 1] - p["soft"][:, 0]
         word = np.zeros(len(many))
         if len(known):
             word[known] = np.add.reduceat((p["vectors"] @ line)[gram], known_first) * weight[known]
-        z = bags.slide(word)
-        text = np.maximum.reduceat(z, bags.first)
-        top = np.flatnonzero(z == np.repeat(text, bags.size))
-        top = top[np.searchsorted(top, bags.first)]
+        text, top, long = bags.tops(word)
         err = (1 / (1 + np.exp(-np.clip(text + p["bias"][1] - p["bias"][0], -30, 30))) - y) / len(y)
-        share_of_word = np.repeat(err / np.maximum(long, WINDOW // 4), long)
+        share_of_word = np.repeat(err / (np.maximum(long, window // 4) if window else long), long)
+        step_in = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
         word = np.bincount(bags.word[np.repeat(top, long) + step_in], weights=share_of_word, minlength=len(many)) * weight
         g = np.bincount(gram, weights=np.repeat(word, kept), minlength=len(used))
         own = p["vectors"].T @ g
         grads = {"vectors": g[:, None] * line + DECAY * p["vectors"], "soft": np.stack([-own, own], axis=1), "bias": np.array([-err.sum(), err.sum()])}
-        rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
+        now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, v in grads.items():
             mean[k] = 0.9 * mean[k] + 0.1 * v
             var[k] = 0.99 * var[k] + 0.01 * v * v
-            p[k] = p[k] - rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.99**step)) + 1e-10)
-    out["vectors"][used] = p["vectors"]
-    return out | {"soft": p["soft"], "bias": p["bias"]}
+            p[k] = p[k] - now * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.99**step)) + 1e-10)
+    return p | {"used": used}
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
-    """The model from at most TRAIN_TOXIC and TRAIN_CLEAN ids of the labels whose crc32 of the id modulo ``folds`` is not ``held``.
+def parts_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for part in K.slices(pa.RecordBatch.from_arrays([texts], names=["text"])):
+        yield K.utf8(part.column("text"))
+
+
+def _train_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (text, label) of a task, as one row; rows are put in an order that no shuffle changes."""
+    rows = list(batches)
+    held = (pa.Table.from_batches(rows) if rows else pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.int32())})).sort_by([("label", "ascending"), ("text", "ascending")])
+    texts = pa.concat_arrays(held.column("text").chunks) if held.num_rows else pa.array([], pa.string())
+    model = train(parts_of(texts), held.column("label").to_numpy().astype(np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([np.asarray(model[k], kind).tobytes()], pa.binary()) for k, kind in MODEL.items()], names=list(MODEL))
+
+
+#: What a model holds, and as which type it travels.
+MODEL = {"used": "<i4", "vectors": "<f4", "soft": "<f8", "bias": "<f8"}
+
 
-    Texts of any length are learned from; an id is passed over where its rows don't fit what is left of TRAIN_BYTES.
+def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, label) of at most TRAIN_TOXIC and TRAIN_CLEAN ids of the labels whose crc32 of the id modulo ``folds`` is not ``held``.
+
+    One text of each id is learned from (of several the one with the smallest hash); texts of any length, but an id is
+    passed over where its text doesn't fit what is left of TRAIN_BYTES. So ids, rows and bytes of the sample are bounded.
     """
     picked = sample(docs.select(id_col, text_col), labels, "toxic", folds, held, {1: TRAIN_TOXIC, 0: TRAIN_CLEAN}, id_col)
-    bytes_of = F.sum(F.greatest(F.octet_length(text_col), F.lit(ROW_BYTES)))
+    size = F.greatest(F.octet_length(text_col), F.lit(ROW_BYTES))
     left, over = dict(TRAIN_BYTES), []
-    for i, label, n in picked.groupBy(id_col, "label").agg(bytes_of).orderBy(F.xxhash64(id_col), id_col).collect():
+    for i, label, n in picked.select(id_col, "label", F.coalesce(size, F.lit(ROW_BYTES))).orderBy(F.xxhash64(id_col), id_col).collect():
         if n > left[label]:
             over.append(i)
         else:
             left[label] -= n
-    rows = picked.where(~F.col(id_col).isin(over)).orderBy(id_col, F.xxhash64(text_col)).select(text_col, "label").toArrow()
-    return train(rows.column(text_col).combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.asarray(rows.column("label").to_numpy(), np.int64))
+    rows = picked.where(~F.col(id_col).isin(over)) if over else picked
+    return rows.select(F.coalesce(text_col, F.lit("")).alias("text"), "label")
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
+    """The model from ``training_rows``: a task trains on them, and only the model comes to the driver (``BUCKETS`` vectors at most)."""
+    row = training_rows(docs, labels, folds, held, id_col, text_col).repartition(1).mapInArrow(_train_in_task, ", ".join(f"{k} binary" for k in MODEL)).first()
+    if row is None:  # no rows, so Spark ran no task
+        return train([], np.zeros(0, np.int64))
+    model = {k: np.frombuffer(row[k], kind) for k, kind in MODEL.items()}
+    return model | {k: model[k].reshape(-1, n) for k, n in (("vectors", DIM), ("soft", 2))}
+
+
+def bucket_scores(model: dict[str, np.ndarray]) -> np.ndarray:
+    """Of each bucket its vector's part of the logit; 0 where it has none."""
+    out = np.zeros(BUCKETS, np.float32)
+    out[model["used"]] = model["vectors"] @ (model["soft"][:, 1] - model["soft"][:, 0])
+    return out
 
 
 class Scorer:
     """The model in a task: scores of the texts of a batch."""
 
     def __init__(self, docs: DataFrame, model: dict[str, np.ndarray]):
-        line = model["soft"][:, 1] - model["soft"][:, 0]
-        self.shared = docs.sparkSession.sparkContext.broadcast((model["vectors"] @ line).astype(np.float32))
+        self.shared = docs.sparkSession.sparkContext.broadcast(bucket_scores(model))
         self.bias = float(model["bias"][1] - model["bias"][0])
 
     def __call__(self, column: pa.Array) -> np.ndarray:
-        bags = _Bags(*K.utf8(column))
-        z = bags.texts(bags.windows(self.shared.value.astype(np.float64)))
+        bags = Bags([K.utf8(column)])
+        z = bags.texts(bags.of_words(self.shared.value))
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -500, 500)))
 
 
@@ -210,7 +265,12 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a score under ``threshold``, all columns as they are, in one pass without a shuffle."""
+    """The rows of ``docs`` with a score under ``threshold``, all columns as they are, in one pass without a shuffle.
+
+    Rows are judged, not ids: repeated rows and rows with null ids are kept or dropped each by their text. Null and empty
+    texts have the score of the bias alone. Very long texts are averaged window by window like others. An empty table
+    stays empty; without usable labels every score is 0.25, so all rows stay at the default.
+    """
     scorer = Scorer(docs, fit(docs, labels, id_col=id_col, text_col=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

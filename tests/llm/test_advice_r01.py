@@ -14,11 +14,11 @@ from logsentinel.llm import textkit as K
 def test_toxicity_does_not_grow_with_length(spark):
     at = "/root/testdata/sf0.1"
     model = toxicity.fit(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet"))
-    line, bias = model["soft"][:, 1] - model["soft"][:, 0], model["bias"][1] - model["bias"][0]
+    words, bias = toxicity.bucket_scores(model), model["bias"][1] - model["bias"][0]
 
     def scores(texts):
-        bags = toxicity._Bags(*K.utf8(pa.array(texts)))
-        return bags.texts(bags.windows(model["vectors"] @ line)) + bias
+        bags = toxicity.Bags([K.utf8(pa.array(texts))])
+        return bags.texts(bags.of_words(words)) + bias
 
     sql = "select any_value(text) from '{0}/documents.parquet' join '{0}/labels.parquet' using (doc_id) where toxic = {1} group by doc_id order by doc_id"
     clean, toxic = ([r[0] for r in duckdb.sql(sql.format(at, y)).fetchall()] for y in (0, 1))
@@ -37,22 +37,26 @@ def test_toxicity_learns_from_long_texts(spark, monkeypatch):
     texts = ["long " * 20_000, "bad " * 20_000, "short", "brief"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "train", lambda t, y: seen.append((t.to_pylist(), y.tolist())))
-    toxicity.fit(docs, labels, held=9)
-    assert seen.pop() == (texts, [0, 1, 0, 1])
+    taken = lambda: sorted(tuple(r) for r in toxicity.training_rows(docs, labels, held=9).collect())
+    assert taken() == sorted(zip(texts, [0, 1, 0, 1], strict=True))
     monkeypatch.setattr(toxicity, "TRAIN_BYTES", {0: 1000, 1: 1 << 20})
-    toxicity.fit(docs, labels, held=9)
-    assert seen.pop() == (texts[1:], [1, 0, 1])
+    assert taken() == sorted(zip(texts[1:], [1, 0, 1], strict=True))
+
+
+def test_samples_have_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, held=9).collect()
+    assert len(rows) == 2 and {r.label for r in rows} == {0, 1} and ("", 0) in [tuple(r) for r in rows]
 
 
 def test_toxicity_windows_are_all_runs_of_words():
     words = [f"w{i}" for i in range(20)]
-    bags = toxicity._Bags(*K.utf8(pa.array([" ".join(words), "", "w0 w1 w2", "w3"])))
-    score = np.random.default_rng(1).normal(size=len(bags.gram_first) - 1)
+    bags = toxicity.Bags([K.utf8(pa.array([" ".join(words), ""])), K.utf8(pa.array(["w0 w1 w2", "w3"]))])
+    score = np.random.default_rng(1).normal(size=bags.words)
     at = score[bags.word]
     runs = [at[i : i + toxicity.WINDOW].mean() for i in range(len(words) - toxicity.WINDOW + 1)]
-    assert np.allclose(bags.texts(bags.slide(score)), [max(runs), 0, at[20:23].mean(), at[23] / 2])
+    assert np.allclose(bags.texts(score), [max(runs), 0, at[20:23].mean(), at[23] / 2], atol=1e-6)
 
 
 def test_drops_judge_rows_and_not_ids(spark):

@@ -195,14 +195,41 @@ def test_toxicity_learns_and_catches_misspellings():
     plain = [f"{a}{b}" for a in ("ran", "tol", "mip", "sed") for b in ("der", "ko", "ling", "est", "un")]
     text = lambda bad: " ".join(rng.choice(plain) for _ in range(40)) + (" " + " ".join(rng.choice(["idiot", "moron", "stupid"]) for _ in range(2)) if bad else "")
     y = np.array([i % 2 for i in range(400)])
-    model = toxicity.train(pa.array([text(b) for b in y]), y)
-    line, bias = model["soft"][:, 1] - model["soft"][:, 0], model["bias"][1] - model["bias"][0]
-    bags = toxicity._Bags(*K.utf8(pa.array([text(False), text(True), text(False) + " idiott", ""])))
-    z = bags.texts(bags.windows(model["vectors"] @ line)) + bias
+    model = toxicity.train(toxicity.parts_of(pa.array([text(b) for b in y])), y)
+    bias = model["bias"][1] - model["bias"][0]
+    bags = toxicity.Bags([K.utf8(pa.array([text(False), text(True), text(False) + " idiott", ""]))])
+    z = bags.texts(bags.of_words(toxicity.bucket_scores(model))) + bias
     assert z[0] < 0 < z[1] and z[3] == bias
     assert z[2] > z[0] + 0.5  # one unseen misspelling among 40 words
 
 
+def test_toxicity_scores_equal_a_plain_scorer(spark):
+    rng = np.random.default_rng(8)
+    model = {"used": np.arange(toxicity.BUCKETS), "vectors": rng.normal(size=(toxicity.BUCKETS, toxicity.DIM)), "soft": rng.normal(size=(toxicity.DIM, 2)), "bias": np.array([0.1, 0.4])}
+
+    def bucket(gram):
+        return int((K.mix(np.array([int.from_bytes(gram, "little") + (len(gram) << 56)], np.uint64)) % np.uint64(toxicity.BUCKETS))[0])
+
+    def word(w):
+        edged = b"<" + w + b">"
+        ids = [bucket(edged[i : i + n]) for n in toxicity.GRAMS for i in range(len(edged) - n + 1)]
+        ids.append(int((K.hashes(np.frombuffer(edged, np.uint8), np.array([0]), np.array([len(edged)]), seed=3) % np.uint64(toxicity.BUCKETS))[0]))
+        return model["vectors"][ids].mean(axis=0)
+
+    def score(text):
+        v = [word(w) for w in re.findall(rb"[0-9a-z\x80-\xff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode())]
+        n = toxicity.WINDOW
+        logit = lambda a: float((a @ (model["soft"][:, 1] - model["soft"][:, 0])) + model["bias"][1] - model["bias"][0])
+        if not v:
+            return 1 / (1 + math.exp(-0.3))
+        runs = [sum(v[i : i + n]) / n for i in range(len(v) - n + 1)] if len(v) >= n else [sum(v) / max(len(v), n // 4)]
+        return 1 / (1 + math.exp(-max(map(logit, runs))))
+
+    texts = [*TRICKY[:12], "one two three four five six seven eight nine ten eleven", "Straße ÀB c", "x" * 300, None]
+    got = by_id(toxicity.predict(docs(spark, texts), model))
+    assert all(math.isclose(got[i]["score"], score(t), abs_tol=1e-4) for i, t in enumerate(texts))
+
+
 def test_quality_rules_and_empty_tables(spark):
     rng = np.random.default_rng(3)
     x = rng.random((2000, len(quality.STATS)))
