@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _folder(df: DataFrame) -> str:
-    """The folder for checkpoints; where ``spark.checkpoint.dir`` is absent (tests, a local session) a temporary one is set."""
+    """The folder for checkpoints; a temporary one is set where ``spark.checkpoint.dir`` is absent and the master is local.
+
+    On a cluster executors don't share a temporary folder, so its absence is an error there.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
