@@ -8,7 +8,7 @@ from logsentinel.llm.decontam import drop_contaminated
 from logsentinel.llm.neardup import drop_near_duplicates
 from logsentinel.llm.packing import pack_documents
 from logsentinel.llm.quality import drop_low_quality
-from logsentinel.llm.session import checkpoint, table
+from logsentinel.llm.session import stored, table
 from logsentinel.llm.toxicity import drop_toxic
 
 
@@ -47,5 +47,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other; each one's documents are kept in the checkpoint folder for the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = checkpoint(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
