@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, *columns: Column) -> DataFrame:
+    """A projection that the optimiser doesn't repeat: each row's columns are computed once, behind a generator of one row.
+
+    Without it, filters on the columns are pushed below the projection with a copy of every expression in them.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def log_time_ms(x: Column) -> Column:
     """``23/May/2025:08:30:00 -0500`` as epoch milliseconds; null where it doesn't parse."""
     return F.unix_millis(F.try_to_timestamp(x, F.lit("dd/MMM/yyyy:HH:mm:ss Z")))
@@ -26,12 +34,12 @@ def url_decode(x: Column) -> Column:
 
 def request_parts(x: Column) -> tuple[Column, Column, Column]:
     """Method, path and protocol: split at the first and the last blank. ``-`` and '' are three dashes."""
-    pattern = r"^(\S*) (.*) (\S*)$"
-    full, pair, none = x.rlike(pattern), x.rlike(r"^\S* [^ ]*$"), x.isin("-", "")
-    dash = F.lit("-")
-    method = F.when(none, dash).when(full, F.regexp_extract(x, pattern, 1)).when(pair, F.substring_index(x, " ", 1)).otherwise(dash)
-    path = F.when(none, dash).when(full, F.regexp_extract(x, pattern, 2)).when(pair, F.substring_index(x, " ", -1)).otherwise(x)
-    protocol = F.when(full & ~none, F.regexp_extract(x, pattern, 3)).otherwise(dash)
+    none, blanks, dash = x.isin("-", ""), F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))), F.lit("-")
+    first, last = F.substring_index(x, " ", 1), F.substring_index(x, " ", -1)
+    middle = F.substring(x, F.length(first) + 2, F.length(x) - F.length(first) - F.length(last) - 2)
+    method = F.when(none | (blanks == 0), dash).otherwise(first)
+    path = F.when(none, dash).when(blanks == 0, x).when(blanks == 1, last).otherwise(middle)
+    protocol = F.when(~none & (blanks > 1), last).otherwise(dash)
     return method, F.when(path == "", F.lit("/")).otherwise(path), protocol
 
 

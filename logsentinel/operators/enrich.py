@@ -58,13 +58,42 @@ def seen(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     return df.withColumn("is_path_new", F.col("__f") | (rank > cfg.max_paths)).drop("__f", "__r")
 
 
-def running_stats(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
-    """Mean, sample deviation (0 for one value) and count of each column up to and including the row."""
-    w = seq(key)
-    for name, c in columns.items():
-        c = c.cast("double")
-        df = df.withColumn(f"{name}_mean", F.avg(c).over(w)).withColumn(f"{name}_sd", F.coalesce(F.stddev_samp(c).over(w), F.lit(0.0))).withColumn(f"{name}_n", F.count(c).over(w))
-    return df
+#: Length of a block of the two-phase running statistics.
+BLOCK_MS = 3_600_000
+
+
+def running_stats(df: DataFrame, key: str, columns: dict[str, Column], block_ms: int | None = None) -> DataFrame:
+    """Mean, sample deviation (0 for one value) and count of each column up to and including the row.
+
+    With ``block_ms`` a key's rows are cut into blocks of time, so that no task gets a whole hot key: moments of each block are
+    added up over the blocks before (a small table), and rows run only over their own block.
+    """
+    if block_ms is None:
+        w = seq(key)
+        for name, c in columns.items():
+            c = c.cast("double")
+            df = df.withColumn(f"{name}_mean", F.avg(c).over(w)).withColumn(f"{name}_sd", F.coalesce(F.stddev_samp(c).over(w), F.lit(0.0))).withColumn(f"{name}_n", F.count(c).over(w))
+        return df
+    names = df.columns
+    rows = df.withColumn("__block", F.floor(F.col("ts_ms") / block_ms)).withColumns({f"__x_{n}": c.cast("double") for n, c in columns.items()})
+    whole = rows.groupBy(key).agg(*[F.avg(f"__x_{n}").alias(f"__c_{n}") for n in columns])
+    per = rows.groupBy(key, "__block").agg(*[a for n in columns for a in (F.count(f"__x_{n}").alias(f"__n_{n}"), F.avg(f"__x_{n}").alias(f"__m_{n}"), F.coalesce(F.var_pop(f"__x_{n}") * F.count(f"__x_{n}"), F.lit(0.0)).alias(f"__s_{n}"))])
+    earlier = W.partitionBy(key).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    before = per.join(whole, key)
+    for n in columns:  # moments about the key's own mean, which keeps the sums small
+        off = F.coalesce(F.col(f"__m_{n}") - F.col(f"__c_{n}"), F.lit(0.0))
+        count, first, second = F.sum(f"__n_{n}").over(earlier), F.sum(F.col(f"__n_{n}") * off).over(earlier), F.sum(F.col(f"__s_{n}") + F.col(f"__n_{n}") * off * off).over(earlier)
+        before = before.withColumns({f"__b_{n}": F.coalesce(count, F.lit(0)), f"__f_{n}": F.coalesce(first, F.lit(0.0)), f"__q_{n}": F.coalesce(second, F.lit(0.0))})
+    rows = rows.join(before.select(key, "__block", *[f"__{x}_{n}" for n in columns for x in "bfqc"]), [key, "__block"])
+    w, out = seq(key, "__block"), {}
+    for n in columns:
+        rows = rows.withColumn(f"__d_{n}", F.col(f"__x_{n}") - F.col(f"__c_{n}"))
+        count = F.col(f"__b_{n}") + F.count(f"__d_{n}").over(w)
+        mean = (F.col(f"__f_{n}") + F.coalesce(F.sum(f"__d_{n}").over(w), F.lit(0.0))) / F.when(count > 0, count)
+        square = F.col(f"__q_{n}") + F.coalesce(F.sum(F.col(f"__d_{n}") * F.col(f"__d_{n}")).over(w), F.lit(0.0))
+        spread = F.greatest(square - mean * mean * count, F.lit(0.0))
+        out |= {f"{n}_mean": mean + F.col(f"__c_{n}"), f"{n}_sd": F.when(count > 1, F.sqrt(spread / (count - 1))).otherwise(0.0), f"{n}_n": count}
+    return rows.withColumns(out).select(*names, *out)
 
 
 def is_error() -> Column:
@@ -141,4 +170,4 @@ def enrich(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """All columns that the rules need: address windows first, then path windows."""
     df = ua_cycling(ua_flags(seen(ip_windows(df, cfg), cfg), cfg), cfg)
     df = zscores(running_stats(df, "ip", stats_columns("ip")), "ip", cfg)
-    return zscores(running_stats(df, "path", stats_columns("path")), "path", cfg)
+    return zscores(running_stats(df, "path", stats_columns("path"), BLOCK_MS), "path", cfg)

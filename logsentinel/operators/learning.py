@@ -22,18 +22,25 @@ def baseline_events(enriched: DataFrame) -> DataFrame:
     return enriched.select("ts_ms", "line_no", F.explode(F.array(*items)).alias("e")).select("e.entity_type", "e.entity_id", "ts_ms", "line_no", "e.value")
 
 
-def ewma(events: DataFrame, keys: list[str], alpha: float = 0.1, last: int = 1000) -> DataFrame:
-    """Exponential mean and variance of each key's last values in arrival order; the first value starts with variance 0.
+#: Share of the weight below which an older value can't change a double.
+NOTHING = 1e-17
 
-    Values before the last 1000 have a weight of 0.9 ** 1000 at the default, so the fold is bounded.
+
+def ewma(events: DataFrame, keys: list[str], alpha: float = 0.1) -> DataFrame:
+    """Exponential mean and variance of each key's values in arrival order, and the number of values; the first starts with variance 0.
+
+    The fold begins where all older values together have less weight than a double can hold (372 values back for 0.1), so
+    it equals the fold over all of them. Each task hands on at most so many rows of a key; ``n`` counts all.
     """
+    last = 2 if alpha >= 1 else math.ceil(math.log(NOTHING) / math.log(1 - alpha)) + 1
     r = events.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("ts_ms"), F.desc("line_no")))).where(f"__r <= {last}")
     items = F.array_sort(F.collect_list(F.struct("ts_ms", "line_no", "value")))
-    values = r.groupBy(*keys).agg(F.transform(items, lambda x: x["value"]).alias("v"), F.count("*").alias("n"))
+    values = r.groupBy(*keys).agg(F.transform(items, lambda x: x["value"]).alias("v"))
     zero = F.struct(F.get("v", F.lit(0)).alias("m"), F.lit(0.0).alias("s"))
     step = lambda a, x: F.struct((a["m"] + alpha * (x - a["m"])).alias("m"), ((1 - alpha) * a["s"] + alpha * (x - a["m"]) * (x - a["m"])).alias("s"))
     folded = F.aggregate(F.slice("v", 2, F.greatest(F.size("v"), F.lit(1))), zero, step)
-    return values.withColumn("f", folded).select(*keys, "n", F.round("f.m", 6).alias("ewma_mean"), F.round("f.s", 6).alias("ewma_var"))
+    counts = events.groupBy(*keys).agg(F.count("*").alias("n"))
+    return values.withColumn("f", folded).join(counts, keys).select(*keys, "n", F.round("f.m", 6).alias("ewma_mean"), F.round("f.s", 6).alias("ewma_var"))
 
 
 def established(events: DataFrame, keys: list[str], least: int = 30) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsentinel.functions import scalars as S
@@ -15,19 +15,22 @@ def bounded(dim: DataFrame) -> DataFrame:
     return F.broadcast(dim) if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dim
 
 
-def _block_keys(df: DataFrame, cidrs: DataFrame) -> DataFrame:
-    """Rows for each prefix length that the list has, with the row's network of that length: an equi-join key."""
-    lengths = [r[0] for r in cidrs.select("prefix").distinct().orderBy("prefix").collect()]
-    number = S.ip_number(F.col("ip"))
-    keys = [F.struct(S.masked(number, F.lit(m)).alias("network"), F.lit(m).alias("prefix")) for m in lengths]
-    return df.withColumn("__keys", F.array(*keys) if keys else F.array().cast("array<struct<network:bigint,prefix:int>>"))
-
-
 def in_blocks(df: DataFrame, cidrs: DataFrame) -> DataFrame:
-    """Adds ``listed``: whether the address is in any block. At most 33 keys a row, never a nested loop."""
-    small = bounded(cidrs.select("network", "prefix").withColumn("hit", F.lit(True)))
-    hits = _block_keys(df, cidrs).select("line_no", F.explode("__keys").alias("k")).select("line_no", "k.*").join(small, ["network", "prefix"]).select("line_no").distinct().withColumn("listed", F.lit(True))
-    return df.join(hits, "line_no", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    """Adds ``listed``: whether the address is in any block.
+
+    For each prefix length that the list has (33 at most) an equi-join on the address's network of that length: the log is not
+    shuffled while the list can be broadcast, and never joined by a nested loop. Rows with equal ``line_no`` or none are
+    judged each by itself; an address that isn't one is in no block.
+    """
+    lengths = [r[0] for r in cidrs.select("prefix").distinct().orderBy("prefix").collect()]
+    names = df.columns
+    df = S.once(df, *names, S.ip_number(F.col("ip")).alias("__ip"))
+    found = F.lit(False)
+    for m in lengths:
+        nets = cidrs.where(F.col("prefix") == m).select(F.col("network").alias(f"__net{m}")).distinct()
+        df = df.join(bounded(nets), S.masked(F.col("__ip"), F.lit(m)) == F.col(f"__net{m}"), "left")
+        found = found | F.col(f"__net{m}").isNotNull()
+    return df.select(*names, (found & (F.col("__ip") > 0)).alias("listed"))
 
 
 def cidr_semi(df: DataFrame, cidrs: DataFrame) -> DataFrame:
@@ -43,17 +46,37 @@ def threat_join(df: DataFrame, feed: DataFrame) -> DataFrame:
     return df.join(bounded(feed.select("ip").distinct()), "ip", "left_semi")
 
 
-def domain_suffixes(host: str = "host") -> Column:
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-
-
-def domain_suffix_join(df: DataFrame, domains: DataFrame, key: str = "page_id") -> DataFrame:
-    """Rows whose host or any parent of it is listed (column domain)."""
-    wanted = bounded(domains.select("domain").distinct())
-    hits = df.select(key, F.explode(domain_suffixes()).alias("domain")).join(wanted, "domain", "left_semi").select(key).distinct()
-    return df.join(hits, key, "left_semi")
+def domain_suffix_join(df: DataFrame, domains: DataFrame, host: str = "host") -> DataFrame:
+    """Rows whose host or any parent of it is listed (column domain): one equi-join for each number of labels in the list."""
+    names, label_count = df.columns, F.size(F.split("domain", r"\."))
+    found = F.lit(False)
+    for n in [r[0] for r in domains.select(label_count).distinct().orderBy(label_count).collect()]:
+        own = domains.where(label_count == n).select(F.col("domain").alias(f"__d{n}")).distinct()
+        df = df.join(bounded(own), F.substring_index(host, ".", -n) == F.col(f"__d{n}"), "left")
+        found = found | F.col(f"__d{n}").isNotNull()
+    return df.where(found).select(*names)
 
 
 def geo_enrich(df: DataFrame, geo: DataFrame) -> DataFrame:
     return df.join(bounded(geo), "ip", "left")
+
+
+def threat_types(df: DataFrame, feed: DataFrame, mask: int) -> DataFrame:
+    """Rows whose address is listed (ip, types) with any type bit of ``mask``, and those types."""
+    wanted = feed.groupBy("ip").agg(F.bit_or("types").alias("types")).where(F.col("types").bitwiseAND(F.lit(mask)) != 0)
+    return df.join(bounded(wanted), "ip")
+
+
+def valid_mapping(df: DataFrame, names: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+    """Adds ``name``: of the mappings (ip, name, cached_ms) that were valid at the row's time the newest, else null.
+
+    A mapping holds for ``ttl_ms`` from when it was cached. Both sides are cut into spans of that length, so that a row meets
+    the mappings of two spans of its address and no others.
+    """
+    span = lambda c: F.floor(c / ttl_ms)
+    m = names.select("ip", "name", "cached_ms", F.explode(F.array(span(F.col("cached_ms")), span(F.col("cached_ms")) + 1)).alias("__span"))
+    rows = df.withColumns({"__span": span(F.col("ts_ms")), "__row": F.monotonically_increasing_id()})
+    valid = (F.col("cached_ms") <= F.col("ts_ms")) & (F.col("ts_ms") <= F.col("cached_ms") + ttl_ms)
+    both = rows.select("__row", "ip", "__span", "ts_ms").join(m, ["ip", "__span"]).where(valid)
+    best = both.groupBy("__row", "ip", "__span").agg(F.max(F.struct("cached_ms", "name"))["name"].alias("name"))
+    return rows.join(best, ["ip", "__span", "__row"], "left").select(*df.columns, "name")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from logsentinel.config import Config
 from logsentinel.functions import scalars as S
@@ -56,14 +60,37 @@ def evaluate_rules(enriched: DataFrame, cfg: Config = Config(), tiers: tuple[int
     return enriched.select("line_no", "ts_ms", "ip", F.explode(F.array_compact(F.array(*found))).alias("a")).select("line_no", "ts_ms", "ip", "a.*")
 
 
-def throttle(alerts: DataFrame, seconds: int = 300, most_between: int = 0) -> DataFrame:
-    """Drops an alert that follows a recorded one of the same address and rule by less than ``seconds``.
+def throttle(alerts: DataFrame, seconds: int = 300, most_between: int = 0, key: str = "reason") -> DataFrame:
+    """Drops an alert that follows a recorded one of the same address and ``key`` by less than ``seconds``.
 
-    Only recorded alerts move the anchor, so the decision is a fold over the ordered alerts of a key; the fold is an
-    aggregate over the sorted array of one key (an address and a rule).
+    Only recorded alerts move the anchor. With ``most_between`` an alert is recorded again once so many other alerts of its
+    address were recorded since. Order of an address: ts_ms, line_no, rule. An address is cut where no alert comes for
+    ``seconds``, as nothing is remembered beyond such a gap; each piece is read as a stream that remembers only
+    the keys of its last ``seconds``. Null times are recorded always. All columns stay as they are.
     """
-    items = F.array_sort(F.collect_list(F.struct("ts_ms", "line_no", "tier", "score")))
-    step = lambda s, x: F.when(x["ts_ms"] < s["last"] + seconds * 1000, s).otherwise(F.struct(x["ts_ms"].alias("last"), F.concat(s["kept"], F.array(x)).alias("kept")))
-    zero = F.struct(F.lit(-(2**62)).cast("long").alias("last"), F.array().cast("array<struct<ts_ms:bigint,line_no:bigint,tier:string,score:double>>").alias("kept"))
-    folded = alerts.groupBy("ip", "rule").agg(items.alias("items")).select("ip", "rule", F.explode(F.aggregate("items", zero, step)["kept"]).alias("a"))
-    return folded.select("a.ts_ms", "a.line_no", "ip", "rule", "a.tier", "a.score")
+    span, names = seconds * 1000, alerts.columns
+    order = W.partitionBy("ip").orderBy("ts_ms", "line_no", "rule")
+    gap = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(order) >= span, F.lit(True)).cast("int")
+    pieces = alerts.withColumn("__g", gap).withColumn("__piece", F.sum("__g").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("__g")
+    place = [pieces.columns.index(c) for c in ("ip", "__piece", "ts_ms", key)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, recorded = None, {}, 0
+        for batch in batches:
+            keep = []
+            for ip, piece, ts, name in zip(*(batch.column(i).to_pylist() for i in place), strict=True):
+                if (ip, piece) != at:
+                    at, known, recorded = (ip, piece), {}, 0
+                last = known.get(name)
+                again = ts is None or last is None or ts >= last[0] + span or bool(most_between) and recorded - last[1] >= most_between
+                keep.append(again)
+                if again and ts is not None:
+                    recorded += 1
+                    known.pop(name, None)
+                    known[name] = (ts, recorded)
+                    while known and known[oldest := next(iter(known))][0] + span <= ts:
+                        del known[oldest]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    dealt = pieces.repartition("ip", "__piece").sortWithinPartitions("ip", "__piece", "ts_ms", "line_no", "rule")
+    return dealt.mapInArrow(run, pieces.schema).select(*names)

@@ -211,7 +211,7 @@ for _key in ("ip", "path"):
     def _run(spark, d, key=_key, cols=_stat_cols, z=False):
         df = log(spark, d)
         df = E.ip_windows(df, C) if key == "ip" else df
-        df = E.running_stats(df, key, E.stats_columns(key))
+        df = E.running_stats(df, key, E.stats_columns(key), E.BLOCK_MS if key == "path" else None)
         df = E.zscores(df, key, C) if z else df
         return df.select("line_no", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in cols])
 

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from logsentinel.config import Config
@@ -68,9 +71,27 @@ def test_cidr_join_has_no_nested_loop(spark, capsys):
     assert "NestedLoop" not in capsys.readouterr().out
 
 
-def test_throttle(spark):
-    alerts = spark.createDataFrame([(t, i, "a", "r", "tier1", 1.0) for i, t in enumerate([0, 100_000, 299_000, 301_000, 500_000, 602_000])], "ts_ms long, line_no long, ip string, rule string, tier string, score double")
-    assert sorted(r["ts_ms"] for r in R.throttle(alerts, 300).collect()) == [0, 301_000, 602_000]
+def test_throttle_equals_a_plain_loop(spark):
+    rng = random.Random(3)
+    rows = [(t, i, f"10.0.0.{rng.randrange(3)}", f"r{rng.randrange(4)}") for i, t in enumerate(sorted(rng.randrange(4_000_000) // 1000 * 1000 for _ in range(600)))]
+    alerts = spark.createDataFrame([(*r, r[3], "tier1", 1.0) for r in rows], "ts_ms long, line_no long, ip string, reason string, rule string, tier string, score double")
+    for most in (0, 1, 3):
+        want, last, recorded = [], {}, Counter()
+        for t, i, ip, reason in rows:
+            seen = last.get((ip, reason))
+            if seen is None or t >= seen[0] + 300_000 or (most and recorded[ip] - seen[1] >= most):
+                recorded[ip] += 1
+                last[ip, reason] = (t, recorded[ip])
+                want.append(i)
+        assert sorted(r["line_no"] for r in R.throttle(alerts, 300, most).collect()) == want
+
+
+def test_two_phase_statistics_equal_one_phase(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(50) * 1000, "10.0.0.1", f"/p{i % 2}", "GET", rng.choice([200, 404]), rng.random() if i % 9 else None, i, "x") for i in range(300)]
+    one, two = (E.running_stats(log_rows(spark, rows), "path", E.stats_columns("path"), b).orderBy("line_no").toPandas() for b in (None, 7000))
+    for c in one.columns[9:]:
+        assert ((one[c] - two[c]).abs() < 1e-9).all() or (one[c].isna() == two[c].isna()).all() and (one[c] - two[c]).abs().max() < 1e-9, c
 
 
 def test_scores(spark):
