@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 FLAGS = ["ua_missing", "ua_headless", "ua_bad", "ua_cycling", "is_path_new"]
 SCORES = ["ip_time_z", "ip_bytes_z", "ip_error_z", "ip_vol_z", "path_time_z", "path_bytes_z", "path_error_z"]
@@ -53,7 +55,7 @@ def fit_forest(rows: DataFrame, trees: int = 100, sample: int = 256, seed: int =
     """Trees over ``FEATURES``, each on its own ``sample`` rows; the bounded sample (trees * sample rows, the smallest hashes of line_no)
     is dealt out to the trees, which are grown in tasks. Fewer rows make smaller or fewer trees."""
     picked = rows.withColumn("__h", F.xxhash64("line_no", F.lit(seed))).orderBy("__h", "line_no").limit(trees * sample)
-    dealt = picked.withColumn("tree", F.pmod(F.col("__h"), F.lit(trees)).cast("int"))
+    dealt = picked.withColumn("tree", F.floor((F.row_number().over(W.orderBy("__h", "line_no")) - 1) / sample).cast("int"))
 
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["__h", "line_no"])
@@ -89,3 +91,46 @@ def importance(rows: DataFrame) -> DataFrame:
     """(feature, importance): the deviation of each feature."""
     one = rows.agg(*[F.stddev_pop(f).alias(f) for f in FEATURES])
     return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.round(f, 5).alias("importance")) for f in FEATURES])).alias("e")).select("e.*")
+
+
+def training_set(rows: DataFrame, share: float = 0.7, seed: int = 42) -> DataFrame:
+    """Rows with all features finite, and ``train``: whether a hash of line_no puts it into the first ``share``."""
+    good = [F.col(f).isNotNull() & ~F.isnan(f) & (F.abs(f) != float("inf")) for f in FEATURES]
+    place = F.conv(F.substring(F.md5(F.concat(F.col("line_no").cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
+    return rows.where(reduce(lambda a, b: a & b, good)).withColumn("train", place < share)
+
+
+def write_features_csv(rows: DataFrame, path: str) -> None:
+    """The features of each row as headless CSV, in their fixed order."""
+    rows.select(*FEATURES).write.mode("append").csv(path, header=False)
+
+
+def tree_score(rows: DataFrame) -> DataFrame:
+    """(line_no, score, factors) of a fixed tree: a known-bad agent is 1, else 0.9 for very large answers, else 0.1; factors from 0.5 on."""
+    bad, large = F.col("ua_bad") >= 0.5, F.col("ip_bytes_z") >= 0.9
+    return rows.select("line_no", F.when(bad, 1.0).when(large, 0.9).otherwise(0.1).alias("score"), F.when(bad, "known bad user agent").when(large, "large answers").alias("factors"))
+
+
+def model_meta(scores: DataFrame, model: pd.DataFrame, at_ms: int) -> DataFrame:
+    """One row about a model: rows it scored, features, trees, nodes, mean score, time."""
+    one = scores.agg(F.count("*").alias("samples"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return one.select("samples", F.lit(len(FEATURES)).alias("features"), F.lit(int(model["tree"].nunique())).alias("trees"), F.lit(len(model)).alias("nodes"), "mean_score", F.lit(at_ms).alias("trained_ms"))
+
+
+def publish_model(spark: SparkSession, model: pd.DataFrame, path: str, version: int) -> bool:
+    """Writes a model as a new version and points to it, if it is sound; else the old one stays in force.
+
+    Sound is a model with trees whose every inner node leads to two nodes of its tree and whose leaves have a depth.
+    """
+    inner = model[model.feature >= 0] if len(model) else model
+    size = model.groupby("tree").node.transform("size") if len(model) else None
+    ok = len(model) > 0 and bool(np.isfinite(model[["cut", "depth"]].to_numpy()).all()) and bool(((inner.low > inner.node) & (inner.high > inner.node)).all()) and bool((inner[["low", "high"]].max(axis=1) < size[inner.index]).all())
+    if ok:
+        spark.createDataFrame(model).write.mode("errorifexists").parquet(f"{path}/model/version={version}")
+        spark.createDataFrame([(version,)], "version long").write.mode("append").parquet(f"{path}/current")
+    return ok
+
+
+def current_model(spark: SparkSession, path: str) -> pd.DataFrame:
+    version = spark.read.parquet(f"{path}/current").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path}/model/version={version}").toPandas()

@@ -22,13 +22,13 @@ def in_blocks(df: DataFrame, cidrs: DataFrame) -> DataFrame:
     shuffled while the list can be broadcast, and never joined by a nested loop. Rows with equal ``line_no`` or none are
     judged each by itself; an address that isn't one is in no block.
     """
-    lengths = [r[0] for r in cidrs.select("prefix").distinct().orderBy("prefix").collect()]
+    lengths = cidrs.groupBy("prefix").agg(F.count("*").alias("n")).orderBy("prefix").collect()
     names = df.columns
     df = S.once(df, *names, S.ip_number(F.col("ip")).alias("__ip"))
     found = F.lit(False)
-    for m in lengths:
+    for m, n in lengths:
         nets = cidrs.where(F.col("prefix") == m).select(F.col("network").alias(f"__net{m}")).distinct()
-        df = df.join(bounded(nets), S.masked(F.col("__ip"), F.lit(m)) == F.col(f"__net{m}"), "left")
+        df = df.join(F.broadcast(nets) if n <= BROADCAST_ROWS else nets, S.masked(F.col("__ip"), F.lit(m)) == F.col(f"__net{m}"), "left")
         found = found | F.col(f"__net{m}").isNotNull()
     return df.select(*names, (found & (F.col("__ip") > 0)).alias("listed"))
 
@@ -50,9 +50,9 @@ def domain_suffix_join(df: DataFrame, domains: DataFrame, host: str = "host") ->
     """Rows whose host or any parent of it is listed (column domain): one equi-join for each number of labels in the list."""
     names, label_count = df.columns, F.size(F.split("domain", r"\."))
     found = F.lit(False)
-    for n in [r[0] for r in domains.select(label_count).distinct().orderBy(label_count).collect()]:
+    for n, size in domains.groupBy(label_count.alias("labels")).agg(F.count("*")).orderBy("labels").collect():
         own = domains.where(label_count == n).select(F.col("domain").alias(f"__d{n}")).distinct()
-        df = df.join(bounded(own), F.substring_index(host, ".", -n) == F.col(f"__d{n}"), "left")
+        df = df.join(F.broadcast(own) if size <= BROADCAST_ROWS else own, F.substring_index(host, ".", -n) == F.col(f"__d{n}"), "left")
         found = found | F.col(f"__d{n}").isNotNull()
     return df.where(found).select(*names)
 

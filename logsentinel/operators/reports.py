@@ -29,10 +29,11 @@ def hit_rates(alerts: DataFrame, rows: DataFrame) -> DataFrame:
     return alerts.groupBy("rule").agg(F.count("*").alias("hits")).crossJoin(F.broadcast(n)).select("rule", "hits", "evaluations", F.round(F.col("hits") / F.col("evaluations"), 8).alias("hit_rate"))
 
 
-def throttle_report(alerts: DataFrame, kept: DataFrame) -> DataFrame:
-    """Alerts and suppressed alerts of each rule, and the share that was suppressed."""
-    after = kept.groupBy("rule").agg(F.count("*").alias("kept"))
-    return alerts.groupBy("rule").agg(F.count("*").alias("alerts")).join(after, "rule", "left").select("rule", "alerts", (F.col("alerts") - F.coalesce("kept", F.lit(0))).alias("suppressed"), F.round(1 - F.coalesce("kept", F.lit(0)) / F.col("alerts"), 6).alias("ratio"))
+def throttle_report(alerts: DataFrame, kept: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Alerts and suppressed alerts of each rule (or of the columns ``by``), and the share that was suppressed."""
+    by = by or ["rule"]
+    after = kept.groupBy(*by).agg(F.count("*").alias("kept"))
+    return alerts.groupBy(*by).agg(F.count("*").alias("alerts")).join(after, by, "left").select(*by, "alerts", (F.col("alerts") - F.coalesce("kept", F.lit(0))).alias("suppressed"), F.round(1 - F.coalesce("kept", F.lit(0)) / F.col("alerts"), 6).alias("ratio"))
 
 
 def weigh_rules(df: DataFrame, rules: list[tuple[str, str, float]], threshold: float = 100.0) -> DataFrame:
@@ -57,7 +58,7 @@ def alerts_json(alerts: DataFrame) -> DataFrame:
 
 def alerts_text(alerts: DataFrame) -> DataFrame:
     """(line_no, rule, text): one line for each alert, as a log collector takes it."""
-    return alerts.select("line_no", "rule", F.concat(F.lit("ALERT: "), printable(F.col("reason")), F.lit(" | IP: "), "ip", F.lit(" | Tier: "), "tier", F.lit(" | Score: "), F.format_string("%.2f", "score")).alias("text"))
+    return alerts.select("line_no", "rule", F.concat(F.lit("ALERT: "), printable(F.col("reason")), F.lit(" | IP: "), "ip", F.lit(" | Tier: "), "tier", F.lit(" | Score: "), F.format_string("%.6f", "score")).alias("text"))
 
 
 def merge_feed(old: DataFrame, new: DataFrame, generation: int, keep: int = 2) -> DataFrame:
@@ -72,3 +73,25 @@ def dominant(spectrum: DataFrame, key: str, size: int, most: int = 3) -> DataFra
     s = spectrum.withColumn("all", F.sum("magnitude").over(w)).where(F.col("k").between(1, size // 2 - 1))
     ranked = s.withColumn("rank", F.row_number().over(w.orderBy(F.desc("magnitude"), "k"))).where(F.col("rank") <= most)
     return ranked.select(key, "k", "rank", "magnitude", F.round(F.col("magnitude") / F.col("all"), 5).alias("share"))
+
+
+def roll_back_feed(feed: DataFrame, generation: int) -> DataFrame:
+    """The feed without what ``generation`` loaded: a failed load leaves no trace."""
+    return feed.where(F.col("generation") < generation)
+
+
+def reliability(df: DataFrame, ms: int) -> DataFrame:
+    """(start_ms, index): the mean of the shares of requests without a server error and within a second, in percent."""
+    good = (F.count_if(F.col("status") < 500) + F.count_if(F.col("request_time_s") <= 1)) / (2 * F.count("*"))
+    return df.groupBy((F.floor(F.col("ts_ms") / ms) * ms).cast("long").alias("start_ms")).agg(F.round(good * 100, 4).alias("index"))
+
+
+def delivery_failures(deliveries: DataFrame) -> DataFrame:
+    """(sink, attempts, failed_pct) of delivery rows (sink, attempted, delivered)."""
+    failed = F.sum("attempted") - F.sum("delivered")
+    return deliveries.groupBy("sink").agg(F.sum("attempted").alias("attempts"), F.round(F.when(F.sum("attempted") > 0, failed * 100 / F.sum("attempted")), 4).alias("failed_pct"))
+
+
+def targeted_paths(alerts: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
+    """(path, alerts): the paths with most alerts."""
+    return alerts.join(rows.select("line_no", "path"), "line_no").groupBy("path").agg(F.count("*").alias("alerts")).orderBy(F.desc("alerts"), "path").limit(k)

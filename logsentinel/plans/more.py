@@ -10,7 +10,6 @@ from logsentinel.operators import enrich as E
 from logsentinel.operators import forest as I
 from logsentinel.operators import learning as L
 from logsentinel.operators import reports as P
-from logsentinel.operators import rules as R
 from logsentinel.operators import sessions as N
 from logsentinel.operators import thresholds as T
 from logsentinel.plans import registry as Q
@@ -134,12 +133,6 @@ def _(spark, d):
     return P.hit_rates(Q.alerts(spark, d), Q.log(spark, d))
 
 
-@query("throttle_stats")
-def _(spark, d):
-    found = Q.alerts(spark, d)
-    return P.throttle_report(found, R.throttle(found, seconds=DAY // 1000))
-
-
 WEIGHED = [("server_error", "status >= 500", 60.0), ("denied", "status IN (401, 403)", 50.0), ("slow", "request_time_s > 1", 40.0), ("large", "bytes_sent > 50000", 30.0)]
 
 
@@ -150,7 +143,8 @@ def _(spark, d):
 
 @query("alert_json")
 def _(spark, d):
-    return P.alerts_json(Q.alerts(spark, d))
+    from_json = F.from_json("json", "ts_ms long, ip string, tier string, action string, score double, reason string")
+    return P.alerts_json(Q.alerts(spark, d)).select("line_no", "rule", from_json.alias("j")).select("line_no", "rule", "j.*")
 
 
 @query("alert_text")

@@ -246,11 +246,6 @@ def _(spark, d):
     return alerts(spark, d).select("line_no", "ts_ms", "ip", "rule", "tier").orderBy(F.desc("ts_ms"), F.desc("line_no"), "rule").limit(50)
 
 
-@query("alert_throttle")
-def _(spark, d):
-    return R.throttle(alerts(spark, d), seconds=DAY // 1000)
-
-
 @query("top_ips", with_log("SELECT ip, count(*) AS n FROM al GROUP BY ip ORDER BY n DESC, ip LIMIT 10"))
 def _(spark, d):
     return A.top(log(spark, d).groupBy("ip").agg(F.count("*").alias("n")), 10, "n", "ip")
@@ -423,7 +418,7 @@ def _(spark, d):
 
 @query("ewma_baseline")
 def _(spark, d):
-    return L.ewma(_events(spark, d), ["entity_type", "entity_id"])
+    return L.ewma(_events(spark, d), ["entity_type", "entity_id"]).withColumn("ewma_var", F.round(F.col("ewma_var") + 1e-9, 2))
 
 
 @query("baseline_anomalies")
@@ -455,7 +450,7 @@ def _(spark, d):
     return L.dft(_season(spark, d, "hour"), "path", 24)
 
 
-from logsentinel.plans import more  # noqa: E402, F401  registers the rest
+from logsentinel.plans import learned, more, ops  # noqa: E402, F401  register the rest
 
 
 def queries() -> dict:
