@@ -1,20 +1,24 @@
-"""LM scoring (operator 5): a class-based log-bilinear model trained by noise-contrastive estimation.
-
-Words fall into ``CLASSES`` classes by their surface (short words by themselves, longer ones by
-their ending), class 0 is the end of a text. The log-bilinear model predicts the class of a token from
-the two before it; within a class a token has its smoothed share of the training counts. The
-probabilities of a context add up to 1 over the training vocabulary and one unknown token per class.
-
-Each scan task packs its texts into compressed blocks, which are written once as a table. Each block counts
-its own tokens where it lies, so that only one row for each distinct token and block is shuffled; counts over
-all training texts come back to the blocks that have the token, and the block's texts are scored against them.
-Texts are shuffled once, compressed. The driver sees class trigram counts (at most CLASSES ** 3 rows, whatever
-the corpus) and trains on them.
+"""LM scoring (operator 5): a log-bilinear model over word vectors, trained by noise-contrastive estimation.
+
+The model's units are the end of a text, the ``FREQUENT`` most frequent training words, and ``CLASSES`` classes of all other
+words by their surface (short words by themselves, longer ones by their ending). A unit has a vector for each of the two places
+before the token and one as the token itself; it predicts by the sum of the context's vectors times its own, and a bias,
+normalised over all units. A word of a class has its smoothed share of the class's training counts, so that the
+probabilities of a context add up to 1 over the training vocabulary and one unknown token for each class.
+
+1. Each scan task packs its texts into compressed blocks, which are written once as a table. Each block counts its own tokens
+   where it lies, so that only one row for each distinct token and block is shuffled.
+2. Training passes over the tokens of all training texts, ``ROUNDS`` times: each task takes minibatches of its own blocks, beginning
+   with the shared weights, and hands on its weights; they are averaged over all tasks, weighted by tokens, in
+   Spark. The driver sees the averages and the frequent words only (a bounded number, whatever the corpus).
+3. Counts over all training texts come back to the blocks that have the token, and the block's texts are scored by
+   batched matrix products; a task keeps the normaliser of each context that it has met.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +30,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import textkit as K
 from .session import stored
 
-CLASSES, DIM = 64, 16
+FREQUENT, CLASSES, DIM = 703, 64, 16
+#: Unit 0 is the end, then the frequent words, then the classes of the other words (class 0 is the end's and stays unused).
+UNITS = 1 + FREQUENT + CLASSES
 #: Bytes of text in a block, about; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
 #: Key of the end of a text.
 END_KEY = -(2**63)
-NOISE, STEPS, BATCH, RATE = 16, 1500, 2048, 0.02
+#: Passes over the corpus; a task with few tokens repeats them until it has made LEAST_STEPS steps.
+ROUNDS, LEAST_STEPS, NOISE, BATCH, RATES = 2, 150, 128, 4096, (0.02, 0.005)
 
 
 def _tokens(batch: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,16 +59,24 @@ def _tokens(batch: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, np.n
     return keys, classes, out_first
 
 
-def _contexts(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Classes of the two tokens before each token, as one number; before a text there are ends."""
-    one, two = np.zeros_like(classes), np.zeros_like(classes)
-    one[1:], two[2:] = classes[:-1], classes[:-2]
+def to_units(keys: np.ndarray, classes: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Units of tokens; ``head`` holds the frequent words' keys, sorted."""
+    if not len(head):
+        return np.where(keys == END_KEY, 0, 1 + FREQUENT + classes)
+    at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
+    return np.where(keys == END_KEY, 0, np.where(head[at] == keys, 1 + at, 1 + FREQUENT + classes))
+
+
+def contexts(units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Units of the second-last and the last token before each token; before a text there are ends."""
+    one, two = np.zeros_like(units), np.zeros_like(units)
+    one[1:], two[2:] = units[:-1], units[:-2]
     begin = first[:-1][np.diff(first) > 0]
     one[begin] = two[begin] = 0
     second = begin + 1
-    second = second[second < len(classes)]
+    second = second[second < len(units)]
     two[second] = 0
-    return two * CLASSES + one
+    return two, one
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,14 +107,13 @@ def _unpack(data: pa.Scalar) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block the distinct tokens (kind 0) and class trigrams (kind 1) with their training counts."""
+    """Of each block the distinct tokens with their training counts."""
     for batch in batches:
         for block, data in zip(batch.column("block"), batch.column("data"), strict=True):
-            keys, classes, train, trigrams = [], [], [], np.zeros(CLASSES**3, np.int64)
+            keys, classes, train = [], [], []
             for part in _unpack(data):
                 k, c, first = _tokens(part)
                 known = ~np.repeat(np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool), np.diff(first))
-                trigrams += np.bincount((_contexts(c, first) * CLASSES + c)[known], minlength=CLASSES**3)
                 u, at, back = np.unique(k, return_index=True, return_inverse=True)
                 keys.append(u)
                 classes.append(c[at])
@@ -107,78 +121,135 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k, c, n = map(np.concatenate, (keys, classes, train))
             u, at, back = np.unique(k, return_index=True, return_inverse=True)
             total = np.bincount(back, weights=n, minlength=len(u)).astype(np.int64)
-            tri = np.flatnonzero(trigrams)
-            m = len(u) + len(tri)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(m, block.as_py(), np.int64)),
-                    pa.array(np.repeat([0, 1], [len(u), len(tri)]), pa.int32()),
-                    pa.array(np.concatenate([u, tri])),
-                    pa.array(np.concatenate([c[at], np.zeros(len(tri), np.int64)]), pa.int32()),
-                    pa.array(np.concatenate([total, trigrams[tri]])),
-                ],
-                names=["block", "kind", "key", "class", "train"],
-            )
-
-
-def train(trigrams: np.ndarray, counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
-    """Log-bilinear weights from class trigrams (two before, one before, target) and their counts.
-
-    Noise-contrastive estimation against the classes' own frequencies, ``NOISE`` noise classes for each
-    example, Adam. Without examples all weights are zero (the uniform model).
-    """
-    rng = np.random.default_rng(seed)
-    p = {"two": rng.normal(0, 0.1, (CLASSES, DIM)), "one": rng.normal(0, 0.1, (CLASSES, DIM)), "out": rng.normal(0, 0.1, (CLASSES, DIM)), "bias": np.zeros(CLASSES)}
-    total = counts.sum()
-    if not total:
-        return {k: np.zeros_like(v) for k, v in p.items()}
-    unigram = np.bincount(trigrams % CLASSES, weights=counts, minlength=CLASSES) + 0.5
-    unigram /= unigram.sum()
-    p["bias"] = np.log(unigram)
-    shift = np.log(NOISE * unigram)
-    mean, var = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    cum_data, cum_noise = np.cumsum(counts / total), np.cumsum(unigram)
-    for step in range(1, STEPS + 1):
-        x = trigrams[np.minimum(np.searchsorted(cum_data, rng.random(BATCH)), len(trigrams) - 1)]
-        two, one, target = x // CLASSES**2, x // CLASSES % CLASSES, x % CLASSES
-        noise = np.minimum(np.searchsorted(cum_noise, rng.random((BATCH, NOISE))), CLASSES - 1)
-        words = np.concatenate([target[:, None], noise], axis=1)
-        hidden = p["two"][two] + p["one"][one]
-        s = np.einsum("bd,bkd->bk", hidden, p["out"][words]) + p["bias"][words] - shift[words]
-        err = 1 / (1 + np.exp(-s))
-        err[:, 0] -= 1
-        err /= BATCH
-        g_hidden = np.einsum("bk,bkd->bd", err, p["out"][words])
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        np.add.at(grad["two"], two, g_hidden)
-        np.add.at(grad["one"], one, g_hidden)
-        grad["bias"] = np.bincount(words.ravel(), weights=err.ravel(), minlength=CLASSES)
-        weight = np.zeros((CLASSES, BATCH))
-        np.add.at(weight, (words.ravel(), np.repeat(np.arange(BATCH), NOISE + 1)), err.ravel())
-        grad["out"] = weight @ hidden
-        rate = RATE * (1 - step / (STEPS + 1))
-        for k, g in grad.items():
-            mean[k] = 0.9 * mean[k] + 0.1 * g
-            var[k] = 0.99 * var[k] + 0.01 * g * g
-            p[k] = p[k] - rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.99**step)) + 1e-8)
-    return p
-
-
-def log_probabilities(p: dict[str, np.ndarray]) -> np.ndarray:
-    """(CLASSES ** 2 contexts, CLASSES) normalised log10 probabilities, by one batched matrix product."""
-    hidden = (p["two"][:, None, :] + p["one"][None, :, :]).reshape(-1, DIM)
-    s = hidden @ p["out"].T + p["bias"]
-    s -= s.max(axis=1, keepdims=True)
-    return (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), block.as_py(), np.int64)), pa.array(u), pa.array(c[at], pa.int32()), pa.array(total)], names=["block", "key", "class", "train"])
+
+
+def begin(unit_counts: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Weights (UNITS, 3 * DIM + 1) before training: small vectors for the two places and the token, and the units' own frequency as bias."""
+    share = (unit_counts + 0.5) / (unit_counts.sum() + 0.5 * UNITS)
+    return np.concatenate([np.random.default_rng(seed).normal(0, 0.1, (UNITS, 3 * DIM)), np.log(share)[:, None]], axis=1)
+
+
+def _rows_added(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(UNITS, n) sums of rows by index."""
+    out = np.zeros((UNITS, rows.shape[1]), rows.dtype)
+    order = np.argsort(index, kind="stable")
+    at = index[order]
+    lead = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    out[at[lead]] = np.add.reduceat(rows[order], lead, axis=0)
+    return out
+
+
+class Trainer:
+    """Noise-contrastive estimation against the units' own frequencies, ``NOISE`` noise units for a minibatch, by Adam."""
+
+    def __init__(self, weights: np.ndarray, unit_counts: np.ndarray, rate: float, seed: int):
+        self.w = weights.astype(np.float32)
+        #: Average of the weights of about the last 50 steps, which is what a task hands on.
+        self.smooth = self.w.copy()
+        share = (unit_counts + 0.5) / (unit_counts.sum() + 0.5 * UNITS)
+        self.shift, self.cum = np.log(NOISE * share).astype(np.float32), np.cumsum(share)
+        self.mean, self.var, self.steps = np.zeros_like(self.w), np.zeros_like(self.w), 0
+        self.rate, self.rng = rate, np.random.default_rng(seed)
+
+    def step(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> None:
+        w, d = self.w, DIM
+        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), UNITS - 1)
+        hidden, out, other = w[two, :d] + w[one, d : 2 * d], w[target, 2 * d : 3 * d], w[noise, 2 * d : 3 * d]
+        good = np.einsum("bd,bd->b", hidden, out) + w[target, -1] - self.shift[target]
+        bad = hidden @ other.T + (w[noise, -1] - self.shift[noise])
+        good, bad = (1 / (1 + np.exp(-good)) - 1) / len(target), 1 / (1 + np.exp(-bad)) / len(target)
+        g_hidden = good[:, None] * out + bad @ other
+        grad = np.zeros_like(w)
+        grad[:, :d], grad[:, d : 2 * d] = _rows_added(two, g_hidden), _rows_added(one, g_hidden)
+        grad[:, 2 * d :] = _rows_added(target, np.concatenate([good[:, None] * hidden, good[:, None]], axis=1))
+        np.add.at(grad[:, 2 * d :], noise, np.concatenate([bad.T @ hidden, bad.sum(axis=0)[:, None]], axis=1))
+        self.steps += 1
+        self.mean += np.float32(0.1) * (grad - self.mean)
+        self.var += np.float32(0.01) * (grad * grad - self.var)
+        self.w -= np.float32(self.rate) * (self.mean / np.float32(1 - 0.9**self.steps)) / (np.sqrt(self.var / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8))
+        self.smooth += np.float32(max(0.02, 1 / self.steps)) * (self.w - self.smooth)
+
+    def learn(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> None:
+        order = self.rng.permutation(len(target))
+        for at in range(0, len(order), BATCH):
+            now = order[at : at + BATCH]
+            self.step(two[now], one[now], target[now])
+
+
+def _learn(blocks: DataFrame, head: np.ndarray, unit_counts: np.ndarray, weights: np.ndarray, rate: float) -> np.ndarray:
+    """Weights after one pass over all blocks: the average of the tasks' weights by their training tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held, tokens = Trainer(weights, unit_counts, rate, 11), [], 0
+        for batch in batches:
+            for data in batch.column("data"):
+                for part in _unpack(data):
+                    k, c, first = _tokens(part)
+                    u = to_units(k, c, head).astype(np.int32)
+                    known = np.flatnonzero(~np.repeat(np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool), np.diff(first)))
+                    if len(known):
+                        two, one = contexts(u, first)
+                        tokens += len(known)
+                        held.append((two[known], one[known], u[known]))
+                        model.learn(*held[-1])
+                        if model.steps >= LEAST_STEPS:
+                            held.clear()
+        again = tuple(map(np.concatenate, zip(*held, strict=True)))
+        while again and model.steps < LEAST_STEPS:
+            model.learn(*again)
+        if tokens:
+            flat = model.smooth.astype(np.float64).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * tokens), pa.array(np.full(len(flat), tokens), pa.int64())], names=["place", "value", "tokens"])
+
+    rows = blocks.select("data").mapInArrow(run, "place int, value double, tokens long").groupBy("place").agg((F.sum("value") / F.sum("tokens")).alias("value")).toArrow()
+    out = weights.ravel().copy()
+    out[rows.column("place").to_numpy()] = rows.column("value").to_numpy()
+    return out.reshape(weights.shape)
+
+
+class Model:
+    """Normalised log10 probabilities of units; the normaliser of a context is computed once."""
+
+    def __init__(self, weights: np.ndarray):
+        self.two, self.one, self.out, self.bias = np.split(weights.astype(np.float32), [DIM, 2 * DIM, 3 * DIM], axis=1)
+        self.bias = self.bias[:, 0]
+        self.norm = np.full(UNITS * UNITS, np.nan, np.float32)
+
+    def log_probabilities(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """(contexts, UNITS), by a matrix product."""
+        s = (self.two[two] + self.one[one]) @ self.out.T + self.bias
+        top = s.max(axis=1, keepdims=True)
+        return (s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))) / np.log(np.float32(10))
+
+    def score(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, rows: int = 4096) -> np.ndarray:
+        context = two.astype(np.int64) * UNITS + one
+        fresh = np.unique(context[np.isnan(self.norm[context])])
+        for at in range(0, len(fresh), rows):
+            now = fresh[at : at + rows]
+            s = (self.two[now // UNITS] + self.one[now % UNITS]) @ self.out.T
+            s += self.bias
+            top = s.max(axis=1)
+            s -= top[:, None]
+            self.norm[now] = top + np.log(np.exp(s, out=s).sum(axis=1))
+        s = np.einsum("bd,bd->b", self.two[two] + self.one[one], self.out[target]) + self.bias[target]
+        return ((s - self.norm[context]) / np.log(10)).astype(np.float64)
+
+
+@lru_cache(maxsize=1)
+def _model(data: bytes) -> Model:
+    """One model for all tasks of a worker."""
+    return Model(np.frombuffer(data, np.float32).reshape(UNITS, -1))
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Rows whose crc32 of the id as text is ``held`` modulo ``folds`` are not learned from (a null id counts
-    as 0). Null or empty text is one token, the end. With no training rows counts are 0 and the class model
-    is uniform. Repeated rows count each; an empty table gives an empty result; other columns are not read.
-    Words are compared by 64-bit hashes.
+    as 0). Null or empty text is one token, the end. With no training rows counts are 0 and units are about
+    equally likely. Repeated rows count each; an empty table gives an empty result; other columns are not read. A text of any
+    length is read whole, as a block of its own where it is long. Words are compared by 64-bit hashes: among a million distinct
+    words two share a hash with a probability of 3e-8. Ties among frequent words are broken by their hash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(
@@ -187,22 +258,31 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % folds == held).alias("held_out"),
     )
     blocks = stored(texts.mapInArrow(_pack, "block long, data binary"))
-    counted = stored(blocks.mapInArrow(_count, "block long, kind int, key long, class int, train long"))
-    words = counted.where("kind = 0")
+    words = stored(blocks.mapInArrow(_count, "block long, key long, class int, train long"))
     totals = stored(words.groupBy("key", "class").agg(F.sum("train").alias("c")).where("c > 0"))
-    by_class = np.zeros((CLASSES, 2), np.int64)
+    frequent = totals.where(F.col("key") != END_KEY).orderBy(F.desc("c"), "key").limit(FREQUENT).collect()
+    head = np.sort(np.array([r["key"] for r in frequent], np.int64))
+    by_class = np.zeros((CLASSES, 2), np.int64)  # tokens and distinct words of each class, without the frequent ones
+    ends, taken = 0, {(r["key"]): r["c"] for r in frequent}
     for r in totals.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         by_class[r["class"]] = r["n"], r["v"]
-    rows = counted.where("kind = 1").groupBy("key").agg(F.sum("train").alias("c")).orderBy("key").collect()
-    params = train(np.array([r["key"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.float64))
     n, v = (int(x) for x in by_class.sum(axis=0))
+    for r in frequent:
+        by_class[r["class"]] -= r["c"], 1
+    ends, by_class[0] = by_class[0, 0], 0
+    unit_counts = np.concatenate([[ends], [taken[k] for k in head.tolist()], np.zeros(FREQUENT - len(head)), by_class[:, 0]]).astype(np.float64)
+    weights = begin(unit_counts)
+    if n:
+        for rate in RATES[:ROUNDS]:
+            weights = _learn(blocks, head, unit_counts, weights, rate)
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32).tobytes())
     known = words.select("block", "key").join(totals.select("key", "c"), "key").select("block", "key", "c")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("key").to_numpy())
         keys, counts = right.column("key").to_numpy()[order], right.column("c").to_numpy()[order]
-        table = log_probabilities(params)
-        share = np.log10(np.maximum(1, by_class.sum(axis=1) + 1))
+        model_of = _model(shared.value)
+        share = np.log10(by_class.sum(axis=1) + 1.0)
         out = []
         for data in left.column("data"):
             for part in _unpack(data):
@@ -210,7 +290,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 count = K.lookup(keys, counts, k)
                 log_count = np.log10(count + 1.0)
                 base = log_count - np.log10(n + v + 1)
-                model = table[_contexts(c, first), c] + np.where(c > 0, log_count - share[c], 0.0)
+                u = to_units(k, c, head)
+                model = model_of.score(*contexts(u, first), u) + np.where(u > FREQUENT, log_count - share[c], 0.0)
                 sums = [np.add.reduceat(x, first[:-1]) for x in (base, model, (count > 0).astype(np.int64))]
                 out.append(pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(np.diff(first), pa.int64()), pa.array(sums[2]), pa.array(np.full(part.num_rows, n), pa.int64()), pa.array(sums[0]), pa.array(sums[1])], names=names))
         return pa.Table.from_batches(out) if out else nothing

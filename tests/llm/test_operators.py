@@ -186,8 +186,58 @@ def test_lm_base_scores_and_normalisation(spark):
         assert got[i]["n_known"] == sum(count[x] > 0 for x in w)
         assert math.isclose(got[i]["base_score"], sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), abs_tol=1e-6)
         assert got[i]["score"] <= 0
-    p = lm.train(np.arange(0, lm.CLASSES**3, 977), np.ones(len(range(0, lm.CLASSES**3, 977))))
-    assert np.allclose((10 ** lm.log_probabilities(p)).sum(axis=1), 1)
+
+
+def test_lm_probabilities_add_up_to_one():
+    rng = np.random.default_rng(4)
+    model = lm.Model(rng.normal(size=(lm.UNITS, 3 * lm.DIM + 1)))
+    two, one, target = (rng.integers(0, lm.UNITS, 500) for _ in range(3))
+    p = model.log_probabilities(two, one)
+    assert np.allclose((10.0**p).sum(axis=1), 1, atol=1e-4)
+    for _ in range(2):  # the second time from the normalisers that were kept
+        assert np.allclose(model.score(two, one, target), p[np.arange(500), target], atol=1e-4)
+
+
+def test_lm_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(6)
+    t = lm.Trainer(rng.normal(0, 0.3, (lm.UNITS, 3 * lm.DIM + 1)), np.ones(lm.UNITS), 0.0, 3)
+    two, one, target = (rng.integers(0, lm.UNITS, 40) for _ in range(3))
+    noise = np.minimum(np.searchsorted(t.cum, np.random.default_rng(3).random(lm.NOISE)), lm.UNITS - 1)
+    d = lm.DIM
+
+    def loss(w):
+        h = w[two, :d] + w[one, d : 2 * d]
+        good = (h * w[target, 2 * d : 3 * d]).sum(axis=1) + w[target, -1] - t.shift[target]
+        bad = h @ w[noise, 2 * d : 3 * d].T + w[noise, -1] - t.shift[noise]
+        return (np.logaddexp(0, -good).sum() + np.logaddexp(0, bad).sum()) / len(target)
+
+    w = t.w.astype(np.float64)
+    t.step(two, one, target)
+    grad = t.mean * 10
+    for i, j in ((two[0], 2), (one[5], d + 1), (target[9], 2 * d + 3), (noise[0], 2 * d), (noise[7], 3 * d), (target[3], 3 * d)):
+        e = np.zeros_like(w)
+        e[i, j] = 1e-4
+        assert math.isclose(grad[i, j], (loss(w + e) - loss(w - e)) / 2e-4, rel_tol=2e-2, abs_tol=1e-4)
+
+
+def test_lm_beats_counts_and_class_trigrams_on_held_out_texts(spark):
+    table = duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet' order by doc_id").fetchall()
+    scored = {r["doc_id"]: r for r in lm.op5_lm_scores(spark, "/root/testdata/sf0.01").collect()}
+    held = np.array([scored[i]["held_out"] for i, _ in table])
+    k, c, first = lm._tokens(pa.RecordBatch.from_arrays([pa.array([t for _, t in table], pa.string())], names=["text"]))
+    out = np.repeat(held, np.diff(first))
+    two, one = lm.contexts(c, first)
+    tri = np.zeros((lm.CLASSES,) * 3)
+    np.add.at(tri, (two[~out], one[~out], c[~out]), 1)
+    uni = (tri.sum(axis=(0, 1)) + 1) / (tri.sum() + lm.CLASSES)
+    p = (tri + 5 * uni) / (tri.sum(axis=2, keepdims=True) + 5)
+    words, count = np.unique(k[~out], return_counts=True)
+    of, size = K.lookup(words, count, k), np.bincount(c[~out], minlength=lm.CLASSES)
+    kinds = np.bincount(c[~out][np.unique(k[~out], return_index=True)[1]], minlength=lm.CLASSES)
+    trigram = np.log10(p[two, one, c]) + np.where(c > 0, np.log10((of + 1) / (size[c] + kinds[c] + 1)), 0)
+    n = out.sum()
+    mean = lambda name: sum(scored[i][name] for (i, _), h in zip(table, held, strict=True) if h) / n
+    assert mean("score") > trigram[out].mean() + 0.02 and mean("score") > mean("base_score") + 0.1
 
 
 def test_toxicity_learns_and_catches_misspellings():
