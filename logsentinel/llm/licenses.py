@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import MORE
 from .session import checkpoint
 
 #: Licences that are broadcast at most; more of them are joined by a shuffle.
@@ -19,6 +20,8 @@ BROADCAST_ROWS = 100_000
 #: Equivalent spellings, in the order in which they are replaced.
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("copy right", "copyright")]
 COPYRIGHT = r"^((c|©) )?copyright( |$)|^© |^c (19|20)[0-9][0-9]|^all rights reserved$"
+#: How a licence's own wording may go on where a line begins with "copyright": such lines stay.
+WORDING = r"^copyright (notices?|holders?|owners?|laws?|interests?|licenses?|and|or|in|to|this|the above)( |$)"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -36,6 +39,7 @@ LICENSES = [
     ("ISC", f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_DISCLAIMER}"),
     ("ISC", f"ISC License\n{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_DISCLAIMER}"),
     ("0BSD", f"{_ISC_GRANT}.\n{_ISC_DISCLAIMER}"),
+    *MORE,
 ]
 NOTICES = [
     ("MIT", "Released under the MIT License."),
@@ -58,7 +62,7 @@ def _line(x: Column) -> Column:
 def canonical_lines(text: Column) -> Column:
     """Normalised lines without copyright lines and empty ones."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "[\r\n]+", -1), _line)
-    return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT))
+    return F.filter(lines, lambda x: (x != "") & (~x.rlike(COPYRIGHT) | x.rlike(WORDING)))
 
 
 def _digests(known: DataFrame) -> DataFrame:
@@ -107,7 +111,7 @@ WITH lic(license, text) AS (VALUES {values(LICENSES)}), note(license, text) AS (
 every AS (
   SELECT 'd' AS kind, doc_id AS id, '' AS license, text FROM documents UNION ALL SELECT 'l', 0, license, text FROM lic UNION ALL SELECT 'n', 0, license, text FROM note),
 norm AS (
-  SELECT kind, id, license, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[\\r\\n]+'), lambda x: {line}), lambda x: x <> '' AND NOT regexp_matches(x, '{COPYRIGHT}')) AS lines FROM every),
+  SELECT kind, id, license, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[\\r\\n]+'), lambda x: {line}), lambda x: x <> '' AND (NOT regexp_matches(x, '{COPYRIGHT}') OR regexp_matches(x, '{WORDING}'))) AS lines FROM every),
 whole AS (SELECT sha256(array_to_string(lines, ' ')) AS digest, min(license) AS license FROM norm WHERE kind = 'l' GROUP BY 1),
 single AS (SELECT DISTINCT array_to_string(lines, ' ') AS line, license FROM norm WHERE kind = 'n'),
 doc AS (SELECT id, lines, sha256(array_to_string(lines, ' ')) AS digest FROM norm WHERE kind = 'd'),
