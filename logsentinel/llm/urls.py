@@ -1,7 +1,7 @@
 """URL filters (operator 8): a sorted digest array of rules, memory-mapped in each task.
 
-Rules (host, path, verdict) become a file of sorted 64-bit xxhash keys and a file of the full rule
-strings. Spark ships both to every executor; a task maps the keys, probes all keys that its
+Rules (host, path, verdict) become files of sorted 64-bit xxhash keys, of the full rule strings with their places, and of
+verdicts. Spark ships them to every executor; a task maps them, probes all keys that its
 urls can fit (each suffix of the host with each path length that a rule has) by one vectorised binary
 search for each, and confirms hits on the stored string.
 """
@@ -36,11 +36,13 @@ def build_filter(spark: SparkSession, rules: Iterable[tuple[str, str, str]], fol
     if (spark.sparkContext.applicationId, name) in _SHIPPED:
         return name
     folder = folder or tempfile.mkdtemp(prefix="url-filter-")
-    digests.tofile(os.path.join(folder, name + ".keys"))
     strings = [r.encode() for r, _ in table]
-    with open(os.path.join(folder, name + ".json"), "w") as f:
-        json.dump({"ends": np.cumsum([len(s) for s in strings]).tolist(), "strings": b"".join(strings).decode(), "verdicts": [v for _, (v, _) in table], "paths": sorted({n for _, (_, n) in table})}, f)
-    for ext in (".keys", ".json"):
+    ends = np.cumsum([0, *map(len, strings)]).astype("<i8")
+    verdicts = sorted({v for _, (v, _) in table})
+    files = {".keys": digests.tobytes(), ".text": b"".join(strings), ".ends": ends.tobytes(), ".says": np.array([verdicts.index(v) for _, (v, _) in table], "<i4").tobytes(), ".json": json.dumps({"verdicts": verdicts, "paths": sorted({n for _, (_, n) in table})}).encode()}
+    for ext, data in files.items():
+        with open(os.path.join(folder, name + ext), "wb") as f:
+            f.write(data)
         spark.sparkContext.addFile(os.path.join(folder, name + ext))
     _SHIPPED.add((spark.sparkContext.applicationId, name))
     return name
@@ -55,13 +57,18 @@ class Filter:
     """The filter in a task."""
 
     def __init__(self, name: str):
-        self.size = os.path.getsize(SparkFiles.get(name + ".keys")) // 8
-        self.keys = np.memmap(SparkFiles.get(name + ".keys"), "<u8", "r") if self.size else np.zeros(0, "<u8")
+        def mapped(ext: str, kind: str) -> np.ndarray:
+            path = SparkFiles.get(name + ext)
+            return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+
+        self.keys, self.text, self.ends, self.says = mapped(".keys", "<u8"), mapped(".text", "u1"), mapped(".ends", "<i8"), mapped(".says", "<i4")
+        self.size = len(self.keys)
         with open(SparkFiles.get(name + ".json")) as f:
-            table = json.load(f)
-        raw, ends = table["strings"].encode(), table["ends"]
-        self.strings = [raw[a:b].decode() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        self.verdicts, self.paths = table["verdicts"], table["paths"]
+            small = json.load(f)
+        self.verdicts, self.paths = small["verdicts"], small["paths"]
+
+    def string(self, k: int) -> str:
+        return self.text[self.ends[k] : self.ends[k + 1]].tobytes().decode()
 
     def find(self, candidates: list[str], rows: np.ndarray, n: int) -> tuple[list, list]:
         """The longest rule among each row's candidates."""
@@ -75,8 +82,8 @@ class Filter:
             for i in hit.tolist():
                 k, row = int(at[i]), int(rows[i])
                 while k < self.size and self.keys[k] == digests[i]:  # equal digests stand side by side
-                    if self.strings[k] == candidates[i] and (rule[row] is None or len(candidates[i]) > len(rule[row])):
-                        rule[row], verdict[row] = candidates[i], self.verdicts[k]
+                    if self.string(k) == candidates[i] and (rule[row] is None or len(candidates[i]) > len(rule[row])):
+                        rule[row], verdict[row] = candidates[i], self.verdicts[self.says[k]]
                     k += 1
         return rule, verdict
 
@@ -97,7 +104,7 @@ def judge_urls(pages: DataFrame, name: str, default: str = DEFAULT, id_col: str
 
     A rule fits its host and all subdomains of it where the path starts with the rule's; the longest
     rule wins. Without a rule: null and ``default``. Null, empty or malformed urls have an empty host and
-    path; repeated rows get a row each; null ids stay null; an empty table gives an empty result.
+    path; repeated rows get a row each; null ids stay null; an empty table gives an empty result; a filter without rules fits nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
