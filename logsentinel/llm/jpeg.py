@@ -266,6 +266,10 @@ def _ac_refine(bits: _Bits, coef: np.ndarray, blocks: np.ndarray, first: int, la
         at += 1
 
 
+#: Largest image, and most pixels that a file's byte may stand for: what claims more isn't read.
+MOST_PIXELS, PIXELS_A_BYTE = 1 << 28, 1 << 12
+
+
 def read_coefficients(media: bytes) -> dict:
     """Coefficients of a progressive JPEG: width, height, comment, and for each component its sampling,
     quantisation, padded block rows and columns, and (blocks, 64) zigzag values."""
@@ -291,7 +295,11 @@ def read_coefficients(media: bytes) -> dict:
             (restart,) = struct.unpack(">H", body)
         elif marker == 0xC2:
             _, out["height"], out["width"], n = struct.unpack(">BHHB", body[:6])
+            if not 0 < out["width"] * out["height"] <= MOST_PIXELS or out["width"] * out["height"] > len(media) * PIXELS_A_BYTE or out["components"]:
+                raise ValueError("no plausible size")
             out["components"] = [{"id": i, "h": hv >> 4, "v": hv & 15, "quant": q} for i, hv, q in zip(*[iter(body[6 : 6 + 3 * n])] * 3, strict=True)]
+            if len(out["components"]) != n or n not in (1, 3) or not all(0 < c["h"] <= 4 and 0 < c["v"] <= 4 for c in out["components"]):
+                raise ValueError("grey or three components are read")
             out["h"], out["v"] = max(c["h"] for c in out["components"]), max(c["v"] for c in out["components"])
             out["wide"], out["tall"] = -(-out["width"] // (8 * out["h"])), -(-out["height"] // (8 * out["v"]))
             for c in out["components"]:
@@ -300,11 +308,15 @@ def read_coefficients(media: bytes) -> dict:
         elif marker in (0xC0, 0xC1, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
             raise ValueError("only progressive Huffman-coded files are read")
         elif marker == 0xDA:
+            if not out["components"]:
+                raise ValueError("a scan before the frame")
             stop = at
             while (stop := media.index(b"\xff", stop)) >= 0 and (media[stop + 1] == 0 or 0xD0 <= media[stop + 1] <= 0xD7):
                 stop += 2
             _read_scan(out, tables, body, media[at:stop], restart)
             at = stop
+    if not out["components"]:
+        raise ValueError("no frame")
     for c in out["components"]:
         c["quant"] = quant.get(c["quant"], np.ones(64, np.float32))
     return out

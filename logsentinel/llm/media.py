@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -45,30 +46,31 @@ def feature(rgb: np.ndarray) -> str:
 
 
 def read_media(stored: DataFrame, tensors: bool = True, payloads: bool = True, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """Reads the files of a binary column ``media`` back: sizes and digests of file and payload, feature,
-    and on demand the payload and the tensor (width, height, rgb: height x width x 3 bytes).
+    """Reads the files of a binary column ``media`` back: sizes and digests of file and payload, feature, width and
+    height, and on demand the payload and the tensor (rgb: height x width x 3 bytes).
 
-    A null file or one that is no progressive JPEG gives nulls in all of these columns; a file without a
-    stored payload gives nulls in the payload's.
+    A null file, one that is no progressive JPEG, is cut short, is broken, or claims more than ``jpeg.MOST_PIXELS`` or more blocks
+    than its bytes could hold gives nulls in all of these columns; a file without a stored payload gives nulls in the
+    payload's. Repeated rows give equal rows; an empty table gives an empty result; very long texts are one large image each.
     """
     kinds = {f.name: f.dataType.simpleString() for f in stored.schema.fields}
-    extra = [("payload", "binary")] * payloads + [("width", "int"), ("height", "int"), ("rgb", "binary")] * tensors
+    extra = [("payload", "binary")] * payloads + [("width", "int"), ("height", "int")] + [("rgb", "binary")] * tensors
     fields = [("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), *extra]
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32()}
 
     def one(media: bytes | None) -> dict:
+        if media is None:
+            return {}
         try:
-            if media is None:
-                return {}
             image = jpeg.read_coefficients(media)
+            payload = jpeg.read_payload(image) if image["comment"].startswith(b"payload ") else None
             rgb = jpeg.to_rgb(image)
-        except (ValueError, KeyError, IndexError):
+        except (ValueError, KeyError, IndexError, ArithmeticError, struct.error):  # whatever a broken file may lead to
             return {}
-        row = {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(rgb)}
+        row = {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(rgb), "width": image["width"], "height": image["height"]}
         if tensors:
-            row |= {"width": image["width"], "height": image["height"], "rgb": rgb.tobytes()}
-        if image["comment"].startswith(b"payload "):
-            payload = jpeg.read_payload(image)
+            row |= {"rgb": rgb.tobytes()}
+        if payload is not None:
             row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:])}
             row |= {"payload": payload} if payloads else {}
         return row
@@ -85,5 +87,14 @@ def read_media(stored: DataFrame, tensors: bool = True, payloads: bool = True, k
     return stored.select(*keep, "media").mapInArrow(run, schema)
 
 
+def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes (id, n_bytes, media) as a table, reads its files back and writes their tensors beside it: (id, n_bytes, sizes and digests,
+    feature, width, height, rgb). Returns the table of tensors."""
+    store_texts(docs, id_col, text_col).write.mode("errorifexists").parquet(f"{path}/media")
+    read = read_media(docs.sparkSession.read.parquet(f"{path}/media"), tensors=True, payloads=False, keep=(id_col, "n_bytes"))
+    read.write.mode("errorifexists").parquet(f"{path}/tensors")
+    return docs.sparkSession.read.parquet(f"{path}/tensors")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")), tensors=False, payloads=False)

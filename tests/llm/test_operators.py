@@ -2,6 +2,7 @@ import json
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -173,6 +174,45 @@ def test_broken_media_is_null(spark):
     assert all(r["media_sha256"] is None and r["rgb"] is None for r in media.read_media(rows).collect())
 
 
+def test_damaged_media_never_ends_a_task(spark):
+    good = bytes(media.store_texts(docs(spark, ["some text " * 40])).first()["media"])
+    rng = random.Random(7)
+    odd = [b"\xff\xd8\xff\xc4", b"\xff\xd8", b"", good[:5], good[:90], good[:-40]] + [good[: rng.randrange(len(good))] for _ in range(40)]
+    for _ in range(120):
+        b = bytearray(good)
+        b[rng.randrange(2, len(b))] = rng.randrange(256)
+        odd.append(bytes(b))
+    at = good.index(b"\xff\xc2")
+    odd += [good[: at + 5] + b"\xff\xff\xff\xff" + good[at + 9 :], good.replace(b"payload ", b"payload abc ")[: len(good)]]
+    rows = spark.createDataFrame([(i, 0, m) for i, m in enumerate([good, *odd])], "doc_id long, n_bytes long, media binary")
+    got = by_id(media.read_media(rows, tensors=True, payloads=True))
+    assert len(got) == len(odd) + 1 and got[0]["payload"].startswith(b"some text ") and all(got[i]["media_bytes"] is None for i in range(1, 6))
+    assert got[len(odd) - 1]["media_bytes"] is None
+
+
+def test_stored_tensors_are_read_back(spark, tmp_path):
+    stored = by_id(media.store_media(docs(spark, ["a", "b" * 5000, None]), str(tmp_path)))
+    assert all(len(r["rgb"]) == 3 * r["width"] * r["height"] > 0 for r in stored.values())
+    now = by_id(media.read_media(spark.read.parquet(f"{tmp_path}/media"), tensors=True))
+    assert all(now[i]["rgb"] == r["rgb"] and now[i]["media_sha256"] == r["media_sha256"] for i, r in stored.items())
+
+
+def test_filters_without_rules_and_with_many(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.com/x/y"), (2, None), (3, "http://w3.org/")], "page_id long, url string")
+    none = by_id(urls.judge_urls(pages, urls.build_filter(spark, [])), "page_id")
+    assert all(r["rule"] is None and r["verdict"] == "allow" for r in none.values())
+    many = [(f"h{i}.org", f"/p{i % 7}/", "block") for i in range(3000)] + [("b.com", "/x/", "block"), ("a.b.com", "/x/", "keep")]
+    got = by_id(urls.judge_urls(pages.union(spark.createDataFrame([(4, "http://z.h5.org/p5/q")], pages.schema)), urls.build_filter(spark, many)), "page_id")
+    assert (got[1]["verdict"], got[4]["rule"], got[4]["verdict"], got[2]["rule"]) == ("keep", "h5.org/p5/", "block", None)
+
+
+def test_every_known_license_is_found(spark):
+    known, notices = spark.createDataFrame(licenses.LICENSES, "license string, text string"), spark.createDataFrame(licenses.NOTICES, "license string, text string")
+    wrapped = lambda t: "Copyright (c) 1999 Some One\n\n" + "\n".join(textwrap.fill(line.upper(), 60, break_on_hyphens=False) for line in t.split("\n"))
+    got = by_id(licenses.scan_licenses(docs(spark, [wrapped(t) for _, t in licenses.LICENSES]), known, notices))
+    assert [got[i]["license"] for i in range(len(got))] == [n for n, _ in licenses.LICENSES] and len({n for n, _ in licenses.LICENSES}) == 10
+
+
 def test_lm_base_scores_and_normalisation(spark):
     texts = TRICKY + sample_texts(60)
     split = lambda t: [w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None]
