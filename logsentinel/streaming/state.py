@@ -2,7 +2,8 @@
 
 They need a state store with column families (``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider). Rows of a
 batch are taken in order of (ts_ms, line_no); a row older than what the state has seen counts at its own time, and is
-out of the windows that have passed it. State that wasn't touched for ``ttl_ms`` goes.
+out of the windows that have passed it. State that wasn't touched for ``ttl_ms`` goes; such a stream goes on looking for state to drop
+until it is stopped, so a run over the available rows alone takes ``ttl_ms=None``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def _ordered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class _Windows(StatefulProcessor):
-    def __init__(self, cfg: Config, ttl_ms: int):
+    def __init__(self, cfg: Config, ttl_ms: int | None):
         self.cfg, self.ttl = cfg, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -48,34 +49,36 @@ class _Windows(StatefulProcessor):
         pass
 
 
-def live_windows(rows: DataFrame, cfg: Config = Config(), ttl_ms: int = 604_800_000) -> DataFrame:
+def live_windows(rows: DataFrame, cfg: Config = Config(), ttl_ms: int | None = 604_800_000) -> DataFrame:
     """(ip, line_no, ts_ms, ip_req_window, ip_failed_window) of a stream of rows (line_no, ts_ms, ip, status).
 
     The state of an address is its requests of the last ``window_ms``.
     """
     schema = "ip string, line_no long, ts_ms long, ip_req_window long, ip_failed_window long"
-    return rows.select("ip", "line_no", "ts_ms", "status").groupBy("ip").transformWithStateInPandas(_Windows(cfg, ttl_ms), schema, "Append", "ProcessingTime")
+    return rows.select("ip", "line_no", "ts_ms", "status").groupBy("ip").transformWithStateInPandas(_Windows(cfg, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 class _Throttle(StatefulProcessor):
-    def __init__(self, span_ms: int, most_between: int):
-        self.span, self.most = span_ms, most_between
+    def __init__(self, span_ms: int, most_between: int, ttl_ms: int | None):
+        self.span, self.most, self.ttl = span_ms, most_between, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "reason string", "ts_ms long, recorded long", ttlDurationMs=max(self.span, 1) * 10)
-        self.recorded = handle.getValueState("recorded", "n long")
+        self.known = handle.getMapState("known", "reason string", "ts_ms long, recorded long", ttlDurationMs=self.ttl)
+        self.recorded = handle.getValueState("recorded", "n long", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         recorded = self.recorded.get()[0] if self.recorded.exists() else 0
-        keep = []
+        known, changed, keep = {k[0]: tuple(v) for k, v in self.known.iterator()}, {}, []
         batch = _ordered(rows)
         for ts, reason in zip(batch["ts_ms"], batch["reason"], strict=True):
-            last = self.known.getValue((reason,)) if self.known.containsKey((reason,)) else None
+            last = known.get(reason)
             again = last is None or ts >= last[0] + self.span or bool(self.most) and recorded - last[1] >= self.most
             keep.append(again)
             if again:
                 recorded += 1
-                self.known.updateValue((reason,), (int(ts), recorded))
+                known[reason] = changed[reason] = (int(ts), recorded)
+        for reason, value in changed.items():
+            self.known.updateValue((reason,), value)
         self.recorded.update((recorded,))
         yield batch[keep]
 
@@ -83,10 +86,10 @@ class _Throttle(StatefulProcessor):
         pass
 
 
-def live_throttle(alerts: DataFrame, seconds: int = 300, most_between: int = 0) -> DataFrame:
+def live_throttle(alerts: DataFrame, seconds: int = 300, most_between: int = 0, ttl_ms: int | None = 86_400_000) -> DataFrame:
     """The recorded alerts of a stream (ts_ms, line_no, ip, reason and others), like ``rules.throttle`` on a table."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alerts.schema.fields)
-    return alerts.groupBy("ip").transformWithStateInPandas(_Throttle(seconds * 1000, most_between), schema, "Append", "ProcessingTime")
+    return alerts.groupBy("ip").transformWithStateInPandas(_Throttle(seconds * 1000, most_between, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def with_lists(stream: DataFrame, read: Callable[[], dict[str, DataFrame]], work: Callable[..., None], checkpoint: str):

@@ -70,16 +70,16 @@ def test_dispatch_counts_and_repeats(spark, tmp_path):
 
 def test_live_windows_and_throttle_equal_the_tables(rocks, tmp_path):
     rng = random.Random(9)
-    rows = [(i, t, f"10.0.0.{rng.randrange(3)}", rng.choice([200, 401])) for i, t in enumerate(sorted(rng.randrange(60) * 1000 for _ in range(200)))]
-    for n, part in enumerate((rows[:90], rows[90:])):
+    rows = [(i, t, f"10.0.0.{rng.randrange(2)}", rng.choice([200, 401])) for i, t in enumerate(sorted(rng.randrange(30) * 1000 for _ in range(80)))]
+    for n, part in enumerate((rows[:40], rows[40:])):
         rocks.createDataFrame(part, ROWS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"part{n}"))
     stream = rocks.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part*"))
     cfg = Config(window_ms=5000)
-    got = {r["line_no"]: (r["ip_req_window"], r["ip_failed_window"]) for r in finish(live.live_windows(stream, cfg), tmp_path / "w").collect()}
+    got = {r["line_no"]: (r["ip_req_window"], r["ip_failed_window"]) for r in finish(live.live_windows(stream, cfg, None), tmp_path / "w").collect()}
     table = rocks.createDataFrame(rows, ROWS).withColumn("path", F.lit("/a"))
     assert got == {r["line_no"]: (r["ip_req_window"], r["ip_failed_window"]) for r in E.ip_windows(table, cfg).collect()}
     named = lambda df: df.withColumns({"reason": F.col("status").cast("string"), "rule": F.lit("r")})
-    kept = {r["line_no"] for r in finish(live.live_throttle(named(stream), 4, 2), tmp_path / "t").collect()}
+    kept = {r["line_no"] for r in finish(live.live_throttle(named(stream), 4, 2, None), tmp_path / "t").collect()}
     assert kept == {r["line_no"] for r in rules.throttle(named(table), 4, 2).collect()}
 
 
