@@ -16,7 +16,7 @@ def baseline_events(enriched: DataFrame) -> DataFrame:
     c = F.col
     one = lambda kind, key, value: F.struct(F.lit(kind).alias("entity_type"), c(key).alias("entity_id"), value.cast("double").alias("value"))
     items = [
-        one("ip_request_time", "ip", c("request_time_s")), one("ip_bytes", "ip", c("bytes_sent")), one("ip_error_rate", "ip", is_error()), one("ip_request_volume", "ip", c("ip_req_window")),
+        one("ip_request_time", "ip", c("request_time_s")), one("ip_bytes", "ip", c("bytes_sent")), one("ip_error_rate", "ip", is_error()), one("ip_request_volume", "ip", c("ip_req_window")), one("ip_request_count", "ip", c("ip_req_window")),
         one("ip_failed_logins", "ip", c("ip_failed_window")), one("path_request_time", "path", c("request_time_s")), one("path_bytes", "path", c("bytes_sent")), one("path_error_rate", "path", is_error()),
     ]
     return enriched.select("ts_ms", "line_no", F.explode(F.array(*items)).alias("e")).select("e.entity_type", "e.entity_id", "ts_ms", "line_no", "e.value")

@@ -60,7 +60,7 @@ def evaluate_rules(enriched: DataFrame, cfg: Config = Config(), tiers: tuple[int
     return enriched.select("line_no", "ts_ms", "ip", F.explode(F.array_compact(F.array(*found))).alias("a")).select("line_no", "ts_ms", "ip", "a.*")
 
 
-def throttle(alerts: DataFrame, seconds: int = 300, most_between: int = 0, key: str = "reason") -> DataFrame:
+def throttle(alerts: DataFrame, seconds: float = 300, most_between: int = 0, key: str = "reason") -> DataFrame:
     """Drops an alert that follows a recorded one of the same address and ``key`` by less than ``seconds``.
 
     Only recorded alerts move the anchor. With ``most_between`` an alert is recorded again once so many other alerts of its
@@ -68,7 +68,7 @@ def throttle(alerts: DataFrame, seconds: int = 300, most_between: int = 0, key:
     ``seconds``, as nothing is remembered beyond such a gap; each piece is read as a stream that remembers only
     the keys of its last ``seconds``. Null times are recorded always. All columns stay as they are.
     """
-    span, names = seconds * 1000, alerts.columns
+    span, names = round(seconds * 1000), alerts.columns
     order = W.partitionBy("ip").orderBy("ts_ms", "line_no", "rule")
     gap = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(order) >= span, F.lit(True)).cast("int")
     pieces = alerts.withColumn("__g", gap).withColumn("__piece", F.sum("__g").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("__g")
@@ -94,3 +94,20 @@ def throttle(alerts: DataFrame, seconds: int = 300, most_between: int = 0, key:
 
     dealt = pieces.repartition("ip", "__piece").sortWithinPartitions("ip", "__piece", "ts_ms", "line_no", "rule")
     return dealt.mapInArrow(run, pieces.schema).select(*names)
+
+
+def ua_cycling_exact(df: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """User agents stored for the address at each row, and whether there are too many.
+
+    An agent is stored at its first request and again only once that has left the window, so one that never stops is counted
+    from its last storing on. Rows without an agent store nothing and raise nothing.
+    """
+    there = F.col("user_agent").isNotNull() & ~F.col("user_agent").isin("", "-")
+    agents = df.where(there).select("ip", "ts_ms", "line_no", "user_agent", F.lit("").alias("rule"))
+    stored = throttle(agents, (cfg.window_ms + 1) / 1000, key="user_agent").select("ip", "ts_ms", "line_no", F.lit(1).alias("__stored"))
+    both = df.withColumn("__stored", F.lit(0)).unionByName(stored, allowMissingColumns=True)
+    earlier = W.partitionBy("ip").orderBy("ts_ms").rangeBetween(-cfg.window_ms, -1)
+    now = W.partitionBy("ip", "ts_ms").orderBy("line_no", F.desc("__stored")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    n = F.coalesce(F.sum("__stored").over(earlier), F.lit(0)) + F.sum("__stored").over(now)
+    counted = both.withColumn("agents_window", n.cast("long")).where("__stored = 0").drop("__stored")
+    return counted.withColumn("ua_cycling", F.coalesce(there, F.lit(False)) & (F.col("agents_window") > cfg.max_agents))

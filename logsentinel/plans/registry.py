@@ -191,6 +191,15 @@ def _(spark, d):
     return E.ua_cycling(log(spark, d), C).select("line_no", "agents_window", "ua_cycling")
 
 
+@query("ua_cycling_exact", with_log(f"""SELECT a.line_no, count(e.t) AS agents_window, a.user_agent NOT IN ('', '-') AND count(e.t) > {C.max_agents} AS ua_cycling
+  FROM al a LEFT JOIN en e ON e.ip = a.ip AND e.t >= a.ts_ms - {C.window_ms} AND (e.t < a.ts_ms OR (e.t = a.ts_ms AND e.l <= a.line_no)) GROUP BY a.line_no, a.user_agent""",
+  f"""fo AS (SELECT ip, user_agent, list_reduce(list({{'last': ts_ms, 'kept': [{{'l': line_no, 't': ts_ms}}]}} ORDER BY ts_ms, line_no),
+    lambda a, x: CASE WHEN x.last <= a.last + {C.window_ms} THEN a ELSE {{'last': x.last, 'kept': list_concat(a.kept, x.kept)}} END) AS f FROM al WHERE user_agent NOT IN ('', '-') GROUP BY ip, user_agent),
+  en AS (SELECT ip, k.l AS l, k.t AS t FROM (SELECT ip, unnest(f.kept) AS k FROM fo))"""))
+def _(spark, d):
+    return R.ua_cycling_exact(log(spark, d), C).select("line_no", "agents_window", "ua_cycling")
+
+
 @query("sessionize", with_log("SELECT line_no, session_no FROM ses", SESSIONS))
 def _(spark, d):
     return E.sessionize(log(spark, d), C).select("line_no", "session_no")
@@ -402,7 +411,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 BASE = f"""{WINDOWS}, ev AS ({' UNION ALL '.join(f"SELECT '{n}' AS entity_type, {k} AS entity_id, ts_ms, line_no, CAST({v} AS DOUBLE) AS value FROM win" for n, k, v in (
-    ('ip_request_time', 'ip', 'request_time_s'), ('ip_bytes', 'ip', 'bytes_sent'), ('ip_error_rate', 'ip', ERROR), ('ip_request_volume', 'ip', 'ip_req_window'), ('ip_failed_logins', 'ip', 'ip_failed_window'),
+    ('ip_request_time', 'ip', 'request_time_s'), ('ip_bytes', 'ip', 'bytes_sent'), ('ip_error_rate', 'ip', ERROR), ('ip_request_volume', 'ip', 'ip_req_window'), ('ip_request_count', 'ip', 'ip_req_window'), ('ip_failed_logins', 'ip', 'ip_failed_window'),
     ('path_request_time', 'path', 'request_time_s'), ('path_bytes', 'path', 'bytes_sent'), ('path_error_rate', 'path', ERROR)))})"""
 
 
