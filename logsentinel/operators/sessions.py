@@ -51,3 +51,17 @@ def session_alerts(running: DataFrame, cfg: Config = Config(), most_agents: int
         F.when(c("session_agents") > most_agents, F.struct(F.lit("session_agents").alias("rule"), F.lit("BLOCK").alias("action"), F.lit(90.0).alias("score"))),
     ]
     return running.select("line_no", "ts_ms", "ip", "session_id", F.explode(F.array_compact(F.array(*found))).alias("a")).select("line_no", "ts_ms", "ip", "session_id", "a.*")
+
+
+def session_events(running: DataFrame) -> DataFrame:
+    """(entity_type, entity_id, ts_ms, line_no, value): what baselines learn from the session so far, under its address.
+
+    The frequency counts every request of the session. Failed logins are learned from the first one on.
+    """
+    c = F.col
+    one = lambda kind, value: F.struct(F.lit(kind).alias("entity_type"), value.cast("double").alias("value"))
+    items = [
+        one("session_request_count", c("session_requests")), one("session_unique_paths", c("session_paths")), one("session_error_rate", (c("session_4xx") + c("session_5xx")) / c("session_requests")),
+        F.when(c("session_failed") > 0, one("session_failed_logins", c("session_failed"))), one("session_request_frequency", c("session_requests")),
+    ]
+    return running.select("ip", "ts_ms", "line_no", F.explode(F.array_compact(F.array(*items))).alias("e")).select("e.entity_type", F.col("ip").alias("entity_id"), "ts_ms", "line_no", "e.value")

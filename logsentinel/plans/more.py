@@ -48,6 +48,13 @@ def _(spark, d):
     return N.session_alerts(N.running_sessions(Q.log(spark, d), C), C)
 
 
+@query("session_baseline_events", with_log("SELECT entity_type, ip AS entity_id, ts_ms, line_no, round(value + 1e-9, 4) AS value FROM (" + " UNION ALL ".join(f"SELECT '{kind}' AS entity_type, ip, ts_ms, line_no, CAST({value} AS DOUBLE) AS value FROM ss WHERE {where}" for kind, value, where in (
+    ("session_request_count", "session_requests", "TRUE"), ("session_unique_paths", "session_paths", "TRUE"), ("session_error_rate", "(session_4xx + session_5xx) / session_requests", "TRUE"),
+    ("session_failed_logins", "session_failed", "session_failed > 0"), ("session_request_frequency", "session_requests", "TRUE"))) + ")", _sessions("al")))
+def _(spark, d):
+    return N.session_events(N.running_sessions(Q.log(spark, d), C)).withColumn("value", F.round(F.col("value") + 1e-9, 4))
+
+
 def _features(spark, d):
     return I.features(N.running_sessions(E.enrich(Q.log(spark, d), C), C))
 

@@ -8,6 +8,7 @@ from logsentinel.functions import scalars as S
 from logsentinel.operators import enrich as E
 from logsentinel.operators import lookups as J
 from logsentinel.operators import rules as R
+from logsentinel.operators import sessions as N
 from logsentinel.sources import logs
 
 GOOD = "192.168.0.1|-|01/Jan/2023:12:00:01 +0000|0.120|0.100|GET /index.html HTTP/1.1|200|1024|https://example.com|Mozilla/5.0 (X11; Linux x86_64)|example.com|US|127.0.0.1:80|abc123|0.020"
@@ -97,3 +98,24 @@ def test_two_phase_statistics_equal_one_phase(spark):
 def test_scores(spark):
     df = spark.createDataFrame([(50.0,), (100.0,), (550.0,), (2000.0,)], "v double")
     assert [r[0] for r in df.select(S.score_threshold(F.col("v"), 100, 1000, 60.0)).collect()] == [0.0, 0.0, 79.0, 98.0]
+
+
+def test_agents_come_back_after_the_window(spark):
+    cfg = Config(window_ms=1000, max_agents=1)
+    seen = [(0, "a"), (500, "a"), (900, "b"), (1000, "a"), (1001, "a"), (1950, "-"), (1950, None), (2900, "c"), (2900, "a"), (2900, "c")]
+    rows = spark.createDataFrame([(i, t, "10.0.0.1", u) for i, (t, u) in enumerate(seen)] + [(10, 2900, "10.0.0.2", "z")], "line_no long, ts_ms long, ip string, user_agent string")
+    got = {r.line_no: (r.agents_window, r.ua_cycling) for r in R.ua_cycling_exact(rows, cfg).collect()}
+    stored, want = [], []
+    for t, u in seen:
+        stored = [(s, v) for s, v in stored if t - s <= cfg.window_ms]
+        if u not in (None, "-") and all(v != u for _, v in stored):
+            stored.append((t, u))
+        want.append((len(stored), u not in (None, "-") and len(stored) > 1))
+    assert [got[i] for i in range(10)] == want and got[10] == (1, False)
+
+
+def test_session_events_leave_out_what_has_not_happened(spark):
+    running = spark.createDataFrame([(1, 5, "h", 2, 1, 1, 0, 0), (2, 6, "h", 4, 2, 1, 1, 3)], "line_no long, ts_ms long, ip string, session_requests long, session_paths long, session_4xx long, session_5xx long, session_failed long")
+    got = {(r.line_no, r.entity_type): r.value for r in N.session_events(running).collect()}
+    assert len(got) == 9 and got[1, "session_error_rate"] == got[2, "session_error_rate"] == 0.5
+    assert (1, "session_failed_logins") not in got and got[2, "session_failed_logins"] == 3.0
