@@ -46,6 +46,20 @@ def weigh_rules(df: DataFrame, rules: list[tuple[str, str, float]], threshold: f
     return df.select("line_no", "ip", total.alias("total"), names.alias("rules")).where(F.col("total") >= threshold)
 
 
+def weigh_tiers(df: DataFrame, tiers: list[list[tuple[str, str, float]]], threshold: float = 100.0, stop: float = 100.0) -> DataFrame:
+    """Like ``weigh_rules``, in tiers: the rules of a tier count only where the tiers before it add up to less than ``stop``."""
+    rows = df.withColumns({"__total": F.lit(0.0), "__rules": F.array().cast("array<string>")})
+    for rules in tiers:
+        reached = F.col("__total") < stop
+        held = [(name, reached & F.coalesce(F.expr(condition), F.lit(False)), float(weight)) for name, condition, weight in rules]
+        more = F.array_compact(F.array(*[F.when(h, F.lit(name)) for name, h, _ in held])) if held else F.array().cast("array<string>")
+        total = F.col("__total")
+        for _, h, weight in held:
+            total = total + F.when(h, weight).otherwise(0.0)
+        rows = rows.withColumns({"__total": total, "__rules": F.concat("__rules", more)})
+    return rows.where(F.col("__total") >= threshold).select("line_no", "ip", F.col("__total").alias("total"), F.array_join("__rules", ",").alias("rules"))
+
+
 def printable(text: Column) -> Column:
     """Only ASCII 32 to 126."""
     return F.regexp_replace(text, r"[^\x20-\x7E]", "")

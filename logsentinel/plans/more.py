@@ -148,6 +148,16 @@ def _(spark, d):
     return P.weigh_rules(Q.log(spark, d), WEIGHED, 70.0)
 
 
+#: Weighted rules that count only while the tiers before them add up to less than 100.
+TIERS = [[("failed_login", "status = 401", 60.0), ("tool", "user_agent LIKE '%sqlmap%'", 50.0)], [("login_page", "path = '/login'", 30.0), ("post", "method = 'POST'", 20.0)]]
+
+
+@query("rule_tiers", with_log("SELECT line_no, ip, CAST(CASE WHEN a < 100 THEN a + b ELSE a END AS DOUBLE) AS total, CASE WHEN a < 100 THEN concat_ws(',', ra, rb) ELSE ra END AS rules FROM (SELECT line_no, ip, " + ", ".join(
+    " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0.0 END" for _, c, w in rules) + f" AS {x}, nullif(concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in rules) + f"), '') AS r{x}" for x, rules in zip("ab", TIERS, strict=True)) + " FROM al) WHERE CASE WHEN a < 100 THEN a + b ELSE a END >= 50"))
+def _(spark, d):
+    return P.weigh_tiers(Q.log(spark, d), TIERS, 50.0)
+
+
 @query("alert_json")
 def _(spark, d):
     from_json = F.from_json("json", "ts_ms long, ip string, tier string, action string, score double, reason string")

@@ -7,6 +7,7 @@ from logsentinel.config import Config
 from logsentinel.functions import scalars as S
 from logsentinel.operators import enrich as E
 from logsentinel.operators import lookups as J
+from logsentinel.operators import reports as P
 from logsentinel.operators import rules as R
 from logsentinel.operators import sessions as N
 from logsentinel.sources import logs
@@ -119,3 +120,10 @@ def test_session_events_leave_out_what_has_not_happened(spark):
     got = {(r.line_no, r.entity_type): r.value for r in N.session_events(running).collect()}
     assert len(got) == 9 and got[1, "session_error_rate"] == got[2, "session_error_rate"] == 0.5
     assert (1, "session_failed_logins") not in got and got[2, "session_failed_logins"] == 3.0
+
+
+def test_later_tiers_count_only_below_the_stop(spark):
+    rows = spark.createDataFrame([(1, "a", 200), (2, "b", 401), (3, "c", None)], "line_no long, ip string, status int")
+    tiers = [[("any", "status > 0", 60.0), ("denied", "status = 401", 40.0)], [], [("late", "true", 45.0)]]
+    got = {r.line_no: (r.total, r.rules) for r in P.weigh_tiers(rows, tiers, 40.0).collect()}
+    assert got == {1: (105.0, "any,late"), 2: (100.0, "any,denied"), 3: (45.0, "late")}
