@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontam, licenses, lm, media, neardup, packing, quality, tokens, toxicity, urls
+from . import conversations, decontam, licenses, lm, media, neardup, packing, quality, simhash, spelling, tokens, toxicity, urls
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_url_filter": urls.op8_url_filter,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_media_columns": media.op10_media_columns,
+        "op11_simhash_duplicates": simhash.op11_simhash_duplicates,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_conversation_repair": conversations.op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
 
