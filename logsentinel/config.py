@@ -17,6 +17,7 @@ class Config:
     least_chrome: int = 90
     least_firefox: int = 85
     max_agents: int = 3
+    max_session_agents: int = 2
     session_gap_s: int = 1800
     session_failed_logins: int = 10
     session_requests: int = 30
@@ -36,8 +37,8 @@ class Config:
     html_suffix: tuple[str, ...] = (".html", ".htm", ".php", ".jsp")
     asset_prefix: tuple[str, ...] = ("/static/", "/assets/", "/public/", "/media/", "/api/")
     asset_suffix: tuple[str, ...] = (".css", ".js", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".woff2", ".ico")
-    desktop: tuple[str, ...] = ("Windows", "Macintosh", "X11")
-    mobile: tuple[str, ...] = ("Android", "iPhone", "iPad", "Mobile")
+    desktop: tuple[str, ...] = ("Windows", "Macintosh", "Linux")
+    mobile: tuple[str, ...] = ("iPhone", "Android")
 
 
 #: For the sparse traffic of the test tables (about 66 requests of an address in 30 days).

@@ -70,15 +70,21 @@ def contains_any(x: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [x.contains(w) for w in words], F.lit(False))
 
 
-def first_match(x: Column, patterns: tuple[str, ...]) -> Column:
-    """The pattern whose occurrence ends first, of those the longest; null without a match."""
-    found = [F.when(F.locate(p, x) > 0, F.struct((F.locate(p, x) + len(p)).alias("end"), F.lit(-len(p)).alias("short"), F.lit(p).alias("p"))) for p in patterns]
-    return F.array_min(F.array(*found))["p"] if found else F.lit(None).cast("string")
+def literal(text: str) -> str:
+    """A string as SQL text."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
-def first_listed(x: Column, patterns: tuple[str, ...]) -> Column:
-    """The first pattern of the list that occurs."""
-    return F.coalesce(*[F.when(x.contains(p), F.lit(p)) for p in patterns])
+def first_match(x: str, patterns: tuple[str, ...]) -> str:
+    """SQL of the pattern whose occurrence in ``x`` ends first, of those the longest; null without a match."""
+    found = [f"CASE WHEN locate({literal(p)}, {x}) > 0 THEN named_struct('end', locate({literal(p)}, {x}) + {len(p)}, 'short', -{len(p)}, 'p', {literal(p)}) END" for p in patterns]
+    return f"array_min(array({', '.join(found)})).p" if found else "CAST(NULL AS STRING)"
+
+
+def first_listed(x: str, patterns: tuple[str, ...]) -> str:
+    """SQL of the first pattern of the list that occurs in ``x``."""
+    return f"CASE {' '.join(f'WHEN contains({x}, {literal(p)}) THEN {literal(p)}' for p in patterns)} END" if patterns else "CAST(NULL AS STRING)"
 
 
 def major_version(agent: Column, browser: str) -> Column:
@@ -94,11 +100,34 @@ def request_type(path: Column, cfg) -> Column:
     return F.when(clean.isin(*cfg.html_exact), "HTML").when(in_folder, "ASSET").when(ending.isin(*cfg.html_suffix), "HTML").when(ending.isin(*cfg.asset_suffix), "ASSET").otherwise("OTHER")
 
 
-def score_threshold(v: Column, t: float | Column, d: float | Column, base: float, most: float = 98.0) -> Column:
-    """0 up to the threshold, then from ``base`` in proportion to ``most`` at ``d``."""
-    t, d = (x if isinstance(x, Column) else F.lit(float(x)) for x in (t, d))
-    return F.when(v <= t, 0.0).when(d <= t, base).when(v >= d, most).otherwise(base + (v - t) / (d - t) * (most - base))
+def score_threshold(v: str, t: float | str, d: float | str, base: float, most: float = 98.0) -> str:
+    """SQL of a score: 0 up to the threshold, then from ``base`` in proportion to ``most`` at ``d``."""
+    t, d = (x if isinstance(x, str) else f"{float(x)}D" for x in (t, d))
+    return f"(CASE WHEN {v} <= {t} THEN 0.0D WHEN {d} <= {t} THEN {base}D WHEN {v} >= {d} THEN {most}D ELSE {base}D + ({v} - {t}) / ({d} - {t}) * {most - base}D END)"
+
 
+def score_z(z: str, t: float, base: float = 65.0) -> str:
+    """SQL of a score: 0 below ``t``, then 5 more for each deviation, up to 99."""
+    return f"(CASE WHEN abs({z}) < {t}D THEN 0.0D ELSE least(99.0D, {base}D + 5.0D * (abs({z}) - {t}D)) END)"
 
-def score_z(z: Column, t: float, base: float = 65.0) -> Column:
-    return F.when(F.abs(z) < t, 0.0).otherwise(F.least(F.lit(99.0), base + 5.0 * (F.abs(z) - t)))
+
+def fixed(x: str, digits: int = 6) -> str:
+    """SQL of a double as text with so many digits, like printf: the binary value is rounded, an exact half to the even digit.
+
+    (``format_string`` rounds the shortest decimal instead: 2.025 lies below the half and is 2.02 here, 2.03 there.) The product with
+    the power of ten is held exactly, as the sum of two doubles; where it is over 2**52 and can't be, ``format_string`` is used.
+    """
+    scale = 10**digits
+    big = "(abs(v) * 134217729.0D)"
+    high = f"({big} - ({big} - abs(v)))"
+    parts = f"named_struct('p', {high} * {scale}.0D, 'q', (abs(v) - {high}) * {scale}.0D)"
+    whole = "named_struct('k', floor(s.p + s.q), 'rest', (s.p - floor(s.p + s.q) - 0.5D) + s.q)"
+    up = "r.k + CASE WHEN r.rest > 0 OR (r.rest = 0 AND pmod(r.k, 2) = 1) THEN 1 ELSE 0 END"
+    text = f"concat(CASE WHEN v < 0 THEN '-' ELSE '' END, CAST(n DIV {scale} AS STRING), '.', lpad(CAST(n % {scale} AS STRING), {digits}, '0'))"
+    steps = f"transform(transform(transform(array({parts}), s -> {whole}), r -> {up}), n -> {text})[0]"
+    return f"transform(array(CAST({x} AS DOUBLE)), v -> CASE WHEN abs(v) * {scale} < {2.0**52}D THEN {steps} WHEN v IS NOT NULL THEN format_string('%.{digits}f', v) END)[0]"
+
+
+def figure(x: str) -> str:
+    """SQL of a number in a reason: rounded to nine digits, so that the order of adding doesn't decide a half, and printed with six."""
+    return fixed(f"round(CAST({x} AS DOUBLE), 9)", 6)

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsentinel.config import Config
+from logsentinel.functions.scalars import fixed
 from logsentinel.operators.lookups import in_blocks
 from logsentinel.operators.reports import printable
-from logsentinel.operators.rules import evaluate_rules
-from logsentinel.operators.sessions import session_alerts
+from logsentinel.operators.rules import candidates
 
 COLUMNS = ["line_no", "ts_ms", "ip", "rule", "tier", "action", "score", "reason", "key"]
 
@@ -20,49 +20,41 @@ def precheck(rows: DataFrame, threats: DataFrame, allowed: DataFrame) -> DataFra
     return rows.withColumn("checked", F.when(F.col("__threat"), "threat").when(F.col("listed"), "allowed").otherwise("rules")).drop("__threat", "listed")
 
 
-def threat_alerts(checked: DataFrame) -> DataFrame:
-    """One alert for each row of a listed address; such a row raises no other."""
-    return checked.where("checked = 'threat'").select(
-        "line_no", "ts_ms", "ip", F.lit("threat_list").alias("rule"), F.lit("tier1").alias("tier"), F.lit("BLOCK").alias("action"), F.lit(100.0).alias("score"),
-        F.lit("IP is on external threat intelligence blacklist").alias("reason"), F.col("ip").alias("key"))
-
-
 def model_alerts(scores: DataFrame, rows: DataFrame, threshold: float = 0.6) -> DataFrame:
     """An alert for each row whose model score (line_no, score) is over ``threshold``."""
     hit = scores.where(F.col("score") > threshold).join(rows.select("line_no", "ts_ms", "ip"), "line_no")
-    return hit.select("line_no", "ts_ms", "ip", F.lit("ml_score").alias("rule"), F.lit("tier3").alias("tier"), F.lit("BLOCK").alias("action"), "score", F.concat(F.lit("High ML Anomaly Score detected: "), F.format_string("%.6f", "score")).alias("reason"), F.col("ip").alias("key"))
+    return hit.select("line_no", "ts_ms", "ip", F.lit("ml_score").alias("rule"), F.lit("tier3").alias("tier"), F.lit("BLOCK").alias("action"), "score", F.concat(F.lit("High ML Anomaly Score detected: "), F.expr(fixed("score"))).alias("reason"), F.col("ip").alias("key"))
 
 
 def metric_rule_alerts(results: DataFrame, at_ms: Column) -> DataFrame:
     """An alert for each triggered metric rule (name, value, triggered, score): no line and no address, the key is the rule."""
-    text = F.concat(F.lit("Tier 4 PromQL anomaly: "), "name", F.lit(" (value="), F.format_string("%.6f", "value"), F.lit(", score="), F.format_string("%.6f", "score"), F.lit(")"))
+    text = F.concat(F.lit("Tier 4 PromQL anomaly: "), "name", F.lit(" (value="), F.expr(fixed("value")), F.lit(", score="), F.expr(fixed("score")), F.lit(")"))
     none = F.lit(None)
     return results.where("triggered").select(none.cast("long").alias("line_no"), at_ms.alias("ts_ms"), none.cast("string").alias("ip"), F.lit("metric_rule").alias("rule"), F.lit("tier4").alias("tier"), F.lit("ALERT").alias("action"), "score", text.alias("reason"), F.col("name").alias("key"))
 
 
-def alert_table(enriched: DataFrame, cfg: Config, threats: DataFrame, allowed: DataFrame, *more: DataFrame, tiers: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """All alerts of enriched rows with running sessions: listed addresses, rules and session rules, and other alert tables.
+def alert_table(enriched: DataFrame, cfg: Config, threats: DataFrame, allowed: DataFrame, *more: DataFrame, tiers: tuple[int, ...] = (1, 2), context: list[str] | None = None) -> DataFrame:
+    """All alerts of enriched rows with running sessions: listed addresses, rules and session rules in one pass, and other alert tables.
 
-    Rows of allowed addresses raise nothing. Windows and statistics were taken over all rows before.
+    Rows of allowed addresses raise nothing. Windows and statistics were taken over all rows before. Columns of the row that are named in
+    ``context`` go along with its alerts.
     """
-    checked = precheck(enriched, threats, allowed)
-    free = checked.where("checked = 'rules'")
-    out = threat_alerts(checked).unionByName(evaluate_rules(free, cfg, tiers))
-    if 1 in tiers:
-        sessions = session_alerts(free, cfg).select("line_no", "ts_ms", "ip", "rule", F.lit("tier1").alias("tier"), "action", "score", F.concat(F.lit("Session rule: "), "rule").alias("reason"), F.col("session_id").alias("key"))
-        out = out.unionByName(sessions)
+    listed = F.array(F.struct(F.lit("threat_list").alias("rule"), F.lit("tier1").alias("tier"), F.lit("BLOCK").alias("action"), F.lit(100.0).alias("score"), F.lit("IP is on external threat intelligence blacklist").alias("reason"), F.col("ip").alias("key")))
+    found = F.when(F.col("checked") == "threat", listed).when(F.col("checked") == "rules", candidates(cfg, tiers, sessions=True))
+    along = [c for c in context or [] if c not in COLUMNS]
+    out = precheck(enriched, threats, allowed).select("line_no", "ts_ms", "ip", *along, F.explode(found).alias("a")).select("line_no", "ts_ms", "ip", *along, "a.*")
     for m in more:
-        out = out.unionByName(m)
-    return out.select(*COLUMNS)
+        out = out.unionByName(m, allowMissingColumns=True)
+    return out.select(*COLUMNS, *along)
 
 
-def alert_documents(alerts: DataFrame, enriched: DataFrame) -> DataFrame:
+def alert_documents(alerts: DataFrame) -> DataFrame:
     """(line_no, rule, json): the full nested document of each alert, with the row's log and analysis context.
 
     Missing numbers are 0, strings keep only printable ASCII; a row without a running session has a null session_context.
-    ``enriched`` has one row for each line_no; alerts without a line get no document.
+    ``alerts`` carry the columns of their row (``context`` of the rules); alerts without a line get no document.
     """
-    there = set(enriched.columns)
+    there = set(alerts.columns)
     text = lambda c: printable(F.coalesce(F.col(c), F.lit(""))) if c in there else F.lit("")
     number = lambda c, kind="double": F.coalesce(F.col(c), F.lit(0)).cast(kind) if c in there else F.lit(0).cast(kind)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in there else F.lit(False)
@@ -78,12 +70,12 @@ def alert_documents(alerts: DataFrame, enriched: DataFrame) -> DataFrame:
     z = part(number, {"ip_req_time": "ip_time_z", "ip_bytes_sent": "ip_bytes_z", "ip_error_event": "ip_error_z", "ip_req_volume": "ip_vol_z", "path_req_time": "path_time_z", "path_bytes_sent": "path_bytes_z", "path_error_event": "path_error_z"})
     session = part(number, {"request_count": "session_requests", "unique_paths": "session_paths", "unique_uas": "session_agents", "failed_logins": "session_failed", "errors_4xx": "session_4xx", "errors_5xx": "session_5xx", "avg_time_between_reqs_s": "session_gap_s", "post_to_get_ratio": "session_post_get"})
     session = F.when(F.col("session_requests").isNotNull(), session) if "session_requests" in there else F.lit(None).cast("struct<request_count:double>")
-    context = enriched.select("line_no", log.alias("log"), F.struct(flags.alias("flags"), windowed.alias("windowed_stats"), z.alias("z_scores"), session.alias("session_context")).alias("analysis"), text("raw").alias("raw"))
+    analysis = F.struct(flags.alias("flags"), windowed.alias("windowed_stats"), z.alias("z_scores"), session.alias("session_context"))
     document = F.struct(
         F.col("ts_ms").alias("timestamp_ms"), printable(F.col("reason")).alias("alert_reason"), F.col("tier").alias("detection_tier"), F.col("action").alias("suggested_action"), F.col("action").alias("action_code"),
-        F.round("score", 6).alias("anomaly_score"), printable(F.col("key")).alias("offending_key"), F.lit("").alias("ml_contributing_factors"), F.col("log").alias("log_context"), F.col("analysis").alias("analysis_context"), F.col("raw").alias("raw_log_line"),
+        F.round("score", 6).alias("anomaly_score"), printable(F.col("key")).alias("offending_key"), F.lit("").alias("ml_contributing_factors"), log.alias("log_context"), analysis.alias("analysis_context"), text("raw").alias("raw_log_line"),
     )
-    return alerts.join(context, "line_no").select("line_no", "rule", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
+    return alerts.where("line_no IS NOT NULL").select("line_no", "rule", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def render_alerts(alerts: DataFrame) -> DataFrame:
@@ -91,7 +83,7 @@ def render_alerts(alerts: DataFrame) -> DataFrame:
     c = F.col
     line = lambda name, value: F.concat(F.lit(f"  {name}"), value, F.lit("\n"))
     when = F.concat(F.date_format(F.timestamp_millis((F.floor(c("ts_ms") / 1000) * 1000).cast("long")), "yyyy-MM-dd HH:mm:ss"), F.lit("."), F.pmod(c("ts_ms"), F.lit(1000)).cast("string"))
-    parts = [line("Timestamp: ", when), line("Tier:      ", c("tier")), line("Source IP: ", F.coalesce("ip", F.lit(""))), line("Reason:    ", c("reason")), F.when(~c("key").eqNullSafe(c("ip")) & (c("key") != ""), line("Key ID:    ", c("key"))), line("Score:     ", F.format_string("%.6f", "score")), line("Action:    ", c("action")), F.when(c("line_no") > 0, line("Log Line:  ", c("line_no").cast("string")))]
+    parts = [line("Timestamp: ", when), line("Tier:      ", c("tier")), line("Source IP: ", F.coalesce("ip", F.lit(""))), line("Reason:    ", c("reason")), F.when(~c("key").eqNullSafe(c("ip")) & (c("key") != ""), line("Key ID:    ", c("key"))), line("Score:     ", F.expr(fixed("score"))), line("Action:    ", c("action")), F.when(c("line_no") > 0, line("Log Line:  ", c("line_no").cast("string")))]
     if "raw" in alerts.columns:
         parts.append(F.when(c("raw") != "", line("Sample:    ", F.concat(F.substring("raw", 1, 100), F.when(F.length("raw") > 100, "...").otherwise("")))))
     return alerts.select("line_no", "rule", F.concat(F.lit("ALERT DETECTED:\n"), *[F.coalesce(p, F.lit("")) for p in parts], F.lit("-" * 40)).alias("text"))

@@ -1,7 +1,7 @@
 """Enrichment of log rows: windows, running statistics, z-scores, user agents, sessions.
 
-All windows of an address share the partitioning by ip, those of a path the one by path, so a plan has
-one exchange for each key. Event time ties are the normal case; line_no is the arrival order.
+Windows and running values of an address are taken in blocks of time (``blocks``), those of a path likewise. Event time ties
+are the normal case; line_no is the arrival order.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from logsentinel.config import Config
 from logsentinel.functions import scalars as S
+from logsentinel.operators.blocks import address_features, present, running_stats
 
 
 def seq(*keys: str) -> W:
@@ -33,67 +34,14 @@ def window_count(key: str, ms: int, flag: Column | None = None, cap: int | None
     return F.coalesce(n, F.lit(0)).cast("long") if not held else n
 
 
-def held(df: DataFrame, key: str, name: str, flag: Column, ms: int, cap: int | None = None) -> DataFrame:
-    """Adds a window count that only moves on flagged rows."""
-    df = df.withColumn("__n", window_count(key, ms, flag, cap))
-    return df.withColumn(name, F.coalesce(F.last(F.when(flag, F.col("__n")), ignorenulls=True).over(seq(key)), F.lit(0)).cast("long")).drop("__n")
-
-
 def ip_windows(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Request, failed-login, page and asset counts of the address, and the ratio of assets to pages."""
-    kind = S.request_type(F.col("path"), cfg)
-    df = df.withColumn("ip_req_window", window_count("ip", cfg.window_ms, cap=cfg.window_cap)).withColumn("request_type", kind)
-    df = held(df, "ip", "ip_failed_window", F.col("status").isin(*cfg.failed_codes), cfg.window_ms, cfg.window_cap)
-    df = held(df, "ip", "html_window", F.col("request_type") == "HTML", cfg.window_ms, cfg.window_cap)
-    df = held(df, "ip", "asset_window", F.col("request_type") == "ASSET", cfg.window_ms, cfg.window_cap)
-    return df.withColumn("asset_ratio", F.when(F.col("html_window") > 0, F.col("asset_window") / F.col("html_window")))
+    return address_features(df, cfg, parts=("windows",))
 
 
 def seen(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """First request of an address, and paths new to it (once ``max_paths`` are stored, an unstored path stays new)."""
-    first = F.row_number().over(W.partitionBy("ip", "path").orderBy("ts_ms", "line_no")) == 1
-    df = df.withColumn("is_first", F.row_number().over(W.partitionBy("ip").orderBy("ts_ms", "line_no")) == 1).withColumn("__f", first)
-    df = df.withColumn("__r", F.sum(F.col("__f").cast("int")).over(seq("ip")))
-    rank = F.max(F.when(F.col("__f"), F.col("__r"))).over(W.partitionBy("ip", "path"))
-    return df.withColumn("is_path_new", F.col("__f") | (rank > cfg.max_paths)).drop("__f", "__r")
-
-
-#: Length of a block of the two-phase running statistics.
-BLOCK_MS = 3_600_000
-
-
-def running_stats(df: DataFrame, key: str, columns: dict[str, Column], block_ms: int | None = None) -> DataFrame:
-    """Mean, sample deviation (0 for one value) and count of each column up to and including the row.
-
-    With ``block_ms`` a key's rows are cut into blocks of time, so that no task gets a whole hot key: moments of each block are
-    added up over the blocks before (a small table), and rows run only over their own block.
-    """
-    if block_ms is None:
-        w = seq(key)
-        for name, c in columns.items():
-            c = c.cast("double")
-            df = df.withColumn(f"{name}_mean", F.avg(c).over(w)).withColumn(f"{name}_sd", F.coalesce(F.stddev_samp(c).over(w), F.lit(0.0))).withColumn(f"{name}_n", F.count(c).over(w))
-        return df
-    names = df.columns
-    rows = df.withColumn("__block", F.floor(F.col("ts_ms") / block_ms)).withColumns({f"__x_{n}": c.cast("double") for n, c in columns.items()})
-    whole = rows.groupBy(key).agg(*[F.avg(f"__x_{n}").alias(f"__c_{n}") for n in columns])
-    per = rows.groupBy(key, "__block").agg(*[a for n in columns for a in (F.count(f"__x_{n}").alias(f"__n_{n}"), F.avg(f"__x_{n}").alias(f"__m_{n}"), F.coalesce(F.var_pop(f"__x_{n}") * F.count(f"__x_{n}"), F.lit(0.0)).alias(f"__s_{n}"))])
-    earlier = W.partitionBy(key).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    before = per.join(whole, key)
-    for n in columns:  # moments about the key's own mean, which keeps the sums small
-        off = F.coalesce(F.col(f"__m_{n}") - F.col(f"__c_{n}"), F.lit(0.0))
-        count, first, second = F.sum(f"__n_{n}").over(earlier), F.sum(F.col(f"__n_{n}") * off).over(earlier), F.sum(F.col(f"__s_{n}") + F.col(f"__n_{n}") * off * off).over(earlier)
-        before = before.withColumns({f"__b_{n}": F.coalesce(count, F.lit(0)), f"__f_{n}": F.coalesce(first, F.lit(0.0)), f"__q_{n}": F.coalesce(second, F.lit(0.0))})
-    rows = rows.join(before.select(key, "__block", *[f"__{x}_{n}" for n in columns for x in "bfqc"]), [key, "__block"])
-    w, out = seq(key, "__block"), {}
-    for n in columns:
-        rows = rows.withColumn(f"__d_{n}", F.col(f"__x_{n}") - F.col(f"__c_{n}"))
-        count = F.col(f"__b_{n}") + F.count(f"__d_{n}").over(w)
-        mean = (F.col(f"__f_{n}") + F.coalesce(F.sum(f"__d_{n}").over(w), F.lit(0.0))) / F.when(count > 0, count)
-        square = F.col(f"__q_{n}") + F.coalesce(F.sum(F.col(f"__d_{n}") * F.col(f"__d_{n}")).over(w), F.lit(0.0))
-        spread = F.greatest(square - mean * mean * count, F.lit(0.0))
-        out |= {f"{n}_mean": mean + F.col(f"__c_{n}"), f"{n}_sd": F.when(count > 1, F.sqrt(spread / (count - 1))).otherwise(0.0), f"{n}_n": count}
-    return rows.withColumns(out).select(*names, *out)
+    return address_features(df, cfg, parts=("seen",))
 
 
 def is_error() -> Column:
@@ -104,47 +52,45 @@ def is_error() -> Column:
 FLOORS = {"time": 1e-6, "bytes": 1.0, "error": 0.01, "vol": 0.5}
 
 
-def stats_columns(key: str) -> dict[str, Column]:
-    out = {f"{key}_time": F.col("request_time_s"), f"{key}_bytes": F.col("bytes_sent"), f"{key}_error": is_error()}
-    return out | ({"ip_vol": F.col("ip_req_window")} if key == "ip" else {})
+def stats_columns(key: str) -> dict[str, str]:
+    """SQL of the values whose moments are kept for an address or a path."""
+    out = {f"{key}_time": "request_time_s", f"{key}_bytes": "bytes_sent", f"{key}_error": "CASE WHEN status >= 400 AND status < 600 THEN 1.0D ELSE 0.0D END"}
+    return out | ({"ip_vol": "ip_req_window"} if key == "ip" else {})
 
 
 def zscores(df: DataFrame, key: str, cfg: Config = Config()) -> DataFrame:
     """z of each running statistic, null below ``min_samples`` rows or the least deviation."""
-    now = stats_columns(key) | {f"{key}_error": (F.col("status") >= 400).cast("double")}
-    for name, c in now.items():
-        floor = FLOORS[name.split("_")[1]]
-        ready = (F.col(f"{name}_n") >= cfg.min_samples) & (F.col(f"{name}_sd") > floor)
-        df = df.withColumn(f"{name}_z", F.when(ready, (c - F.col(f"{name}_mean")) / F.col(f"{name}_sd")))
-    return df
+    now = stats_columns(key) | {f"{key}_error": "CASE WHEN status >= 400 THEN 1.0D ELSE 0.0D END"}
+    floor = {n: FLOORS[n.split("_")[1]] for n in now}
+    return df.selectExpr("*", *[f"CASE WHEN {n}_n >= {cfg.min_samples} AND {n}_sd > {floor[n]}D THEN (CAST({c} AS DOUBLE) - {n}_mean) / {n}_sd END AS {n}_z" for n, c in now.items()])
 
 
 def ua_flags(df: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Missing, headless, known-bad, outdated, inconsistent and changed user agents; a missing one ends the tests."""
+    """Missing, headless, known-bad, outdated and inconsistent user agents, and the outdated browser; a missing one ends the tests."""
     ua = F.col("user_agent")
-    there = ~(ua.isNull() | ua.isin("", "-"))
+    there = present(ua)
     chrome, firefox = S.major_version(ua, "Chrome"), S.major_version(ua, "Firefox")
-    outdated = F.coalesce(chrome < cfg.least_chrome, F.lit(False)) | (chrome.isNull() & F.coalesce(firefox < cfg.least_firefox, F.lit(False)))
-    before = F.last(F.when(there, ua), ignorenulls=True).over(W.partitionBy("ip").orderBy("ts_ms", "line_no").rowsBetween(W.unboundedPreceding, -1))
-    browser = F.when(chrome < cfg.least_chrome, F.concat(F.lit("Chrome/"), chrome.cast("string"))).when(firefox < cfg.least_firefox, F.concat(F.lit("Firefox/"), firefox.cast("string")))
+    old_chrome, old_firefox = F.coalesce(chrome < cfg.least_chrome, F.lit(False)), F.coalesce(firefox < cfg.least_firefox, F.lit(False))
+    browser = F.when(old_chrome, F.concat(F.lit("Chrome/"), chrome.cast("string"))).when(old_firefox, F.concat(F.lit("Firefox/"), firefox.cast("string")))
     return df.withColumns(
         {
             "ua_missing": ~there,
             "ua_headless": there & S.contains_any(ua, cfg.headless),
             "ua_bad": there & S.contains_any(ua, cfg.known_bad),
-            "ua_outdated": there & outdated,
+            "ua_outdated": there & (old_chrome | old_firefox),
             "ua_inconsistent": there & S.contains_any(ua, cfg.desktop) & S.contains_any(ua, cfg.mobile),
-            "ua_changed": there & F.coalesce(before != ua, F.lit(False)),
-            "browser": F.when(there & outdated, browser),
+            "browser": F.when(there, browser),
         }
     )
 
 
 def ua_cycling(df: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Distinct user agents of the address in the window, and whether there are too many."""
-    w = W.partitionBy("ip").orderBy("ts_ms").rangeBetween(-cfg.window_ms, 0)
-    agents = F.size(F.collect_set(F.when(~F.col("user_agent").isin("", "-"), F.col("user_agent"))).over(w))
-    return df.withColumn("agents_window", agents.cast("long")).withColumn("ua_cycling", F.col("agents_window") > cfg.max_agents)
+    """Changed user agents, agents stored in the window, and whether there are too many.
+
+    An agent is stored at its first request and again only once that has left the window, so one that never stops is counted from its
+    last storing on. Rows without an agent store nothing and raise nothing.
+    """
+    return address_features(df, cfg, parts=("agents",))
 
 
 def sessionize(df: DataFrame, cfg: Config = Config(), keys: tuple[str, ...] = ("ip", "user_agent")) -> DataFrame:
@@ -167,7 +113,6 @@ def session_summary(df: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def enrich(df: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """All columns that the rules need: address windows first, then path windows."""
-    df = ua_cycling(ua_flags(seen(ip_windows(df, cfg), cfg), cfg), cfg)
-    df = zscores(running_stats(df, "ip", stats_columns("ip")), "ip", cfg)
-    return zscores(running_stats(df, "path", stats_columns("path"), BLOCK_MS), "path", cfg)
+    """All columns that the rules need: what depends on the address first, then what depends on the path."""
+    rows = zscores(address_features(ua_flags(df, cfg), cfg, stats_columns("ip"), base=df), "ip", cfg)
+    return zscores(running_stats(rows, "path", stats_columns("path"), base=df), "path", cfg)

@@ -62,8 +62,8 @@ def bucket(dim: str) -> F.Column:
 BUCKETS = {"hour": 24, "day": 7, "week": 4}
 
 
-def seasonal_pattern(events: DataFrame, key: str, dim: str, least: int = 100, last: int | None = None) -> DataFrame:
-    """Mean of each bucket over the mean of all buckets' values, 1 for an empty one, with confidence and count."""
+def seasonal_pattern(events: DataFrame, key: str, dim: str, least: int = 100, last: int | None = None, digits: int | None = 6) -> DataFrame:
+    """Mean of each bucket over the mean of all buckets' values, 1 for an empty one, with confidence and count; rounded unless ``digits`` is None."""
     last = last or 2 * least
     r = events.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("ts_ms"), F.desc("line_no")))).where(f"__r <= {last}").withColumn("bucket", bucket(dim)).where(F.col("bucket") < BUCKETS[dim])
     whole = r.groupBy(key).agg(F.avg("value").alias("all_mean"), F.count("*").alias("all_n")).where(f"all_n >= {least}")
@@ -72,15 +72,8 @@ def seasonal_pattern(events: DataFrame, key: str, dim: str, least: int = 100, la
     joined = grid.join(own, [key, "bucket"], "left")
     share = F.least(F.lit(1.0), F.col("n") / (least / BUCKETS[dim]))
     steady = F.when((F.col("n") > 1) & (F.col("sd") > 0), F.exp(-F.col("sd") / F.greatest(F.lit(0.1), F.abs("mean")))).otherwise(1.0)
-    return joined.select(key, "bucket", F.round(F.coalesce(F.when(F.col("all_mean") != 0, F.col("mean") / F.col("all_mean")), F.lit(1.0)), 6).alias("pattern"), F.round(F.coalesce(share * steady, F.lit(0.0)), 6).alias("confidence"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-
-
-def dft(pattern: DataFrame, key: str, size: int) -> DataFrame:
-    """Real and imaginary part and magnitude of the discrete Fourier transform of a pattern."""
-    angle = F.lit(2 * math.pi / size) * F.col("k") * F.col("bucket")
-    long = pattern.select(key, "bucket", "pattern", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"))
-    sums = long.groupBy(key, "k").agg(F.sum(F.col("pattern") * F.cos(angle)).alias("re"), F.sum(-F.col("pattern") * F.sin(angle)).alias("im"))
-    return sums.select(key, "k", F.round("re", 5).alias("re"), F.round("im", 5).alias("im"), F.round(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / size, 5).alias("magnitude"))
+    rounded = lambda c: c if digits is None else F.round(c, digits)
+    return joined.select(key, "bucket", rounded(F.coalesce(F.when(F.col("all_mean") != 0, F.col("mean") / F.col("all_mean")), F.lit(1.0))).alias("pattern"), rounded(F.coalesce(share * steady, F.lit(0.0))).alias("confidence"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def anomalies(events: DataFrame, baselines: DataFrame, sigmas: float = 3.0) -> DataFrame:

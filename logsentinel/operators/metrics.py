@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from logsentinel.functions.scalars import fixed
+
 HOUR = 3_600_000
 
 
@@ -122,7 +124,7 @@ def alert_rules(series: DataFrame, rules: list[dict], label: str) -> DataFrame:
     hot = series.select(label, "bucket", F.explode(F.array(*found)).alias("r")).select(label, "bucket", "r.*").where("hot")
     runs = hot.withColumn("run", F.col("bucket") - F.row_number().over(W.partitionBy(label, "name").orderBy("bucket")))
     fired = runs.groupBy(label, "name", "run").agg(F.first("severity").alias("severity"), F.first("summary").alias("summary"), F.first("hold").alias("hold"), F.min("bucket").alias("since"), F.count("*").alias("length"), F.when(F.first("up"), F.max("v")).otherwise(F.min("v")).alias("value")).where(F.col("length") >= F.col("hold"))
-    text = substitute(F.col("summary"), F.create_map(F.lit("label"), F.col(label), F.lit("value"), F.format_string("%.2f", "value")))
+    text = substitute(F.col("summary"), F.create_map(F.lit("label"), F.col(label), F.lit("value"), F.expr(fixed("value", 2))))
     return fired.select(label, "name", "severity", "since", "length", text.alias("summary"))
 
 
@@ -148,9 +150,9 @@ def render(counters: DataFrame, histograms: DataFrame, help_texts: dict[str, str
     """
     c = F.col
     labels = lambda *more: F.concat(F.lit("{"), "label", F.lit('="'), "text", F.lit('"'), *more, F.lit("}"))
-    plain = counters.select("metric", F.lit("counter").alias("kind"), "text", F.lit(0).alias("pos"), F.concat("metric", labels(), F.lit(" "), F.format_string("%.6f", c("value").cast("double"))).alias("line"))
+    plain = counters.select("metric", F.lit("counter").alias("kind"), "text", F.lit(0).alias("pos"), F.concat("metric", labels(), F.lit(" "), F.expr(fixed("value"))).alias("line"))
     bucket = histograms.select("metric", F.lit("histogram").alias("kind"), "text", "pos", F.concat("metric", F.lit("_bucket"), labels(F.lit(',le="'), c("le"), F.lit('"')), F.lit(" "), c("n").cast("string")).alias("line"))
-    ends = histograms.where("le = '+Inf'").select("metric", F.lit("histogram").alias("kind"), "text", F.explode(F.array(F.struct((c("pos") + 1).alias("pos"), F.concat("metric", F.lit("_sum"), labels(), F.lit(" "), F.format_string("%.6f", c("total").cast("double"))).alias("line")), F.struct((c("pos") + 2).alias("pos"), F.concat("metric", F.lit("_count"), labels(), F.lit(" "), c("n").cast("string")).alias("line")))).alias("e")).select("metric", "kind", "text", "e.pos", "e.line")
+    ends = histograms.where("le = '+Inf'").select("metric", F.lit("histogram").alias("kind"), "text", F.explode(F.array(F.struct((c("pos") + 1).alias("pos"), F.concat("metric", F.lit("_sum"), labels(), F.lit(" "), F.expr(fixed("total"))).alias("line")), F.struct((c("pos") + 2).alias("pos"), F.concat("metric", F.lit("_count"), labels(), F.lit(" "), c("n").cast("string")).alias("line")))).alias("e")).select("metric", "kind", "text", "e.pos", "e.line")
     body = plain.unionByName(bucket).unionByName(ends)
     known = F.create_map(*[F.lit(x) for kv in help_texts.items() for x in kv]) if help_texts else F.lit(None).cast("map<string,string>")
     heads = body.select("metric", "kind").distinct().select("metric", "kind", F.lit("").alias("text"), F.explode(F.array(F.struct(F.lit(-2).alias("pos"), F.concat(F.lit("# HELP "), "metric", F.lit(" "), F.coalesce(known[c("metric")], F.lit(""))).alias("line")), F.struct(F.lit(-1).alias("pos"), F.concat(F.lit("# TYPE "), "metric", F.lit(" "), "kind").alias("line")))).alias("e")).select("metric", "kind", "text", "e.pos", "e.line")

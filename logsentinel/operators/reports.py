@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from logsentinel.functions.scalars import fixed
+
 
 def recorded(df: DataFrame, ms: int = 30_000) -> DataFrame:
     """Requests, errors and mean time of every span of ``ms`` with any rows."""
@@ -72,7 +74,7 @@ def alerts_json(alerts: DataFrame) -> DataFrame:
 
 def alerts_text(alerts: DataFrame) -> DataFrame:
     """(line_no, rule, text): one line for each alert, as a log collector takes it."""
-    return alerts.select("line_no", "rule", F.concat(F.lit("ALERT: "), printable(F.col("reason")), F.lit(" | IP: "), "ip", F.lit(" | Tier: "), "tier", F.lit(" | Score: "), F.format_string("%.6f", "score")).alias("text"))
+    return alerts.select("line_no", "rule", F.concat(F.lit("ALERT: "), printable(F.col("reason")), F.lit(" | IP: "), "ip", F.lit(" | Tier: "), "tier", F.lit(" | Score: "), F.expr(fixed("score"))).alias("text"))
 
 
 def merge_feed(old: DataFrame, new: DataFrame, generation: int, keep: int = 2) -> DataFrame:

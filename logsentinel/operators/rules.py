@@ -1,4 +1,7 @@
-"""Detection rules: one pass over enriched rows gives an array of candidate alerts, which is exploded."""
+"""Detection rules: one pass over enriched rows gives an array of candidate alerts, which is exploded.
+
+Rules are SQL text, which the driver hands over as one expression.
+"""
 
 from __future__ import annotations
 
@@ -11,53 +14,74 @@ from pyspark.sql.window import Window as W
 
 from logsentinel.config import Config
 from logsentinel.functions import scalars as S
+from logsentinel.functions.scalars import figure, literal
+
 
+def _alert(when: str, rule: str, tier: int, action: str, score: str | float, reason: list[str] | str, key: str = "ip") -> str:
+    """A struct where ``when`` holds and the score is over 0, else null; a reason is a literal, or parts of SQL that are put together."""
+    text = literal(reason) if isinstance(reason, str) else f"concat({', '.join(reason)})"
+    return f"CASE WHEN {when} AND {score} > 0 THEN named_struct('rule', '{rule}', 'tier', 'tier{tier}', 'action', '{action}', 'score', CAST({score} AS DOUBLE), 'reason', {text}, 'key', {key}) END"
 
-def _alert(when: Column, rule: str, tier: int, action: str, score: Column | float, reason: Column | str, key: Column | None = None) -> Column:
-    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    score = lit(score).cast("double")
-    fields = F.struct(F.lit(rule).alias("rule"), F.lit(f"tier{tier}").alias("tier"), F.lit(action).alias("action"), score.alias("score"), lit(reason).alias("reason"), (F.col("ip") if key is None else key).alias("key"))
-    return F.when(when & (score > 0), fields)
 
+# fixed values: names of the statistics in reasons
+NAMES = {"time": "request_time", "bytes": "bytes_sent", "error": "error_rate", "vol": "request_volume"}
 
-def tier1(cfg: Config) -> list[Column]:
-    c = F.col
-    path_hit, ua_hit, sensitive = S.first_match(c("path"), cfg.bad_paths), S.first_match(c("user_agent"), cfg.bad_agents), S.first_listed(c("path"), cfg.sensitive)
-    seconds = F.lit(str(cfg.window_ms // 1000))
-    count = lambda text, x: F.concat(F.lit(text), x.cast("string"), F.lit(" in last "), seconds, F.lit("s."))
-    r, f = c("ip_req_window").cast("double"), c("ip_failed_window").cast("double")
-    low = c("asset_ratio") < cfg.least_asset_ratio
+
+def tier1(cfg: Config) -> list[str]:
+    bad_path, bad_agent, sensitive = S.first_match("path", cfg.bad_paths), S.first_match("user_agent", cfg.bad_agents), S.first_listed("path", cfg.sensitive)
+    end = literal(f" in last {cfg.window_ms // 1000}s.")
+    r, f = "CAST(ip_req_window AS DOUBLE)", "CAST(ip_failed_window AS DOUBLE)"
+    thin = [literal("Low Asset-to-HTML request ratio detected. Ratio: "), figure("asset_ratio"), literal(f" (Expected minimum: >{cfg.least_asset_ratio:.6f}). HTML: "), "html_window", literal(", Assets: "), "asset_window", literal(" in window.")]
     return [
-        _alert(r > cfg.max_requests, "requests_per_ip", 1, "RATE_LIMIT", S.score_threshold(r, cfg.max_requests, 10 * cfg.max_requests, 60.0), count("High request rate from IP. Count: ", c("ip_req_window"))),
-        _alert(f > cfg.max_failed_logins, "failed_logins", 1, "BLOCK", S.score_threshold(f, cfg.max_failed_logins, 5 * cfg.max_failed_logins, 70.0, 99.0), count("Multiple failed login attempts from IP. Count: ", c("ip_failed_window"))),
-        _alert(path_hit.isNotNull(), "suspicious_path", 1, "BLOCK", 95.0, F.concat(F.lit("Request path contains a suspicious pattern: "), path_hit)),
-        _alert(ua_hit.isNotNull(), "suspicious_ua", 1, "BLOCK", 75.0, F.concat(F.lit("User-Agent contains a suspicious pattern: "), ua_hit)),
-        _alert(c("ua_missing"), "ua_missing", 1, "LOG", 5.0, "Request with missing User-Agent"),
-        _alert(c("ua_bad"), "ua_known_bad", 1, "BLOCK", 75.0, "Request from a known malicious User-Agent signature"),
-        _alert(c("ua_headless"), "ua_headless", 1, "CHALLENGE", 40.0, "Request from a known headless browser signature"),
-        _alert(c("ua_outdated"), "ua_outdated", 1, "LOG", 10.0, F.concat(F.lit("Request from outdated browser: "), F.coalesce("browser", F.lit("")))),
-        _alert(c("ua_cycling"), "ua_cycling", 1, "BLOCK", 85.0, "IP rapidly cycling through different User-Agents"),
-        _alert((c("html_window") >= cfg.least_html) & low, "asset_ratio", 1, "CHALLENGE", F.when(c("asset_ratio") >= 0.1, 50.0).otherwise(95.0), "Low Asset-to-HTML request ratio detected."),
-        _alert(c("is_first") & sensitive.isNotNull(), "sensitive_new_ip", 1, "BLOCK", 80.0, F.concat(F.lit("Newly seen IP immediately accessed a sensitive path containing '"), sensitive, F.lit("'."))),
+        _alert(f"{r} > {cfg.max_requests}", "requests_per_ip", 1, "RATE_LIMIT", S.score_threshold(r, cfg.max_requests, 10 * cfg.max_requests, 60.0), [literal("High request rate from IP. Count: "), "ip_req_window", end]),
+        _alert(f"{f} > {cfg.max_failed_logins}", "failed_logins", 1, "BLOCK", S.score_threshold(f, cfg.max_failed_logins, 5 * cfg.max_failed_logins, 70.0, 99.0), [literal("Multiple failed login attempts from IP. Count: "), "ip_failed_window", end]),
+        _alert(f"{bad_path} IS NOT NULL", "suspicious_path", 1, "BLOCK", 95.0, [literal("Request path contains a suspicious pattern: "), bad_path]),
+        _alert(f"{bad_agent} IS NOT NULL", "suspicious_ua", 1, "BLOCK", 75.0, [literal("User-Agent contains a suspicious pattern: "), bad_agent]),
+        _alert("ua_missing", "ua_missing", 1, "LOG", 5.0, "Request with missing User-Agent"),
+        _alert("ua_bad", "ua_known_bad", 1, "BLOCK", 75.0, "Request from a known malicious User-Agent signature"),
+        _alert("ua_headless", "ua_headless", 1, "CHALLENGE", 40.0, "Request from a known headless browser signature"),
+        _alert("ua_outdated", "ua_outdated", 1, "LOG", 10.0, [literal("Request from outdated browser: "), "coalesce(browser, '')"]),
+        _alert("ua_cycling", "ua_cycling", 1, "BLOCK", 85.0, "IP rapidly cycling through different User-Agents"),
+        _alert(f"html_window >= {cfg.least_html} AND asset_ratio < {cfg.least_asset_ratio}", "asset_ratio", 1, "CHALLENGE", "CASE WHEN asset_ratio >= 0.1D THEN 50.0D ELSE 95.0D END", thin),
+        _alert(f"is_first AND {sensitive} IS NOT NULL", "sensitive_new_ip", 1, "BLOCK", 80.0, [literal("Newly seen IP immediately accessed a sensitive path containing '"), sensitive, literal("'.")]),
     ]
 
 
-def tier2(cfg: Config) -> list[Column]:
-    c = F.col
-    out = [_alert(c("is_path_new") & (c("ip_error_z") > 2.5), "new_path_errors", 2, "CHALLENGE", S.score_z(c("ip_error_z"), 2.5, 70.0), "IP began generating a high error rate while accessing a new path for the first time")]
+def tier2(cfg: Config) -> list[str]:
+    out = [_alert("is_path_new AND ip_error_z > 2.5", "new_path_errors", 2, "CHALLENGE", S.score_z("ip_error_z", 2.5, 70.0), [literal("IP began generating a high error rate (Z-score: "), figure("ip_error_z"), literal(") while accessing a new path for the first time")])]
     for key in ("ip", "path"):
         for stat in ("time", "bytes", "error", "vol")[: 4 if key == "ip" else 3]:
-            z = c(f"{key}_{stat}_z")
-            out.append(_alert(F.abs(z) > cfg.z_threshold, f"{key}_{stat}_z", 2, "LOG", S.score_z(z, cfg.z_threshold), f"Anomalous {key} {stat}", c(key)))
-    slow = cfg.slow_factor * c("ip_time_mean")
-    out.append(_alert((c("ip_time_n") >= cfg.min_samples) & (c("ip_time_mean") > 0) & (c("request_time_s") > slow), "slowdown", 2, "LOG", S.score_threshold(c("request_time_s"), slow, 5 * slow, 50.0), "Sudden performance degradation for IP."))
+            z = f"{key}_{stat}_z"
+            head = [literal(f"Anomalous IP {NAMES[stat]} (Z-score: ")] if key == "ip" else [literal(f"Anomalous {NAMES[stat]} for path '"), "path", literal("' (Z-score: ")]
+            out.append(_alert(f"abs({z}) > {cfg.z_threshold}", z, 2, "LOG", S.score_z(z, cfg.z_threshold), [*head, figure(z), literal(")")], key))
+    slow = f"({cfg.slow_factor}D * ip_time_mean)"
+    text = [literal("Sudden performance degradation for IP. Request time "), figure("request_time_s"), literal(f"s is >{cfg.slow_factor:.6f}x the historical average of "), figure("ip_time_mean"), literal("s")]
+    out.append(_alert(f"ip_time_n >= {cfg.min_samples} AND ip_time_mean > 0 AND request_time_s > {slow}", "slowdown", 2, "LOG", S.score_threshold("request_time_s", slow, f"(5 * {slow})", 50.0), text))
     return out
 
 
-def evaluate_rules(enriched: DataFrame, cfg: Config = Config(), tiers: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """Alerts (line_no, ts_ms, ip, rule, tier, action, score, reason, key). Tiers that are left out never enter the plan."""
-    found = [a for t, make in ((1, tier1), (2, tier2)) if t in tiers for a in make(cfg)]
-    return enriched.select("line_no", "ts_ms", "ip", F.explode(F.array_compact(F.array(*found))).alias("a")).select("line_no", "ts_ms", "ip", "a.*")
+def session_rules(cfg: Config) -> list[str]:
+    """Failed logins, request rate and user agents of the session so far (columns ``session_*``)."""
+    return [
+        _alert(f"session_failed > {cfg.session_failed_logins}", "session_failed_logins", 1, "BLOCK", 85.0, [literal("High number of failed logins within a single session: "), "session_failed"]),
+        _alert(f"session_req_window > {cfg.session_requests}", "session_requests", 1, "CHALLENGE", 70.0, [literal("Anomalously high request rate within a single session: "), "session_req_window", literal(" reqs in window.")]),
+        _alert(f"session_agents > {cfg.max_session_agents}", "session_agents", 1, "BLOCK", 90.0, [literal("User-Agent changed "), "session_agents", literal(" times within a single session.")]),
+    ]
+
+
+def together(alerts: list[str]) -> Column:
+    """The array of the alerts that are not null."""
+    return F.expr(f"array_compact(array({', '.join(alerts)}))") if alerts else F.array().cast("array<struct<rule:string,tier:string,action:string,score:double,reason:string,key:string>>")
+
+
+def candidates(cfg: Config, tiers: tuple[int, ...] = (1, 2), sessions: bool = False) -> Column:
+    """The array of alerts that a row raises; tiers that are left out never enter the plan."""
+    return together([a for t, make in ((1, tier1), (2, tier2)) if t in tiers for a in make(cfg)] + (session_rules(cfg) if sessions and 1 in tiers else []))
+
+
+def evaluate_rules(enriched: DataFrame, cfg: Config = Config(), tiers: tuple[int, ...] = (1, 2), context: tuple[str, ...] = ()) -> DataFrame:
+    """Alerts (line_no, ts_ms, ip, rule, tier, action, score, reason, key), and the columns of their row that ``context`` names."""
+    return enriched.select("line_no", "ts_ms", "ip", *context, F.explode(candidates(cfg, tiers)).alias("a")).select("line_no", "ts_ms", "ip", *context, "a.*")
 
 
 def throttle(alerts: DataFrame, seconds: float = 300, most_between: int = 0, key: str = "reason") -> DataFrame:
@@ -94,20 +118,3 @@ def throttle(alerts: DataFrame, seconds: float = 300, most_between: int = 0, key
 
     dealt = pieces.repartition("ip", "__piece").sortWithinPartitions("ip", "__piece", "ts_ms", "line_no", "rule")
     return dealt.mapInArrow(run, pieces.schema).select(*names)
-
-
-def ua_cycling_exact(df: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """User agents stored for the address at each row, and whether there are too many.
-
-    An agent is stored at its first request and again only once that has left the window, so one that never stops is counted
-    from its last storing on. Rows without an agent store nothing and raise nothing.
-    """
-    there = F.col("user_agent").isNotNull() & ~F.col("user_agent").isin("", "-")
-    agents = df.where(there).select("ip", "ts_ms", "line_no", "user_agent", F.lit("").alias("rule"))
-    stored = throttle(agents, (cfg.window_ms + 1) / 1000, key="user_agent").select("ip", "ts_ms", "line_no", F.lit(1).alias("__stored"))
-    both = df.withColumn("__stored", F.lit(0)).unionByName(stored, allowMissingColumns=True)
-    earlier = W.partitionBy("ip").orderBy("ts_ms").rangeBetween(-cfg.window_ms, -1)
-    now = W.partitionBy("ip", "ts_ms").orderBy("line_no", F.desc("__stored")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    n = F.coalesce(F.sum("__stored").over(earlier), F.lit(0)) + F.sum("__stored").over(now)
-    counted = both.withColumn("agents_window", n.cast("long")).where("__stored = 0").drop("__stored")
-    return counted.withColumn("ua_cycling", F.coalesce(there, F.lit(False)) & (F.col("agents_window") > cfg.max_agents))

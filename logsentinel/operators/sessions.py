@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from logsentinel.config import Config
 from logsentinel.operators.enrich import seq, sessionize, window_count
+from logsentinel.operators.rules import session_rules, together
 
 #: Gaps are averaged over so many of a session's last requests.
 LAST = 50
@@ -42,15 +43,10 @@ def running_sessions(df: DataFrame, cfg: Config = Config(), keys: tuple[str, ...
     ).drop("__path", "__agent")
 
 
-def session_alerts(running: DataFrame, cfg: Config = Config(), most_agents: int = 2) -> DataFrame:
-    """(line_no, ts_ms, ip, session_id, rule, action, score): failed logins, request rate and user agents of a session."""
-    c = F.col
-    found = [
-        F.when(c("session_failed") > cfg.session_failed_logins, F.struct(F.lit("session_failed_logins").alias("rule"), F.lit("BLOCK").alias("action"), F.lit(85.0).alias("score"))),
-        F.when(c("session_req_window") > cfg.session_requests, F.struct(F.lit("session_requests").alias("rule"), F.lit("CHALLENGE").alias("action"), F.lit(70.0).alias("score"))),
-        F.when(c("session_agents") > most_agents, F.struct(F.lit("session_agents").alias("rule"), F.lit("BLOCK").alias("action"), F.lit(90.0).alias("score"))),
-    ]
-    return running.select("line_no", "ts_ms", "ip", "session_id", F.explode(F.array_compact(F.array(*found))).alias("a")).select("line_no", "ts_ms", "ip", "session_id", "a.*")
+def session_alerts(running: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(line_no, ts_ms, ip, session_id, rule, action, score, reason): failed logins, request rate and user agents of a session."""
+    found = F.explode(together(session_rules(cfg))).alias("a")
+    return running.select("line_no", "ts_ms", "ip", "session_id", found).select("line_no", "ts_ms", "ip", "session_id", "a.rule", "a.action", "a.score", "a.reason")
 
 
 def session_events(running: DataFrame) -> DataFrame:

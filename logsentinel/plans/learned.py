@@ -187,20 +187,35 @@ def _(spark, d):
     return _six(S.simple_seasonal(_values(spark, d), "path", "hour"), "mean", "sd", "threshold")
 
 
-SPECTRUM = "SELECT path, k, round(re * 24, 5) AS re, round(im * 24, 5) AS im, round(magnitude, 5) AS magnitude FROM sp_hour"
+#: The spectrum of a pattern that isn't rounded.
+SPECTRUM = f"""SELECT path, k, round(re + 1e-9, 5) AS re, round(im + 1e-9, 5) AS im, round(sqrt(re * re + im * im) / 24 + 1e-9, 5) AS magnitude
+  FROM (SELECT path, k, sum(pattern * cos({2 * math.pi / 24!r} * k * bucket)) AS re, sum(-pattern * sin({2 * math.pi / 24!r} * k * bucket)) AS im
+    FROM (SELECT w.path, g.b AS bucket, coalesce(mean / all_mean, 1.0) AS pattern FROM (SELECT path, avg(v) AS all_mean FROM q_hour GROUP BY path HAVING count(*) >= {S.LEAST}) w CROSS JOIN (SELECT unnest(range(24)) AS b) g
+      LEFT JOIN (SELECT path, b, avg(v) AS mean FROM q_hour GROUP BY ALL) o ON o.path = w.path AND o.b = g.b), (SELECT unnest(range(24)) AS k) GROUP BY path, k)"""
 Q.ORACLES["seasonal_dft"] = with_log(f"SELECT path, CAST(k AS INT) AS k, re, im, magnitude FROM ({SPECTRUM})", SEASONS)
 Q.ORACLES["dominant_freq"] = with_log(f"SELECT path, CAST(k AS INT) AS k, CAST(r AS INT) AS rank, magnitude, round(magnitude / a, 5) AS share FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY magnitude DESC, k) AS r FROM (SELECT *, sum(magnitude) OVER (PARTITION BY path) AS a FROM ({SPECTRUM})) WHERE k BETWEEN 1 AND 11) WHERE r <= 3", SEASONS)
 
-# fixed values: the texts of the rules, as in operators/rules.py
+# fixed values: the texts of the rules, as the survey's Appendix B gives them
+_figure = lambda x: f"printf('%.6f', round({x}, 9))"
+_METRIC = {"time": "request_time", "bytes": "bytes_sent", "error": "error_rate", "vol": "request_volume"}
+_Z = " ".join([f"WHEN 'ip_{s}_z' THEN concat('Anomalous IP {m} (Z-score: ', {_figure(f'ip_{s}_z')}, ')')" for s, m in _METRIC.items()] + [f"WHEN 'path_{s}_z' THEN concat('Anomalous {m} for path ''', path, ''' (Z-score: ', {_figure(f'path_{s}_z')}, ')')" for s, m in _METRIC.items() if s != "vol"])
 REASON = f"""CASE rule WHEN 'requests_per_ip' THEN concat('High request rate from IP. Count: ', ip_req_window, ' in last {Q.C.window_ms // 1000}s.') WHEN 'failed_logins' THEN concat('Multiple failed login attempts from IP. Count: ', ip_failed_window, ' in last {Q.C.window_ms // 1000}s.')
   WHEN 'suspicious_path' THEN concat('Request path contains a suspicious pattern: ', CASE WHEN contains(path, '../') THEN '../' WHEN contains(path, '/etc/passwd') THEN '/etc/passwd' ELSE 'script' END) WHEN 'suspicious_ua' THEN concat('User-Agent contains a suspicious pattern: ', 'sqlmap')
   WHEN 'ua_missing' THEN 'Request with missing User-Agent' WHEN 'ua_known_bad' THEN 'Request from a known malicious User-Agent signature' WHEN 'ua_headless' THEN 'Request from a known headless browser signature'
-  WHEN 'ua_outdated' THEN concat('Request from outdated browser: ', CASE WHEN contains(user_agent, 'Chrome/') THEN 'Chrome/80' ELSE 'Firefox/70' END) WHEN 'ua_cycling' THEN 'IP rapidly cycling through different User-Agents' WHEN 'asset_ratio' THEN 'Low Asset-to-HTML request ratio detected.'
-  WHEN 'sensitive_new_ip' THEN concat('Newly seen IP immediately accessed a sensitive path containing ''', {' '.join(['CASE'] + [f"WHEN contains(path, '{p}') THEN '{p}'" for p in Q.C.sensitive] + ['END'])}, '''.') WHEN 'new_path_errors' THEN 'IP began generating a high error rate while accessing a new path for the first time'
-  WHEN 'slowdown' THEN 'Sudden performance degradation for IP.' ELSE concat('Anomalous ', split_part(rule, '_', 1), ' ', split_part(rule, '_', 2)) END"""
+  WHEN 'ua_outdated' THEN concat('Request from outdated browser: ', CASE WHEN contains(user_agent, 'Chrome/') THEN 'Chrome/80' ELSE 'Firefox/70' END) WHEN 'ua_cycling' THEN 'IP rapidly cycling through different User-Agents'
+  WHEN 'asset_ratio' THEN concat('Low Asset-to-HTML request ratio detected. Ratio: ', {_figure('asset_ratio')}, ' (Expected minimum: >{Q.C.least_asset_ratio:.6f}). HTML: ', html_window, ', Assets: ', asset_window, ' in window.')
+  WHEN 'sensitive_new_ip' THEN concat('Newly seen IP immediately accessed a sensitive path containing ''', {' '.join(['CASE'] + [f"WHEN contains(path, '{p}') THEN '{p}'" for p in Q.C.sensitive] + ['END'])}, '''.')
+  WHEN 'new_path_errors' THEN concat('IP began generating a high error rate (Z-score: ', {_figure('ip_error_z')}, ') while accessing a new path for the first time')
+  WHEN 'slowdown' THEN concat('Sudden performance degradation for IP. Request time ', {_figure('request_time_s')}, 's is >{Q.C.slow_factor:.6f}x the historical average of ', {_figure('ip_time_mean')}, 's') {_Z} END"""
 REASONED = f"{ALERTS}, rs AS (SELECT a.*, {REASON} AS reason FROM alerts a JOIN z_path z ON z.line_no = a.line_no)".replace("AS (SELECT a.*, CASE rule", "AS (SELECT a.*, CASE a.rule")
-THROTTLED = f"""{REASONED}, fo AS (SELECT ip, reason, list_reduce(list({{'last': ts_ms, 'kept': [{{'l': line_no, 'r': rule, 't': ts_ms}}]}} ORDER BY ts_ms, line_no, rule), lambda a, x: CASE WHEN x.last < a.last + {DAY} THEN a ELSE {{'last': x.last, 'kept': list_concat(a.kept, x.kept)}} END) AS f FROM rs GROUP BY ip, reason),
-  kp AS (SELECT ip, reason, k.l AS line_no, k.r AS rule, k.t AS ts_ms FROM (SELECT ip, reason, unnest(f.kept) AS k FROM fo))"""
+
+
+def _throttled(key: str) -> str:
+    return f"""{REASONED}, tf AS (SELECT ip, {key} AS key, list_reduce(list({{'last': ts_ms, 'kept': [{{'l': line_no, 'r': rule, 't': ts_ms, 'x': reason}}]}} ORDER BY ts_ms, line_no, rule), lambda a, x: CASE WHEN x.last < a.last + {DAY} THEN a ELSE {{'last': x.last, 'kept': list_concat(a.kept, x.kept)}} END) AS f FROM rs GROUP BY ip, {key}),
+  kp AS (SELECT ip, k.l AS line_no, k.r AS rule, k.t AS ts_ms, k.x AS reason FROM (SELECT ip, unnest(f.kept) AS k FROM tf))"""
+
+
+THROTTLED = _throttled("reason")
 
 
 @query("alert_throttle", f"{THROTTLED} SELECT line_no, ts_ms, ip, rule, reason FROM kp")
@@ -208,6 +223,11 @@ def _(spark, d):
     return R.throttle(Q.alerts(spark, d), seconds=DAY // 1000).select("line_no", "ts_ms", "ip", "rule", "reason")
 
 
+@query("alert_throttle_rule", f"{_throttled('rule')} SELECT line_no, ts_ms, ip, rule, reason FROM kp")
+def _(spark, d):
+    return R.throttle(Q.alerts(spark, d), seconds=DAY // 1000, key="rule").select("line_no", "ts_ms", "ip", "rule", "reason")
+
+
 @query("throttle_stats", f"{THROTTLED} SELECT rule, tier, alerts, alerts - coalesce(kept, 0) AS suppressed, round(1 - coalesce(kept, 0) / alerts, 6) AS ratio FROM (SELECT rule, tier, count(*) AS alerts FROM alerts GROUP BY rule, tier) LEFT JOIN (SELECT rule, count(*) AS kept FROM kp GROUP BY rule) USING (rule)")
 def _(spark, d):
     found = Q.alerts(spark, d)

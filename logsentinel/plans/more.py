@@ -42,8 +42,8 @@ def _(spark, d):
     return N.running_sessions(Q.log(spark, d), C).select("line_no", "session_id", *COUNTS, *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in MEANS])
 
 
-@query("rule_session", with_log("""SELECT line_no, ts_ms, ip, session_id, 'session_failed_logins' AS rule, 'BLOCK' AS action, CAST(85 AS DOUBLE) AS score FROM ss WHERE session_failed > 1
-  UNION ALL SELECT line_no, ts_ms, ip, session_id, 'session_requests', 'CHALLENGE', 70 FROM ss WHERE session_req_window > 1""", _sessions("al")))
+@query("rule_session", with_log("""SELECT line_no, ts_ms, ip, session_id, 'session_failed_logins' AS rule, 'BLOCK' AS action, CAST(85 AS DOUBLE) AS score, concat('High number of failed logins within a single session: ', session_failed) AS reason FROM ss WHERE session_failed > 1
+  UNION ALL SELECT line_no, ts_ms, ip, session_id, 'session_requests', 'CHALLENGE', 70, concat('Anomalously high request rate within a single session: ', session_req_window, ' reqs in window.') FROM ss WHERE session_req_window > 1""", _sessions("al")))
 def _(spark, d):
     return N.session_alerts(N.running_sessions(Q.log(spark, d), C), C)
 
@@ -59,7 +59,7 @@ def _features(spark, d):
     return I.features(N.running_sessions(E.enrich(Q.log(spark, d), C), C))
 
 
-_raw = ["request_time_s AS request_time", "bytes_sent AS bytes", "CASE WHEN status BETWEEN 400 AND 499 THEN 1 ELSE 0 END AS is_4xx", "CASE WHEN status BETWEEN 500 AND 599 THEN 1 ELSE 0 END AS is_5xx", f"agents_window > {C.max_agents} AS ua_cycling"]
+_raw = ["request_time_s AS request_time", "bytes_sent AS bytes", "CASE WHEN status BETWEEN 400 AND 499 THEN 1 ELSE 0 END AS is_4xx", "CASE WHEN status BETWEEN 500 AND 599 THEN 1 ELSE 0 END AS is_5xx", "ua_cycling"]
 VECTORS = f"{ENRICHED}, {_sessions('z_path')}, fr AS (SELECT {', '.join(['line_no', *_raw, *[f for f in I.FEATURES[4:] if f != 'ua_cycling']])} FROM ss), fv AS (SELECT line_no, {', '.join(f'tanh(coalesce(CAST({f} AS DOUBLE), 0.0)) AS {f}' for f in I.FEATURES)} FROM fr)"
 
 
@@ -178,4 +178,4 @@ def _(spark, d):
 
 @query("dominant_freq")
 def _(spark, d):
-    return P.dominant(L.dft(Q._season(spark, d, "hour"), "path", 24), "path", 24)
+    return P.dominant(Q.spectrum(spark, d), "path", 24)

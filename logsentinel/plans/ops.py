@@ -13,6 +13,7 @@ from logsentinel.operators import metrics as M
 from logsentinel.operators import reports as P
 from logsentinel.operators import sessions as N
 from logsentinel.operators import state as S
+from logsentinel.operators.rules import evaluate_rules
 from logsentinel.plans import more, registry as Q
 from logsentinel.plans.registry import ALERTS, BOUNDS, COUNTER, DAY, ENRICHED, ERROR, query, with_log
 from logsentinel.sources import logs
@@ -74,7 +75,8 @@ def _(spark, d):
   round(coalesce(s.path_time_z, 0.0) + 1e-9, 4) AS path_req_time, CAST(s.session_requests AS BIGINT) AS session_requests FROM alerts a JOIN ss s ON s.line_no = a.line_no""")
 def _(spark, d):
     enriched = N.running_sessions(E.enrich(Q.log(spark, d), Q.C), Q.C)
-    docs = T.alert_documents(Q.alerts(spark, d), enriched)
+    along = [c for c in enriched.columns if c not in ("line_no", "ts_ms", "ip")]
+    docs = T.alert_documents(evaluate_rules(enriched, Q.C, context=along))
     kinds = "timestamp_ms long, detection_tier string, anomaly_score double, log_context struct<request_path: string, status_code: int>, analysis_context struct<flags: struct<is_first_request_from_ip: boolean>, windowed_stats: struct<ip_request_count: long>, z_scores: struct<path_req_time: double>, session_context: struct<request_count: double>>"
     j = docs.select("line_no", "rule", F.from_json("json", kinds).alias("j")).select("line_no", "rule", "j.*")
     return j.select(

@@ -13,6 +13,7 @@ from logsentinel.operators import learning as L
 from logsentinel.operators import lookups as J
 from logsentinel.operators import metrics as M
 from logsentinel.operators import rules as R
+from logsentinel.operators import seasonal
 from logsentinel.sources import logs
 
 C = SPARSE
@@ -61,15 +62,20 @@ def _stats(key: str, source: str) -> str:
 
 UA = """CASE WHEN user_agent IN ('', '-') THEN TRUE ELSE FALSE END AS ua_missing, user_agent LIKE '%HeadlessChrome%' OR user_agent LIKE '%Puppeteer%' AS ua_headless,
   user_agent LIKE '%sqlmap%' OR user_agent LIKE '%Nmap%' AS ua_bad,
-  coalesce(TRY_CAST(regexp_extract(user_agent, 'Chrome/([0-9]+)', 1) AS INT) < 90, FALSE) OR (TRY_CAST(regexp_extract(user_agent, 'Chrome/([0-9]+)', 1) AS INT) IS NULL AND coalesce(TRY_CAST(regexp_extract(user_agent, 'Firefox/([0-9]+)', 1) AS INT) < 85, FALSE)) AS ua_outdated,
-  (user_agent LIKE '%Windows%' OR user_agent LIKE '%Macintosh%' OR user_agent LIKE '%X11%') AND (user_agent LIKE '%Android%' OR user_agent LIKE '%iPhone%' OR user_agent LIKE '%iPad%' OR user_agent LIKE '%Mobile%') AS ua_inconsistent"""
+  coalesce(TRY_CAST(regexp_extract(user_agent, 'Chrome/([0-9]+)', 1) AS INT) < 90, FALSE) OR coalesce(TRY_CAST(regexp_extract(user_agent, 'Firefox/([0-9]+)', 1) AS INT) < 85, FALSE) AS ua_outdated,
+  (user_agent LIKE '%Windows%' OR user_agent LIKE '%Macintosh%' OR user_agent LIKE '%Linux%') AND (user_agent LIKE '%iPhone%' OR user_agent LIKE '%Android%') AS ua_inconsistent"""
 CHANGED = "coalesce(user_agent NOT IN ('', '-') AND user_agent <> last_value(CASE WHEN user_agent NOT IN ('', '-') THEN user_agent END IGNORE NULLS) OVER (PARTITION BY ip ORDER BY ts_ms, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS ua_changed"
 SESSIONS = f"""g AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY ip, user_agent ORDER BY ts_ms, line_no) <= {C.session_gap_s * 1000} THEN 0 ELSE 1 END AS fresh FROM al),
 ses AS (SELECT * EXCLUDE fresh, CAST(sum(fresh) OVER (PARTITION BY ip, user_agent {SEQ}) AS BIGINT) AS session_no FROM g)"""
-ENRICHED = f"""{LOG}, {WINDOWS},
-fl AS (SELECT *, {UA}, {CHANGED}, row_number() OVER (PARTITION BY ip ORDER BY ts_ms, line_no) = 1 AS is_first, row_number() OVER (PARTITION BY ip, path ORDER BY ts_ms, line_no) = 1 AS is_path_new,
-  CASE WHEN html_window > 0 THEN asset_window / html_window END AS asset_ratio,
-  list_unique(list(CASE WHEN user_agent NOT IN ('', '-') THEN user_agent END) OVER (PARTITION BY ip ORDER BY ts_ms RANGE BETWEEN {C.window_ms} PRECEDING AND CURRENT ROW)) AS agents_window FROM win),
+#: User agents that are stored at a row: the list fold of an agent's rows keeps one that comes after the kept one has left the window.
+AGENTS = f"""fo AS (SELECT ip, user_agent, list_reduce(list({{'last': ts_ms, 'kept': [{{'l': line_no, 't': ts_ms}}]}} ORDER BY ts_ms, line_no),
+    lambda a, x: CASE WHEN x.last <= a.last + {C.window_ms} THEN a ELSE {{'last': x.last, 'kept': list_concat(a.kept, x.kept)}} END) AS f FROM al WHERE user_agent NOT IN ('', '-') GROUP BY ip, user_agent),
+  en AS (SELECT ip, k.l AS l, k.t AS t FROM (SELECT ip, unnest(f.kept) AS k FROM fo)),
+  ag AS (SELECT a.line_no AS al_no, count(e.t) AS agents_window, a.user_agent NOT IN ('', '-') AND count(e.t) > {C.max_agents} AS ua_cycling
+    FROM al a LEFT JOIN en e ON e.ip = a.ip AND e.t >= a.ts_ms - {C.window_ms} AND (e.t < a.ts_ms OR (e.t = a.ts_ms AND e.l <= a.line_no)) GROUP BY a.line_no, a.user_agent)"""
+ENRICHED = f"""{LOG}, {WINDOWS}, {AGENTS},
+fl AS (SELECT * EXCLUDE al_no, {UA}, {CHANGED}, row_number() OVER (PARTITION BY ip ORDER BY ts_ms, line_no) = 1 AS is_first, row_number() OVER (PARTITION BY ip, path ORDER BY ts_ms, line_no) = 1 AS is_path_new,
+  CASE WHEN html_window > 0 THEN asset_window / html_window END AS asset_ratio FROM win JOIN ag ON al_no = line_no),
 {_stats('ip', 'fl')}, {_stats('path', 'z_ip')}"""
 
 
@@ -92,7 +98,7 @@ def _alerts_sql() -> str:
         ("ua_known_bad", 1, "BLOCK", "ua_bad", "75.0"),
         ("ua_headless", 1, "CHALLENGE", "ua_headless", "40.0"),
         ("ua_outdated", 1, "LOG", "ua_outdated", "10.0"),
-        ("ua_cycling", 1, "BLOCK", f"agents_window > {C.max_agents}", "85.0"),
+        ("ua_cycling", 1, "BLOCK", "ua_cycling", "85.0"),
         ("asset_ratio", 1, "CHALLENGE", f"html_window >= {C.least_html} AND asset_ratio < {C.least_asset_ratio}", "CASE WHEN asset_ratio >= 0.1 THEN 50.0 ELSE 95.0 END"),
         ("sensitive_new_ip", 1, "BLOCK", "is_first AND (" + " OR ".join(f"contains(path, '{p}')" for p in C.sensitive) + ")", "80.0"),
         ("new_path_errors", 2, "CHALLENGE", "is_path_new AND ip_error_z > 2.5", _zs("ip_error_z", 2.5, 70.0)),
@@ -165,12 +171,12 @@ def _(spark, d):
 
 @query("ua_flags", with_log(f"SELECT line_no, {UA}, {CHANGED} FROM al"))
 def _(spark, d):
-    return E.ua_flags(log(spark, d), C).select("line_no", "ua_missing", "ua_headless", "ua_bad", "ua_outdated", "ua_inconsistent", "ua_changed")
+    return E.ua_cycling(E.ua_flags(log(spark, d), C), C).select("line_no", "ua_missing", "ua_headless", "ua_bad", "ua_outdated", "ua_inconsistent", "ua_changed")
 
 
 @query("suspicious_path", with_log("SELECT line_no, CASE WHEN contains(path, '../') THEN '../' WHEN contains(path, '/etc/passwd') THEN '/etc/passwd' WHEN contains(path, 'script') THEN 'script' END AS pattern FROM al"))
 def _(spark, d):
-    return log(spark, d).select("line_no", S.first_match(F.col("path"), C.bad_paths).alias("pattern"))
+    return log(spark, d).select("line_no", F.expr(S.first_match("path", C.bad_paths)).alias("pattern"))
 
 
 WINDOW_COLUMNS = ["line_no", "ip_req_window", "ip_failed_window", "html_window", "asset_window"]
@@ -186,18 +192,14 @@ def _(spark, d):
     return E.seen(log(spark, d), C).select("line_no", "is_first", "is_path_new")
 
 
-@query("ua_cycling", f"WITH {ENRICHED} SELECT line_no, CAST(agents_window AS BIGINT) AS agents_window, agents_window > {C.max_agents} AS ua_cycling FROM fl")
+@query("ua_cycling", with_log("SELECT al_no AS line_no, agents_window, ua_cycling FROM ag", AGENTS))
 def _(spark, d):
     return E.ua_cycling(log(spark, d), C).select("line_no", "agents_window", "ua_cycling")
 
 
-@query("ua_cycling_exact", with_log(f"""SELECT a.line_no, count(e.t) AS agents_window, a.user_agent NOT IN ('', '-') AND count(e.t) > {C.max_agents} AS ua_cycling
-  FROM al a LEFT JOIN en e ON e.ip = a.ip AND e.t >= a.ts_ms - {C.window_ms} AND (e.t < a.ts_ms OR (e.t = a.ts_ms AND e.l <= a.line_no)) GROUP BY a.line_no, a.user_agent""",
-  f"""fo AS (SELECT ip, user_agent, list_reduce(list({{'last': ts_ms, 'kept': [{{'l': line_no, 't': ts_ms}}]}} ORDER BY ts_ms, line_no),
-    lambda a, x: CASE WHEN x.last <= a.last + {C.window_ms} THEN a ELSE {{'last': x.last, 'kept': list_concat(a.kept, x.kept)}} END) AS f FROM al WHERE user_agent NOT IN ('', '-') GROUP BY ip, user_agent),
-  en AS (SELECT ip, k.l AS l, k.t AS t FROM (SELECT ip, unnest(f.kept) AS k FROM fo))"""))
+@query("ua_cycling_exact", with_log("SELECT al_no AS line_no, agents_window, ua_cycling FROM ag", AGENTS))
 def _(spark, d):
-    return R.ua_cycling_exact(log(spark, d), C).select("line_no", "agents_window", "ua_cycling")
+    return E.enrich(log(spark, d), C).select("line_no", "agents_window", "ua_cycling")
 
 
 @query("sessionize", with_log("SELECT line_no, session_no FROM ses", SESSIONS))
@@ -219,8 +221,7 @@ for _key in ("ip", "path"):
 
     def _run(spark, d, key=_key, cols=_stat_cols, z=False):
         df = log(spark, d)
-        df = E.ip_windows(df, C) if key == "ip" else df
-        df = E.running_stats(df, key, E.stats_columns(key), E.BLOCK_MS if key == "path" else None)
+        df = E.address_features(df, C, E.stats_columns(key), ("windows", "stats")) if key == "ip" else E.running_stats(df, key, E.stats_columns(key))
         df = E.zscores(df, key, C) if z else df
         return df.select("line_no", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in cols])
 
@@ -454,9 +455,16 @@ for _dim, _bucket in (("hour", "CAST((ts_ms // 3600000) % 24 AS INT)"), ("day",
     )(lambda spark, d, dim=_dim: _season(spark, d, dim))
 
 
+def spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of the transform of the hourly pattern, which isn't rounded before."""
+    s = seasonal.spectrum(L.seasonal_pattern(log(spark, d).withColumn("value", F.col("request_time_s")), "path", "hour", digits=None), "path", 24)
+    even = lambda c, size: F.round(c * size + 1e-9, 5)
+    return s.select("path", "k", even(F.col("re"), 24).alias("re"), even(F.col("im"), 24).alias("im"), even(F.col("magnitude"), 1).alias("magnitude"))
+
+
 @query("seasonal_dft")
 def _(spark, d):
-    return L.dft(_season(spark, d, "hour"), "path", 24)
+    return spectrum(spark, d)
 
 
 from logsentinel.plans import learned, more, ops  # noqa: E402, F401  register the rest

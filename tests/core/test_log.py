@@ -1,15 +1,18 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from logsentinel.config import Config
 from logsentinel.functions import scalars as S
+from logsentinel.operators import alerting as T
 from logsentinel.operators import enrich as E
 from logsentinel.operators import lookups as J
 from logsentinel.operators import reports as P
 from logsentinel.operators import rules as R
 from logsentinel.operators import sessions as N
+from logsentinel.operators.blocks import address_features
 from logsentinel.sources import logs
 
 GOOD = "192.168.0.1|-|01/Jan/2023:12:00:01 +0000|0.120|0.100|GET /index.html HTTP/1.1|200|1024|https://example.com|Mozilla/5.0 (X11; Linux x86_64)|example.com|US|127.0.0.1:80|abc123|0.020"
@@ -91,21 +94,21 @@ def test_throttle_equals_a_plain_loop(spark):
 def test_two_phase_statistics_equal_one_phase(spark):
     rng = random.Random(5)
     rows = [(i, rng.randrange(50) * 1000, "10.0.0.1", f"/p{i % 2}", "GET", rng.choice([200, 404]), rng.random() if i % 9 else None, i, "x") for i in range(300)]
-    one, two = (E.running_stats(log_rows(spark, rows), "path", E.stats_columns("path"), b).orderBy("line_no").toPandas() for b in (None, 7000))
+    one, two = (E.running_stats(log_rows(spark, rows), "path", E.stats_columns("path"), b).orderBy("line_no").toPandas() for b in (10**12, 7000))
     for c in one.columns[9:]:
         assert ((one[c] - two[c]).abs() < 1e-9).all() or (one[c].isna() == two[c].isna()).all() and (one[c] - two[c]).abs().max() < 1e-9, c
 
 
 def test_scores(spark):
     df = spark.createDataFrame([(50.0,), (100.0,), (550.0,), (2000.0,)], "v double")
-    assert [r[0] for r in df.select(S.score_threshold(F.col("v"), 100, 1000, 60.0)).collect()] == [0.0, 0.0, 79.0, 98.0]
+    assert [r[0] for r in df.select(F.expr(S.score_threshold("v", 100, 1000, 60.0))).collect()] == [0.0, 0.0, 79.0, 98.0]
 
 
 def test_agents_come_back_after_the_window(spark):
     cfg = Config(window_ms=1000, max_agents=1)
     seen = [(0, "a"), (500, "a"), (900, "b"), (1000, "a"), (1001, "a"), (1950, "-"), (1950, None), (2900, "c"), (2900, "a"), (2900, "c")]
     rows = spark.createDataFrame([(i, t, "10.0.0.1", u) for i, (t, u) in enumerate(seen)] + [(10, 2900, "10.0.0.2", "z")], "line_no long, ts_ms long, ip string, user_agent string")
-    got = {r.line_no: (r.agents_window, r.ua_cycling) for r in R.ua_cycling_exact(rows, cfg).collect()}
+    got = {r.line_no: (r.agents_window, r.ua_cycling) for r in E.ua_cycling(rows, cfg).collect()}
     stored, want = [], []
     for t, u in seen:
         stored = [(s, v) for s, v in stored if t - s <= cfg.window_ms]
@@ -127,3 +130,88 @@ def test_later_tiers_count_only_below_the_stop(spark):
     tiers = [[("any", "status > 0", 60.0), ("denied", "status = 401", 40.0)], [], [("late", "true", 45.0)]]
     got = {r.line_no: (r.total, r.rules) for r in P.weigh_tiers(rows, tiers, 40.0).collect()}
     assert got == {1: (105.0, "any,late"), 2: (100.0, "any,denied"), 3: (45.0, "late")}
+
+
+def test_numbers_are_printed_like_printf(spark):
+    values = [2.025, 0.125, 1.005, 0.375, -0.125, 0.0, 1e-9, 123456.789, 2.5, 3.5, 1e15, 99.995, -7.0]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    for digits in (1, 2, 6):
+        assert [r[0] for r in df.select(F.expr(S.fixed("v", digits))).collect()] == [f"{v:.{digits}f}" for v in values] + [None]
+    assert df.select(F.expr(S.figure("2.0000005D"))).first()[0] == f"{2.0000005:.6f}"
+
+
+def test_agents_of_two_platforms(spark):
+    agents = ["Mozilla/5.0 (Linux; Android 14) Chrome/120", "Mozilla/5.0 (X11; Ubuntu) Mobile", "Mozilla/5.0 (Macintosh) iPhone", "Windows Chrome/120 Firefox/70", "-", None]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(agents)], "line_no long, user_agent string")
+    got = E.ua_flags(rows).orderBy("line_no").collect()
+    assert [r["ua_inconsistent"] for r in got] == [True, False, True, False, False, False]
+    assert (got[3]["ua_outdated"], got[3]["browser"]) == (True, "Firefox/70") and [r["ua_missing"] for r in got[4:]] == [True, True]
+
+
+def plain_features(rows, cfg):
+    """The state of each address, row by row. rows: (line, ts, ip, path, status, agent, seconds)."""
+    out, state = {}, {}
+    for line, ts, ip, path, status, agent, seconds in sorted(rows, key=lambda r: (r[1], r[0])):
+        s = state.setdefault(ip, {"req": [], "failed": [], "html": [], "asset": [], "held": {}, "paths": set(), "agent": None, "stored": [], "times": []})
+        kind = "html" if path == "/" or path.endswith(".html") else "asset" if path.startswith("/static/") else None
+        for name, flag in (("req", True), ("failed", status in (401, 403)), ("html", kind == "html"), ("asset", kind == "asset")):
+            if flag:
+                s[name] = [t for t in s[name] if t >= ts - cfg.window_ms] + [ts]
+                s["held"][name] = len(s[name])
+        first, new = not s["times"], path not in s["paths"]
+        if len(s["paths"]) < cfg.max_paths:
+            s["paths"].add(path)
+        there = agent not in (None, "", "-")
+        changed = there and s["agent"] is not None and s["agent"] != agent
+        s["stored"] = [(t, a) for t, a in s["stored"] if t >= ts - cfg.window_ms]
+        if there:
+            s["agent"] = agent
+            if all(a != agent for _, a in s["stored"]):
+                s["stored"].append((ts, agent))
+        s["times"].append(seconds)
+        mean = sum(s["times"]) / len(s["times"])
+        sd = (sum((x - mean) ** 2 for x in s["times"]) / (len(s["times"]) - 1)) ** 0.5 if len(s["times"]) > 1 else 0.0
+        h = s["held"]
+        out[line] = [h["req"], h.get("failed", 0), h.get("html", 0), h.get("asset", 0), first, new, changed, len(s["stored"]), there and len(s["stored"]) > cfg.max_agents, round(mean, 9), round(sd, 9)]
+    return out
+
+
+FEATURES = ["ip_req_window", "ip_failed_window", "html_window", "asset_window", "is_first", "is_path_new", "ua_changed", "agents_window", "ua_cycling", "ip_time_mean", "ip_time_sd"]
+
+
+@pytest.mark.parametrize("length", [1000, 4000, 10**9])
+def test_features_in_blocks_equal_a_plain_loop(spark, length):
+    rng = random.Random(11)
+    paths = ["/", "/a.html", "/b.html", "/static/x.js", "/login", "/c"]
+    rows = [(i, rng.randrange(60) * 250 + 8000 * (i % 7 == 0), f"10.0.0.{rng.choice([1, 1, 1, 2, 3])}", rng.choice(paths), rng.choice([200, 401, 403, 500]), rng.choice(["a", "b", "c", "-", None]), rng.randrange(100) / 8) for i in range(400)]
+    cfg = Config(window_ms=1000, max_paths=4, max_agents=1)
+    table = spark.createDataFrame([(*r, "x") for r in rows], "line_no long, ts_ms long, ip string, path string, status int, user_agent string, request_time_s double, method string").withColumn("bytes_sent", F.lit(1))
+    got = {r["line_no"]: [round(v, 9) if isinstance(v, float) else v for v in (r[c] for c in FEATURES)] for r in address_features(table, cfg, E.stats_columns("ip"), length=length).collect()}
+    assert got == plain_features(rows, cfg)
+
+
+def test_a_hot_address_is_spread_over_tasks(spark):
+    rows = spark.range(0, 20000, 1, 4).selectExpr("id AS line_no", "id * 10 AS ts_ms", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('ip', id % 977) END AS ip", "concat('/p', id % 5) AS path", "200 AS status", "concat('u', id % 3) AS user_agent", "0.5D AS request_time_s", "1L AS bytes_sent")
+    dealt = address_features(rows, Config(window_ms=250), E.stats_columns("ip"), length=1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sizes = sorted(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == 20000 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_tiers_can_be_left_out_and_every_session_rule_fires(spark):
+    rows = [(i, i * 1000, "10.0.0.1", "/../etc/passwd", "GET", 401, 0.5, 10, f"a{i % 4}") for i in range(40)]
+    cfg = Config(session_requests=5, session_failed_logins=5, min_samples=5)
+    enriched = N.running_sessions(E.enrich(log_rows(spark, rows), cfg), cfg, ("ip",))
+    none = logs.cidr_table(spark.createDataFrame([("192.0.2.1",)], "value string"))
+    rules = lambda tiers: {(r["rule"], r["tier"]) for r in T.alert_table(enriched, cfg, none, none, tiers=tiers).collect()}
+    both = rules((1, 2))
+    assert {"session_failed_logins", "session_requests", "session_agents", "suspicious_path", "ua_cycling"} <= {r for r, _ in both}
+    assert rules((1,)) == {r for r in both if r[1] == "tier1"} and rules((2,)) == {r for r in both if r[1] == "tier2"} and rules(()) == set()
+    agents = T.alert_table(enriched, cfg, none, none).where("rule = 'session_agents'").first()
+    assert agents["reason"] == "User-Agent changed 3 times within a single session." and agents["score"] == 90.0
