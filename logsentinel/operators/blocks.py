@@ -151,7 +151,11 @@ def address_features(df: DataFrame, cfg: Config = Config(), stats: dict[str, str
         typed = x.withColumn("request_type", S.request_type(F.col("path"), cfg))
         return typed.selectExpr("*", "true AS __row", "true AS __req", f"status IN ({codes}) AS __failed", "request_type = 'HTML' AS __html", "request_type = 'ASSET' AS __asset")
 
-    marked = flagged(df)
+    # what the windows don't read goes along as one value, which keeps their rows and generated code small
+    read = {"ip", "ts_ms", "line_no", "path", "status", "user_agent"} | {n for n in names if any(n in text for text in stats.values())}
+    along = [n for n in names if n not in read]
+    packed = df.select(*[n for n in names if n in read], F.struct(*along).alias("__along")) if along else df
+    marked = flagged(packed)
     if seen:
         marked = marked.unionByName(first_visits(base, cfg.max_paths).selectExpr("*", "false AS __row"), allowMissingColumns=True)
     if agents:
@@ -181,4 +185,4 @@ def address_features(df: DataFrame, cfg: Config = Config(), stats: dict[str, str
         out += ["coalesce(__visited.line = line_no, false) AS is_path_new", "coalesce(__visited.line = line_no AND __visited.visit = 1, false) AS is_first"]
     if agents:
         out += [f"{PRESENT} AND coalesce(coalesce(__h_agent, __l_agent) <> user_agent, false) AS ua_changed", "__n_stored AS agents_window", f"{PRESENT} AND __n_stored > {cfg.max_agents} AS ua_cycling"]
-    return rows.selectExpr(*[f"`{n}`" for n in names], *out, *[f"{n}_{x}" for n in stats for x in ("mean", "sd", "n")])
+    return rows.selectExpr(*[f"__along.`{n}`" if n in along else f"`{n}`" for n in names], *out, *[f"{n}_{x}" for n in stats for x in ("mean", "sd", "n")])
