@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -92,6 +95,53 @@ def audit(events: DataFrame, key: str, span_ms: int = DAY, last: int = 1000, mos
     return newest.select(key, ((F.col("span") + 1) * span_ms).alias("ts_ms"), "old_threshold", "new_threshold", accepts(F.col("old_threshold"), F.col("new_threshold"), F.lit(max_change)).alias("accepted"))
 
 
+#: Values whose percentiles a task computes at once.
+RANKS = 4096
+
+
+def sample_audit(events: DataFrame, key: str, last: int = 1000, least: int = 30, p: float = 0.95, max_change: float = MAX_CHANGE, span_ms: int = DAY) -> DataFrame:
+    """(key, line_no, ts_ms, old_threshold, new_threshold, accepted): every single value that moves a key's p95 over its last ``last`` values.
+
+    A move is noted if it is over a hundredth of the old value (0.01 at least) and the key had ``least`` values by then. Values are ranked in order of
+    (ts_ms, line_no) by spans of time and counts of the spans before, and cut into blocks of RANKS ranks, which take along the ``last`` values before; a task slides over a block
+    with a sorted window, into which it inserts a value and from which it removes the oldest.
+    """
+    rows = events.select(key, "ts_ms", "line_no", F.col("value").cast("double").alias("value"), F.floor(F.col("ts_ms") / span_ms).alias("__span"))
+    per = rows.groupBy(key, "__span").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(key).orderBy("__span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rank = F.col("before") + F.row_number().over(W.partitionBy(key, "__span").orderBy("ts_ms", "line_no")) - 1
+    ranked = rows.join(per.select(key, "__span", before.alias("before")), [key, "__span"]).withColumn("r", rank)
+    block = F.floor(F.col("r") / RANKS)
+    if last > RANKS:
+        raise ValueError("a block must be at least as long as the values kept")
+    near = F.pmod("r", F.lit(RANKS)) >= RANKS - last
+    places = F.array(block, F.when(near, block + 1))
+    dealt = ranked.select(key, "ts_ms", "line_no", "value", "r", F.explode(F.array_compact(places)).alias("__block"))
+    schema = f"{key} {events.schema[key].dataType.simpleString()}, line_no long, ts_ms long, old_threshold double, new_threshold double"
+
+    def slide(group: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("r")
+        ranks, values = table["r"].to_numpy(), table["value"].to_numpy().tolist()
+        window, at, old, new, before_now = [], [], [], [], 0.0
+        begin = group[1].as_py() * RANKS
+        for i, x in enumerate(values):
+            if len(window) >= last:
+                del window[bisect_left(window, values[i - last])]
+            insort(window, x)
+            place = p * (len(window) - 1)
+            low = int(place)
+            now = window[low] + (place - low) * (window[min(low + 1, len(window) - 1)] - window[low])
+            if ranks[i] >= begin and ranks[i] + 1 >= max(least, 2) and abs(now - before_now) > max(0.01 * abs(before_now), 0.01):
+                at.append(i)
+                old.append(before_now)
+                new.append(now)
+            before_now = now
+        return table.take(pa.array(at, pa.int64())).select([key, "line_no", "ts_ms"]).append_column("old_threshold", pa.array(old, pa.float64())).append_column("new_threshold", pa.array(new, pa.float64()))
+
+    moves = dealt.where("value IS NOT NULL").groupBy(key, "__block").applyInArrow(slide, schema)
+    return moves.withColumn("accepted", accepts(F.col("old_threshold"), F.col("new_threshold"), F.lit(max_change)))
+
+
 def audit_since(rows: DataFrame, since_ms: int) -> DataFrame:
     return rows.where(F.col("ts_ms") >= since_ms)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -117,20 +119,48 @@ def model_meta(scores: DataFrame, model: pd.DataFrame, at_ms: int) -> DataFrame:
     return one.select("samples", F.lit(len(FEATURES)).alias("features"), F.lit(int(model["tree"].nunique())).alias("trees"), F.lit(len(model)).alias("nodes"), "mean_score", F.lit(at_ms).alias("trained_ms"))
 
 
-def publish_model(spark: SparkSession, model: pd.DataFrame, path: str, version: int) -> bool:
+def score_drift(rows: DataFrame, model: pd.DataFrame, other: pd.DataFrame) -> float:
+    """Mean absolute difference of the scores that two models give to the same rows; 0 without rows."""
+    a, b = (score_forest(rows, m).select("line_no", F.col("score").alias(n)) for m, n in ((model, "a"), (other, "b")))
+    return a.join(b, "line_no").agg(F.avg(F.abs(F.col("a") - F.col("b")))).first()[0] or 0.0
+
+
+def publish_model(spark: SparkSession, model: pd.DataFrame, path: str, version: int, validation: DataFrame | None = None, most_drift: float = 0.1) -> bool:
     """Writes a model as a new version and points to it, if it is sound; else the old one stays in force.
 
-    Sound is a model with trees whose every inner node leads to two nodes of its tree and whose leaves have a depth.
+    Sound is a model with trees whose every inner node leads to two nodes of its tree and whose leaves have a depth, and, with a
+    ``validation`` table of features, whose scores differ from those of the model in force by ``most_drift`` in the mean at most.
     """
     inner = model[model.feature >= 0] if len(model) else model
     size = model.groupby("tree").node.transform("size") if len(model) else None
     ok = len(model) > 0 and bool(np.isfinite(model[["cut", "depth"]].to_numpy()).all()) and bool(((inner.low > inner.node) & (inner.high > inner.node)).all()) and bool((inner[["low", "high"]].max(axis=1) < size[inner.index]).all())
+    if ok and validation is not None and has_model(spark, path):
+        ok = score_drift(validation, model, current_model(spark, path)) <= most_drift
     if ok:
         spark.createDataFrame(model).write.mode("errorifexists").parquet(f"{path}/model/version={version}")
         spark.createDataFrame([(version,)], "version long").write.mode("append").parquet(f"{path}/current")
     return ok
 
 
+def current_version(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}/current").agg(F.max("version")).first()[0]
+
+
 def current_model(spark: SparkSession, path: str) -> pd.DataFrame:
-    version = spark.read.parquet(f"{path}/current").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/model/version={version}").toPandas()
+    return spark.read.parquet(f"{path}/model/version={current_version(spark, path)}").toPandas()
+
+
+def has_model(spark: SparkSession, path: str) -> bool:
+    """Whether any model is in force."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+
+
+def forest_score(rows: DataFrame, models: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(line_no, score, factors): the mean score of several trees (each gives line_no, score, factors), and what the trees over 0.5 name."""
+    scores = [m(rows).select("line_no", "score", "factors", F.lit(i).alias("tree")) for i, m in enumerate(models)]
+    every = scores[0]
+    for s in scores[1:]:
+        every = every.unionByName(s)
+    named = F.array_join(F.array_sort(F.collect_set(F.when(F.col("score") > 0.5, F.col("factors")))), ", ")
+    return every.groupBy("line_no").agg(F.avg("score").alias("score"), F.nullif(named, F.lit("")).alias("factors"))

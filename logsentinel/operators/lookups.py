@@ -80,3 +80,27 @@ def valid_mapping(df: DataFrame, names: DataFrame, ttl_ms: int = 3_600_000) -> D
     both = rows.select("__row", "ip", "__span", "ts_ms").join(m, ["ip", "__span"]).where(valid)
     best = both.groupBy("__row", "ip", "__span").agg(F.max(F.struct("cached_ms", "name"))["name"].alias("name"))
     return rows.join(best, ["ip", "__span", "__row"], "left").select(*df.columns, "name")
+
+
+#: Lengths of spans: a minute, doubled so often.
+SHORTEST, LEVELS = 60_000, 20
+
+
+def valid_interval(df: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds ``name``: of the mappings (ip, name, cached_ms, expires_ms) that were valid at the row's time the newest (ties: the last name), else null.
+
+    Each mapping holds for a time of its own. It is put under spans of the shortest length (of SHORTEST, doubled LEVELS times at most) that is not shorter than its life, of which
+    it meets two at most, and a row is looked up once for each length in use, of which there are LEVELS at most. So no row meets mappings that ended
+    long before it, however long others live.
+    """
+    life = F.col("expires_ms") - F.col("cached_ms")
+    level = F.least(F.greatest(F.ceil(F.log2(F.greatest(life, F.lit(1)) / SHORTEST)), F.lit(0)), F.lit(LEVELS)).cast("int")
+    span = lambda c: F.floor(c / (SHORTEST * F.pow(F.lit(2.0), F.col("__level")))).cast("long")
+    m = names.where(life >= 0).select("ip", "name", "cached_ms", "expires_ms", level.alias("__level"))
+    used = sorted(r[0] for r in m.select("__level").distinct().collect())  # LEVELS + 1 numbers at most
+    m = m.select("ip", "name", "cached_ms", "expires_ms", "__level", F.explode(F.sequence(span(F.col("cached_ms")), span(F.col("expires_ms")))).alias("__span"))
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    looked = rows.select("__row", "ip", "ts_ms", F.explode(F.array(*[F.lit(x) for x in used]) if used else F.array().cast("array<int>")).alias("__level")).withColumn("__span", span(F.col("ts_ms")))
+    both = looked.join(m, ["ip", "__level", "__span"]).where("cached_ms <= ts_ms AND ts_ms <= expires_ms")
+    best = both.groupBy("__row").agg(F.max(F.struct("cached_ms", "name"))["name"].alias("name"))
+    return rows.join(best, "__row", "left").select(*df.columns, "name")

@@ -65,3 +65,26 @@ def dashboard(df: DataFrame, alerts: DataFrame) -> DataFrame:
     one = df.agg(F.count("*").alias("n"), span.alias("s"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY request_time_s)").alias("p90"), F.countDistinct("ip").alias("ips"), F.countDistinct("path").alias("paths"), F.countDistinct("user_agent").alias("agents"))
     both = one.crossJoin(alerts.agg(F.count("*").alias("alerts")))
     return both.select(F.round(F.col("n") / F.col("s"), 6).alias("rows_per_s"), F.round(F.col("alerts") / F.col("s") * 60, 6).alias("alerts_per_min"), "p90", "ips", "paths", "agents")
+
+
+def sketches(df: DataFrame, kind: str, key: str) -> DataFrame:
+    """(kind, id, n, paths, agents, times): mergeable sketches of each address, path or session, as binary columns of a snapshot.
+
+    paths and agents count distinct values (HyperLogLog, relative error about 1.6 %), times has quantiles of the request time (KLL, rank error about 1.3 %).
+    """
+    x = F.col("request_time_s").cast("double")
+    return df.groupBy(F.lit(kind).alias("kind"), F.col(key).alias("id")).agg(F.count("*").alias("n"), F.hll_sketch_agg("path").alias("paths"), F.hll_sketch_agg("user_agent").alias("agents"), F.kll_sketch_agg_double(x).alias("times"))
+
+
+def merge_sketches(*parts: DataFrame) -> DataFrame:
+    """One row for each kind and id of several snapshots: what sketches of all their rows would say."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.groupBy("kind", "id").agg(F.sum("n").alias("n"), F.hll_union_agg("paths").alias("paths"), F.hll_union_agg("agents").alias("agents"), F.kll_merge_agg_double("times").alias("times"))
+
+
+def sketched(parts: DataFrame, ranks: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """(kind, id, n, paths, agents, p50, p95): estimates of sketches."""
+    quantiles = [F.kll_sketch_get_quantile_double("times", F.lit(r)).alias(f"p{round(r * 100)}") for r in ranks]
+    return parts.select("kind", "id", "n", F.hll_sketch_estimate("paths").alias("paths"), F.hll_sketch_estimate("agents").alias("agents"), *quantiles)

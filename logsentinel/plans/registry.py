@@ -467,7 +467,7 @@ def _(spark, d):
     return spectrum(spark, d)
 
 
-from logsentinel.plans import learned, more, ops  # noqa: E402, F401  register the rest
+from logsentinel.plans import learned, more, ops, series  # noqa: E402, F401  register the rest
 
 
 def queries() -> dict:

@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logsentinel.config import Config
+from logsentinel.operators import forest
 
 
 def _ordered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -99,3 +101,17 @@ def with_lists(stream: DataFrame, read: Callable[[], dict[str, DataFrame]], work
         work(batch, **read())
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_scores(features: DataFrame, models: str, sink: Callable[[DataFrame, int], None], checkpoint: str):
+    """Starts a query that scores each micro-batch of feature vectors with the model that is in force when the batch begins.
+
+    ``sink`` gets (line_no, score, version) rows and the batch's number. A model that is published while the stream runs scores from the next batch
+    on; one that was refused (``forest.publish_model``) is never pointed to, so the one before goes on.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        version = forest.current_version(batch.sparkSession, models)
+        sink(forest.score_forest(batch, forest.current_model(batch.sparkSession, models)).withColumn("version", F.lit(version).cast("long")), number)
+
+    return features.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
