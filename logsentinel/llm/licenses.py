@@ -22,7 +22,8 @@ SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non commer
 COPYRIGHT = r"^((c|©) )?copyright( |$)|^© |^c (19|20)[0-9][0-9]|^all rights reserved$"
 #: How a licence's own wording may go on where a line begins with "copyright": such lines stay.
 WORDING = r"^copyright (notices?|holders?|owners?|laws?|interests?|licenses?|and|or|in|to|this|the above)( |$)"
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words: ASCII beside letters and digits, no-break and other Unicode blanks, typographic quotes, dashes, bullets and the mark of an ellipsis.
+GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\u00A0\u00AB\u00B7\u00BB\u2000-\u200B\u2010-\u2015\u2018-\u201F\u2022\u2026\u202F\u2032\u2033\u2039\u203A\u205F\u2060\u3000\uFEFF]+"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -102,7 +103,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    line = r"trim(regexp_replace(lower(x), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+    line = f"trim(regexp_replace(lower(x), '{GAP}', ' ', 'g'))"
     for old, new in SPELLINGS:
         line = f"replace({line}, '{old}', '{new}')"
     values = lambda rows: ", ".join("('" + k + "', '" + t.replace("'", "''") + "')" for k, t in rows)

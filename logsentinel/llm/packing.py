@@ -94,7 +94,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, shards: int = 1, id_col: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset. Shards are packed apart; longer pieces come first, ties by id, piece and checksum."""
+    """Adds sequence_id and offset. Shards are packed apart, and equal rows are spread over them; longer pieces come first, ties by id, piece and checksum."""
     schema = f"{id_col} {pieces.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     keys = [id_col, "piece", "start", "length", "ids_crc32"]
 
@@ -104,7 +104,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, shards: int = 1, id_col: str =
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
         return rows.append_column("sequence_id", pa.array((key[0].as_py() << 40) + bins)).append_column("offset", pa.array(offsets))
 
-    shard = F.pmod(F.xxhash64(*keys), F.lit(max(1, shards))).alias("shard")
+    # the running number of a row in its task deals equal rows out to all shards; a repeated task gives the same numbers
+    shard = F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(max(1, shards))).alias("shard")
     return pieces.select(*keys, shard).groupBy("shard").applyInArrow(run, schema)
 
 

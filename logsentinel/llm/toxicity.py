@@ -188,13 +188,21 @@ def parts_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield K.utf8(part.column("text"))
 
 
-def _train_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The model of all rows (text, label) of a task, as one row; rows are put in an order that no shuffle changes."""
-    rows = list(batches)
-    held = (pa.Table.from_batches(rows) if rows else pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.int32())})).sort_by([("label", "ascending"), ("text", "ascending")])
-    texts = pa.concat_arrays(held.column("text").chunks) if held.num_rows else pa.array([], pa.string())
-    model = train(parts_of(texts), held.column("label").to_numpy().astype(np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array([np.asarray(model[k], kind).tobytes()], pa.binary()) for k, kind in MODEL.items()], names=list(MODEL))
+def _trained(**settings):
+    """A function for a task: the model of all its rows (text, label), as one row; rows are put in an order that no shuffle changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        held = (pa.Table.from_batches(rows) if rows else pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.int32())})).sort_by([("label", "ascending"), ("text", "ascending")])
+        texts = pa.concat_arrays(held.column("text").chunks) if held.num_rows else pa.array([], pa.string())
+        model = train(parts_of(texts), held.column("label").to_numpy().astype(np.int64), **settings)
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(model[k], kind).tobytes()], pa.binary()) for k, kind in MODEL.items()], names=list(MODEL))
+
+    return run
+
+
+#: Settings of the plain form, in which the average of all of a text's subword vectors decides.
+AVERAGED = {"window": None, "steps": 300, "rate": 0.1, "noise": 0.0}
 
 
 #: What a model holds, and as which type it travels.
@@ -219,11 +227,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     return rows.select(F.coalesce(text_col, F.lit("")).alias("text"), "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
-    """The model from ``training_rows``: a task trains on them, and only the model comes to the driver (``BUCKETS`` vectors at most)."""
-    row = training_rows(docs, labels, folds, held, id_col, text_col).repartition(1).mapInArrow(_train_in_task, ", ".join(f"{k} binary" for k in MODEL)).first()
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", **settings) -> dict[str, np.ndarray]:
+    """The model from ``training_rows``: a task trains on them, and only the model comes to the driver (``BUCKETS`` vectors at most).
+
+    ``settings`` go to ``train``: windows by default, ``AVERAGED`` for the average of the whole text.
+    """
+    row = training_rows(docs, labels, folds, held, id_col, text_col).repartition(1).mapInArrow(_trained(**settings), ", ".join(f"{k} binary" for k in MODEL)).first()
     if row is None:  # no rows, so Spark ran no task
-        return train([], np.zeros(0, np.int64))
+        return train([], np.zeros(0, np.int64), **settings)
     model = {k: np.frombuffer(row[k], kind) for k, kind in MODEL.items()}
     return model | {k: model[k].reshape(-1, n) for k, n in (("vectors", DIM), ("soft", 2))}
 
@@ -238,30 +249,33 @@ def bucket_scores(model: dict[str, np.ndarray]) -> np.ndarray:
 class Scorer:
     """The model in a task: scores of the texts of a batch."""
 
-    def __init__(self, docs: DataFrame, model: dict[str, np.ndarray]):
+    def __init__(self, docs: DataFrame, model: dict[str, np.ndarray], window: int | None = WINDOW):
+        self.window = window
         self.shared = docs.sparkSession.sparkContext.broadcast(bucket_scores(model))
         self.bias = float(model["bias"][1] - model["bias"][0])
 
     def __call__(self, column: pa.Array) -> np.ndarray:
-        bags = Bags([K.utf8(column)])
+        bags = Bags([K.utf8(column)], self.window)
         z = bags.texts(bags.of_words(self.shared.value))
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -500, 500)))
 
 
-def predict(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", averaged: dict[str, np.ndarray] | None = None) -> DataFrame:
     """(id, score) for every row: the softmax's probability of the toxic class, for the maximum of the text's windows.
 
+    With a model ``averaged`` also average_score: that of the average of all of the text's subword vectors.
+
     A text without words (null, empty) gets the softmax of the bias alone; repeated rows a row each; null ids
     stay null; an empty table gives an empty result; other columns are not read.
     """
-    scorer = Scorer(docs, model)
+    scorers = {"score": Scorer(docs, model)} | ({"average_score": Scorer(docs, averaged, None)} if averaged else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, text_col):
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(scorer(part.column(text_col)))], names=[id_col, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), *[pa.array(s(part.column(text_col)), pa.float64()) for s in scorers.values()]], names=[id_col, *scorers])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in scorers))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,9 +296,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_co
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) for every row; see ``fit`` and ``predict``."""
-    scored = predict(docs, fit(docs, labels, folds, held, id_col, text_col), id_col, text_col)
-    return scored.select(id_col, (fold(id_col, folds) == held).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    """(id, held_out, score, predicted, average_score) for every row; see ``fit`` and ``predict``. average_score comes from a model that was trained on averages."""
+    of = lambda **settings: fit(docs, labels, folds, held, id_col, text_col, **settings)
+    scored = predict(docs, of(), id_col, text_col, of(**AVERAGED))
+    return scored.select(id_col, (fold(id_col, folds) == held).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "average_score")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

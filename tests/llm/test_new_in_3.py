@@ -295,3 +295,35 @@ def test_long_conversation_in_blocks_equals_one_block():
         codes = bytes(rng.choice([0, 1, 2, 3, 5, 6, 13, 14, 9, 10]) for _ in range(n))
         blocks = [C.solve(codes[i : i + 7]) for i in range(0, n, 7)]
         assert C.chained(blocks) == C.chained([C.solve(codes)])
+
+
+# --- what was mended
+
+
+def test_licences_with_typographic_marks(spark):
+    from logsentinel.llm import licenses as L
+
+    of = dict(reversed(L.LICENSES))
+    fancy = lambda t: t.replace('"Software"', "“Software”").replace('"AS IS"', "“AS IS”").replace("'", "’").replace("-", "‐").replace("free of charge", "free of charge")
+    docs = spark.createDataFrame([(i, "• " + fancy(of[k])) for i, k in enumerate(("MIT", "BSD-3-Clause", "ISC"))], "doc_id long, text string")
+    known, notices = spark.createDataFrame(L.LICENSES, "license string, text string"), spark.createDataFrame(L.NOTICES, "license string, text string")
+    assert [r["license"] for r in L.scan_licenses(docs, known, notices).orderBy("doc_id").collect()] == ["MIT", "BSD-3-Clause", "ISC"]
+
+
+def test_equal_rows_are_spread_over_the_packing_shards(spark):
+    from logsentinel.llm import packing as P
+
+    pieces = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "1L AS length", "0L AS ids_crc32")
+    packed = P.pack(pieces, 2048, 3)
+    sizes = sorted(r["count"] for r in packed.selectExpr("shiftright(sequence_id, 40) AS shard").groupBy("shard").count().collect())
+    assert len(sizes) == 3 and sizes[0] > 800 and sum(sizes) == 3000
+
+
+def test_averages_of_the_whole_text_are_scored_beside_the_windows(spark):
+    from logsentinel.llm import toxicity as X
+
+    rows = [(i, ("you vile stupid thing " if i % 3 == 0 else "a kind and sunny day ") * 6 + f"w{i % 11}") for i in range(300)]
+    docs = spark.createDataFrame(rows + [(1000, None), (1001, "you vyle stupidd thing")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in X.score_toxicity(docs, labels).collect()}
+    assert all((got[i]["average_score"] >= 0.5) == (i % 3 == 0) for i in range(300)) and got[1001]["average_score"] > 0.5 and 0 <= got[1000]["average_score"] <= 1
