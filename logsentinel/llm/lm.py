@@ -8,9 +8,11 @@ probabilities of a context add up to 1 over the training vocabulary and one unkn
 
 1. Each scan task packs its texts into compressed blocks, which are written once as a table. Each block counts its own tokens
    where it lies, so that only one row for each distinct token and block is shuffled.
-2. Training passes over the tokens of all training texts, ``ROUNDS`` times: each task takes minibatches of its own blocks, beginning
-   with the shared weights, and hands on its weights; they are averaged over all tasks, weighted by tokens, in
-   Spark. The driver sees the averages and the frequent words only (a bounded number, whatever the corpus).
+2. A training text's row goes to one of ``training tokens / SHARD_TOKENS`` shards by the hash of its id and text, and a shard is
+   read in the order of these hashes, so the model depends on the rows alone and not on how tasks read them. Shard 0 gives the
+   first weights (``FIRST_RATES``); from these every shard is trained once more (``RATES``), so that all training tokens count, and
+   the shards' weights are averaged by their tokens in Spark. The driver sees the averages and the frequent words only (a
+   bounded number, whatever the corpus).
 3. Counts over all training texts come back to the blocks that have the token, and the block's texts are scored by
    batched matrix products; a task keeps the normaliser of each context that it has met.
 """
@@ -22,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +40,10 @@ UNITS = 1 + FREQUENT + CLASSES
 BLOCK_BYTES = 8 << 20
 #: Key of the end of a text.
 END_KEY = -(2**63)
-#: Passes over the corpus; a task with few tokens repeats them until it has made LEAST_STEPS steps.
-ROUNDS, LEAST_STEPS, NOISE, BATCH, RATES = 2, 150, 128, 4096, (0.02, 0.005)
+#: Training tokens of a shard, about; tokens that are mixed at once; tokens and noise units of a minibatch.
+SHARD_TOKENS, MIXED, BATCH, NOISE = 1 << 21, 1 << 18, 4096, 128
+#: A pass over shard 0 for each of the first rates, then a pass over every shard for each of the others.
+FIRST_RATES, RATES = (0.02, 0.02, 0.01, 0.005), (0.005,)
 
 
 def _tokens(batch: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +85,7 @@ def contexts(units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a task's rows (id, text, held_out), compressed; a block is named by the hash of its content."""
+    """Blocks of a task's rows (id, text, h, held_out), compressed; a block is named by the hash of its content."""
     held, size = [], 0
 
     def block() -> pa.RecordBatch:
@@ -170,42 +175,74 @@ class Trainer:
         self.w -= np.float32(self.rate) * (self.mean / np.float32(1 - 0.9**self.steps)) / (np.sqrt(self.var / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8))
         self.smooth += np.float32(max(0.02, 1 / self.steps)) * (self.w - self.smooth)
 
-    def learn(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> None:
-        order = self.rng.permutation(len(target))
-        for at in range(0, len(order), BATCH):
-            now = order[at : at + BATCH]
-            self.step(two[now], one[now], target[now])
+    def learn(self, units: np.ndarray, first: np.ndarray) -> None:
+        """Minibatches of about equal size of the texts' tokens, mixed."""
+        two, one = contexts(units, first)
+        for now in np.array_split(self.rng.permutation(len(units)), max(1, round(len(units) / BATCH))):
+            self.step(two[now], one[now], units[now])
 
 
-def _learn(blocks: DataFrame, head: np.ndarray, unit_counts: np.ndarray, weights: np.ndarray, rate: float) -> np.ndarray:
-    """Weights after one pass over all blocks: the average of the tasks' weights by their training tokens."""
+def _to_shards(head: np.ndarray, shards: int):
+    """Of each training row its shard, its hash, and its tokens' units as two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held, tokens = Trainer(weights, unit_counts, rate, 11), [], 0
         for batch in batches:
             for data in batch.column("data"):
                 for part in _unpack(data):
+                    part = part.filter(pa.compute.invert(part.column("held_out")))
                     k, c, first = _tokens(part)
-                    u = to_units(k, c, head).astype(np.int32)
-                    known = np.flatnonzero(~np.repeat(np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool), np.diff(first)))
-                    if len(known):
-                        two, one = contexts(u, first)
-                        tokens += len(known)
-                        held.append((two[known], one[known], u[known]))
-                        model.learn(*held[-1])
-                        if model.steps >= LEAST_STEPS:
-                            held.clear()
-        again = tuple(map(np.concatenate, zip(*held, strict=True)))
-        while again and model.steps < LEAST_STEPS:
-            model.learn(*again)
-        if tokens:
-            flat = model.smooth.astype(np.float64).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * tokens), pa.array(np.full(len(flat), tokens), pa.int64())], names=["place", "value", "tokens"])
+                    u = to_units(k, c, head).astype("<i2")
+                    h = part.column("h").to_numpy()
+                    shard = (K.mix(h.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+                    at = first.tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h), pa.array([u[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["shard", "h", "units"])
+
+    return run
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, units, first) of runs of rows of one shard with ``MIXED`` tokens or more, wherever batches are cut."""
+    shard, held, size = None, [], 0
 
-    rows = blocks.select("data").mapInArrow(run, "place int, value double, tokens long").groupBy("place").agg((F.sum("value") / F.sum("tokens")).alias("value")).toArrow()
-    out = weights.ravel().copy()
-    out[rows.column("place").to_numpy()] = rows.column("value").to_numpy()
-    return out.reshape(weights.shape)
+    def run() -> tuple[int, np.ndarray, np.ndarray]:
+        return shard, np.concatenate(held), np.concatenate([[0], np.cumsum([len(x) for x in held])])
+
+    for batch in batches:
+        for of, data in zip(batch.column("shard").to_pylist(), batch.column("units"), strict=True):
+            if held and (of != shard or size >= MIXED):
+                yield run()
+                held, size = [], 0
+            shard = of
+            held.append(np.frombuffer(data.as_buffer(), "<i2").astype(np.int32))
+            size += len(held[-1])
+    if held:
+        yield run()
+
+
+def _learn(rows: DataFrame, unit_counts: np.ndarray, weights: np.ndarray, rate: float) -> np.ndarray:
+    """Weights after one pass over all shards of the rows (shard, h, units): the average of the shards' weights by their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result() -> pa.RecordBatch:
+            flat = model.smooth.astype(np.float64).ravel()
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * tokens), pa.array(np.full(len(flat), tokens), pa.int64())], names=["place", "value", "tokens"])
+
+        now, model, tokens = None, None, 0
+        for shard, units, first in _mixed(batches):
+            if shard != now:
+                if model is not None:
+                    yield result()
+                now, model, tokens = shard, Trainer(weights, unit_counts, rate, shard), 0
+            model.learn(units, first)
+            tokens += len(units)
+        if model is not None:
+            yield result()
+
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "h", "units")
+    out = dealt.mapInArrow(run, "place int, value double, tokens long").groupBy("place").agg((F.sum("value") / F.sum("tokens")).alias("value")).toArrow()
+    mean = weights.ravel().copy()
+    mean[out.column("place").to_numpy()] = out.column("value").to_numpy()
+    return mean.reshape(weights.shape)
 
 
 class Model:
@@ -248,13 +285,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows whose crc32 of the id as text is ``held`` modulo ``folds`` are not learned from (a null id counts
     as 0). Null or empty text is one token, the end. With no training rows counts are 0 and units are about
     equally likely. Repeated rows count each; an empty table gives an empty result; other columns are not read. A text of any
-    length is read whole, as a block of its own where it is long. Words are compared by 64-bit hashes: among a million distinct
+    length is read whole, as a block of its own where it is long; rows that repeat id and text are in one shard. Words are compared by 64-bit hashes: among a million distinct
     words two share a hash with a probability of 3e-8. Ties among frequent words are broken by their hash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
+        F.xxhash64(id_col, text_col).alias("h"),
         (F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % folds == held).alias("held_out"),
     )
     blocks = stored(texts.mapInArrow(_pack, "block long, data binary"))
@@ -273,10 +311,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unit_counts = np.concatenate([[ends], [taken[k] for k in head.tolist()], np.zeros(FREQUENT - len(head)), by_class[:, 0]]).astype(np.float64)
     weights = begin(unit_counts)
     if n:
-        for rate in RATES[:ROUNDS]:
-            weights = _learn(blocks, head, unit_counts, weights, rate)
+        rows = stored(blocks.select("data").mapInArrow(_to_shards(head, max(1, round(n / SHARD_TOKENS))), "shard int, h long, units binary"))
+        for rate in FIRST_RATES:
+            weights = _learn(rows.where("shard = 0"), unit_counts, weights, rate)
+        for rate in RATES:
+            weights = _learn(rows, unit_counts, weights, rate)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32).tobytes())
-    known = words.select("block", "key").join(totals.select("key", "c"), "key").select("block", "key", "c")
+    # The end and the frequent words are in nearly every block: their counts go along with the task instead of through the join.
+    rare = ~F.col("key").isin([END_KEY, *head.tolist()])
+    known = words.where(rare).select("block", "key").join(totals.where(rare).select("key", "c"), "key").select("block", "key", "c")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("key").to_numpy())
@@ -287,10 +330,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for data in left.column("data"):
             for part in _unpack(data):
                 k, c, first = _tokens(part)
-                count = K.lookup(keys, counts, k)
+                u = to_units(k, c, head)
+                count = np.where(u > FREQUENT, K.lookup(keys, counts, k), unit_counts[u].astype(np.int64))
                 log_count = np.log10(count + 1.0)
                 base = log_count - np.log10(n + v + 1)
-                u = to_units(k, c, head)
                 model = model_of.score(*contexts(u, first), u) + np.where(u > FREQUENT, log_count - share[c], 0.0)
                 sums = [np.add.reduceat(x, first[:-1]) for x in (base, model, (count > 0).astype(np.int64))]
                 out.append(pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(np.diff(first), pa.int64()), pa.array(sums[2]), pa.array(np.full(part.num_rows, n), pa.int64()), pa.array(sums[0]), pa.array(sums[1])], names=names))
