@@ -10,7 +10,7 @@ probabilities of a context add up to 1 over the training vocabulary and one unkn
    where it lies, so that only one row for each distinct token and block is shuffled.
 2. A training text's row goes to one of ``training tokens / SHARD_TOKENS`` shards by the hash of its id and text, and a shard is
    read in the order of these hashes, so the model depends on the rows alone and not on how tasks read them. Shard 0 gives the
-   first weights (``FIRST_RATES``); from these every shard is trained once more (``RATES``), so that all training tokens count, and
+   first weights (``FIRST_PASSES``); from these every shard is trained once more (``PASSES``), so that all training tokens count, and
    the shards' weights are averaged by their tokens in Spark. The driver sees the averages and the frequent words only (a
    bounded number, whatever the corpus).
 3. Counts over all training texts come back to the blocks that have the token, and the block's texts are scored by
@@ -40,10 +40,10 @@ UNITS = 1 + FREQUENT + CLASSES
 BLOCK_BYTES = 8 << 20
 #: Key of the end of a text.
 END_KEY = -(2**63)
-#: Training tokens of a shard, about; tokens that are mixed at once; tokens and noise units of a minibatch.
-SHARD_TOKENS, MIXED, BATCH, NOISE = 1 << 21, 1 << 18, 4096, 128
-#: A pass over shard 0 for each of the first rates, then a pass over every shard for each of the others.
-FIRST_RATES, RATES = (0.02, 0.02, 0.01, 0.005), (0.005,)
+#: Training tokens of a shard, about; tokens that are mixed at once; noise units of a minibatch.
+SHARD_TOKENS, MIXED, NOISE = 1 << 20, 1 << 18, 128
+#: (rate, tokens of a minibatch) of the passes over shard 0, and of the passes over every shard after them.
+FIRST_PASSES, PASSES = ((0.02, 1024), (0.02, 1024), (0.01, 1024), (0.005, 1024)), ((0.005, 2048),)
 
 
 def _tokens(batch: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,22 +148,30 @@ def _rows_added(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
 class Trainer:
     """Noise-contrastive estimation against the units' own frequencies, ``NOISE`` noise units for a minibatch, by Adam."""
 
-    def __init__(self, weights: np.ndarray, unit_counts: np.ndarray, rate: float, seed: int):
-        self.w = weights.astype(np.float32)
+    def __init__(self, weights: np.ndarray, unit_counts: np.ndarray, rate: float, seed: int | list[int]):
+        """``weights`` are those of a beginning (UNITS, 3 * DIM + 1), or a ``state`` (3, UNITS, 3 * DIM + 1), from which Adam goes on without a start of its own."""
+        go_on = weights.ndim == 3
+        self.w = (weights[0] if go_on else weights).astype(np.float32)
         #: Average of the weights of about the last 50 steps, which is what a task hands on.
         self.smooth = self.w.copy()
         share = (unit_counts + 0.5) / (unit_counts.sum() + 0.5 * UNITS)
         self.shift, self.cum = np.log(NOISE * share).astype(np.float32), np.cumsum(share)
-        self.mean, self.var, self.steps = np.zeros_like(self.w), np.zeros_like(self.w), 0
+        self.mean, self.var = (x.astype(np.float32) for x in (weights[1:] if go_on else np.zeros((2, *self.w.shape))))
+        self.steps, self.settled = 0, go_on
         self.rate, self.rng = rate, np.random.default_rng(seed)
 
+    @property
+    def state(self) -> np.ndarray:
+        return np.stack([self.smooth, self.mean, self.var]).astype(np.float64)
+
     def step(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> None:
         w, d = self.w, DIM
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), UNITS - 1)
         hidden, out, other = w[two, :d] + w[one, d : 2 * d], w[target, 2 * d : 3 * d], w[noise, 2 * d : 3 * d]
         good = np.einsum("bd,bd->b", hidden, out) + w[target, -1] - self.shift[target]
         bad = hidden @ other.T + (w[noise, -1] - self.shift[noise])
-        good, bad = (1 / (1 + np.exp(-good)) - 1) / len(target), 1 / (1 + np.exp(-bad)) / len(target)
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is the right limit
+            good, bad = (1 / (1 + np.exp(-good)) - 1) / len(target), 1 / (1 + np.exp(-bad)) / len(target)
         g_hidden = good[:, None] * out + bad @ other
         grad = np.zeros_like(w)
         grad[:, :d], grad[:, d : 2 * d] = _rows_added(two, g_hidden), _rows_added(one, g_hidden)
@@ -172,13 +180,15 @@ class Trainer:
         self.steps += 1
         self.mean += np.float32(0.1) * (grad - self.mean)
         self.var += np.float32(0.01) * (grad * grad - self.var)
-        self.w -= np.float32(self.rate) * (self.mean / np.float32(1 - 0.9**self.steps)) / (np.sqrt(self.var / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8))
+        young = 0.0 if self.settled else 1.0
+        self.w -= np.float32(self.rate) * (self.mean / np.float32(1 - young * 0.9**self.steps)) / (np.sqrt(self.var / np.float32(1 - young * 0.99**self.steps)) + np.float32(1e-8))
         self.smooth += np.float32(max(0.02, 1 / self.steps)) * (self.w - self.smooth)
 
-    def learn(self, units: np.ndarray, first: np.ndarray) -> None:
-        """Minibatches of about equal size of the texts' tokens, mixed."""
+    def learn(self, units: np.ndarray, first: np.ndarray, batch: int) -> None:
+        """Minibatches of about equal size, ``batch`` tokens or so, of the texts' tokens, mixed."""
+        units = units.astype(np.int32)
         two, one = contexts(units, first)
-        for now in np.array_split(self.rng.permutation(len(units)), max(1, round(len(units) / BATCH))):
+        for now in np.array_split(self.rng.permutation(len(units)), max(1, round(len(units) / batch))):
             self.step(two[now], one[now], units[now])
 
 
@@ -213,36 +223,41 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
                 yield run()
                 held, size = [], 0
             shard = of
-            held.append(np.frombuffer(data.as_buffer(), "<i2").astype(np.int32))
+            held.append(np.frombuffer(data.as_buffer(), "<i2"))
             size += len(held[-1])
     if held:
         yield run()
 
 
-def _learn(rows: DataFrame, unit_counts: np.ndarray, weights: np.ndarray, rate: float) -> np.ndarray:
-    """Weights after one pass over all shards of the rows (shard, h, units): the average of the shards' weights by their tokens."""
+def _learn(rows: DataFrame, unit_counts: np.ndarray, weights: np.ndarray, passes: tuple[tuple[float, int], ...], seed: int) -> np.ndarray:
+    """State after passes over the rows (shard, h, units): every shard goes on from ``weights``, and the shards' states are averaged
+    by their tokens. With several passes a task keeps the shard's units (two bytes a token)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result() -> pa.RecordBatch:
-            flat = model.smooth.astype(np.float64).ravel()
+            for model.rate, batch in passes[1:]:
+                for one in kept:
+                    model.learn(*one, batch)
+            flat = model.state.ravel()
             return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * tokens), pa.array(np.full(len(flat), tokens), pa.int64())], names=["place", "value", "tokens"])
 
-        now, model, tokens = None, None, 0
+        now, model, kept, tokens = None, None, [], 0
         for shard, units, first in _mixed(batches):
             if shard != now:
                 if model is not None:
                     yield result()
-                now, model, tokens = shard, Trainer(weights, unit_counts, rate, shard), 0
-            model.learn(units, first)
+                now, model, kept, tokens = shard, Trainer(weights, unit_counts, passes[0][0], [seed, shard]), [], 0
+            model.learn(units, first, passes[0][1])
             tokens += len(units)
+            if len(passes) > 1:
+                kept.append((units, first))
         if model is not None:
             yield result()
 
     dealt = rows.repartition("shard").sortWithinPartitions("shard", "h", "units")
     out = dealt.mapInArrow(run, "place int, value double, tokens long").groupBy("place").agg((F.sum("value") / F.sum("tokens")).alias("value")).toArrow()
-    mean = weights.ravel().copy()
-    mean[out.column("place").to_numpy()] = out.column("value").to_numpy()
-    return mean.reshape(weights.shape)
+    order = np.argsort(out.column("place").to_numpy())
+    return out.column("value").to_numpy()[order].reshape(3, *weights.shape[-2:]) if len(order) else weights
 
 
 class Model:
@@ -312,10 +327,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     weights = begin(unit_counts)
     if n:
         rows = stored(blocks.select("data").mapInArrow(_to_shards(head, max(1, round(n / SHARD_TOKENS))), "shard int, h long, units binary"))
-        for rate in FIRST_RATES:
-            weights = _learn(rows.where("shard = 0"), unit_counts, weights, rate)
-        for rate in RATES:
-            weights = _learn(rows, unit_counts, weights, rate)
+        weights = _learn(rows.where("shard = 0"), unit_counts, weights, FIRST_PASSES, 0)
+        for i, one in enumerate(PASSES, 1):
+            weights = _learn(rows, unit_counts, weights, (one,), i)
+        weights = weights[0] if weights.ndim == 3 else weights
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32).tobytes())
     # The end and the frequent words are in nearly every block: their counts go along with the task instead of through the join.
     rare = ~F.col("key").isin([END_KEY, *head.tolist()])
