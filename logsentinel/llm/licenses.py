@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import MORE
+from .license_texts import DIGESTS, MORE
 from .session import checkpoint
 
 #: Licences that are broadcast at most; more of them are joined by a shuffle.
@@ -66,8 +66,9 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(lines, lambda x: (x != "") & (~x.rlike(COPYRIGHT) | x.rlike(WORDING)))
 
 
-def _digests(known: DataFrame) -> DataFrame:
-    return known.select(F.col("license"), F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+def _digests(known: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    known = known.select(F.col("license"), F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest"))
+    return (known if more is None else known.unionByName(more.select("license", "digest"))).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def _bounded(known: DataFrame) -> DataFrame:
@@ -75,15 +76,16 @@ def _bounded(known: DataFrame) -> DataFrame:
     return F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
 
 
-def scan_licenses(docs: DataFrame, licenses: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, licenses: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: DataFrame | None = None) -> DataFrame:
     """(id, digest, license, n_notices, notices) for every row; notices: ids in order, comma-joined.
 
-    ``licenses`` and ``notices`` have license and text; of licences with one digest the smallest id counts.
+    ``licenses`` and ``notices`` have license and text, ``digests`` has license and digest, for licences whose text is not at hand; of
+    licences with one digest the smallest id counts.
     A null or empty text, or one of copyright lines only, has the digest of an empty string and no licence, even
     if a known licence were empty. Rows that repeat an id are scanned each by itself; null ids stay null; an empty
     table gives an empty result; other columns are not read.
     """
-    whole = _bounded(_digests(licenses))
+    whole = _bounded(_digests(licenses, digests))
     lines = notices.select("license", F.array_join(canonical_lines(F.col("text")), " ").alias("line")).where("line <> ''")
     longest = lines.agg(F.coalesce(F.max(F.length("line")), F.lit(0)).alias("n")).first()["n"]
     single = _bounded(lines.select(F.sha2("line", 256).alias("line_digest"), F.col("license").alias("notice")).distinct())
@@ -99,7 +101,8 @@ def scan_licenses(docs: DataFrame, licenses: DataFrame, notices: DataFrame, id_c
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame(LICENSES, "license string, text string")
     notices = spark.createDataFrame(NOTICES, "license string, text string")
-    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), known, notices)
+    digests = spark.createDataFrame(DIGESTS, "license string, digest string")
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), known, notices, digests=digests)
 
 
 def _sql() -> str:
@@ -108,12 +111,12 @@ def _sql() -> str:
         line = f"replace({line}, '{old}', '{new}')"
     values = lambda rows: ", ".join("('" + k + "', '" + t.replace("'", "''") + "')" for k, t in rows)
     return f"""
-WITH lic(license, text) AS (VALUES {values(LICENSES)}), note(license, text) AS (VALUES {values(NOTICES)}),
+WITH lic(license, text) AS (VALUES {values(LICENSES)}), more(license, digest) AS (VALUES {values(DIGESTS)}), note(license, text) AS (VALUES {values(NOTICES)}),
 every AS (
   SELECT 'd' AS kind, doc_id AS id, '' AS license, text FROM documents UNION ALL SELECT 'l', 0, license, text FROM lic UNION ALL SELECT 'n', 0, license, text FROM note),
 norm AS (
   SELECT kind, id, license, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[\\r\\n]+'), lambda x: {line}), lambda x: x <> '' AND (NOT regexp_matches(x, '{COPYRIGHT}') OR regexp_matches(x, '{WORDING}'))) AS lines FROM every),
-whole AS (SELECT sha256(array_to_string(lines, ' ')) AS digest, min(license) AS license FROM norm WHERE kind = 'l' GROUP BY 1),
+whole AS (SELECT digest, min(license) AS license FROM (SELECT sha256(array_to_string(lines, ' ')) AS digest, license FROM norm WHERE kind = 'l' UNION ALL SELECT digest, license FROM more) GROUP BY 1),
 single AS (SELECT DISTINCT array_to_string(lines, ' ') AS line, license FROM norm WHERE kind = 'n'),
 doc AS (SELECT id, lines, sha256(array_to_string(lines, ' ')) AS digest FROM norm WHERE kind = 'd'),
 hit AS (SELECT id, list_sort(list_distinct(list(license))) AS notices FROM (SELECT id, unnest(lines) AS line FROM doc) JOIN single USING (line) GROUP BY id)
