@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from logsentinel.functions import scalars as S
 from logsentinel.functions.scalars import fixed
+from logsentinel.operators.state import load_state, newest_version
 
 
 def recorded(df: DataFrame, ms: int = 30_000) -> DataFrame:
@@ -83,6 +85,50 @@ def merge_feed(old: DataFrame, new: DataFrame, generation: int, keep: int = 2) -
     return both.groupBy("entry").agg(F.max("generation").alias("generation")).where(F.col("generation") >= generation - keep)
 
 
+#: Type bits of a listed address and of a listed domain, and the confidence of an entry whose feed states none.
+MALICIOUS_IP, MALICIOUS_DOMAIN, CONFIDENCE = 1, 2, 80
+
+
+def feed_entries(lines: DataFrame, *keep: str) -> DataFrame:
+    """(entry, kind, types, confidence, source_id, and ``keep``) of feed lines (value, source_id): addresses (kind ``ip``) first, else domains (3 to 253
+    characters with a dot). Blank lines, comments (``#``) and whatever is neither are left out.
+    """
+    entry = F.btrim("value", F.lit(" \t\r\n\x0b\f"))
+    kind = F.when(S.ip_number(entry) > 0, "ip").when(entry.contains(".") & F.length(entry).between(3, 253), "domain")
+    types = F.when(kind == "ip", MALICIOUS_IP).otherwise(MALICIOUS_DOMAIN)
+    out = lines.where(~entry.startswith("#")).select(entry.alias("entry"), kind.alias("kind"), types.alias("types"), F.lit(CONFIDENCE).alias("confidence"), "source_id", *keep)
+    return out.where("kind IS NOT NULL")
+
+
+def newest_infos(entries: DataFrame) -> DataFrame:
+    """(kind, entry, types, confidence, source_id, generation): of each entry what the newest generation says, there the last source."""
+    info = F.max(F.struct("generation", "source_id", "types", "confidence")).alias("i")
+    return entries.groupBy("kind", "entry").agg(info).select("kind", "entry", "i.types", "i.confidence", "i.source_id", F.col("i.generation").cast("long").alias("generation"))
+
+
+def merge_feed_infos(current: DataFrame, new: DataFrame, generation: int, keep: int = 2) -> DataFrame:
+    """``current`` with the entries of a new load as ``generation``; entries older than ``generation`` - ``keep`` go."""
+    stamped = new.withColumn("generation", F.lit(generation).cast("long")).select("kind", "entry", "types", "confidence", "source_id", "generation")
+    return newest_infos(current.unionByName(stamped)).where(F.col("generation") >= generation - keep)
+
+
+def refresh_feed(spark: SparkSession, path: str, lines: DataFrame) -> int:
+    """Loads feed lines as the next generation and stores the merged table as ``path/version=N``; returns N.
+
+    A load that fails leaves a folder without ``_SUCCESS``: readers (``state.load_state``) keep the generation before, and the next load takes
+    the same number again. The first load is generation 1.
+    """
+    version = newest_version(spark, path)
+    fresh = feed_entries(lines)
+    if version is None:
+        merged = newest_infos(fresh.withColumn("generation", F.lit(1)))
+    else:
+        merged = merge_feed_infos(load_state(spark, path, version), fresh, version + 1)
+    version = (version or 0) + 1
+    merged.write.mode("overwrite").parquet(f"{path}/version={version}")
+    return version
+
+
 def dominant(spectrum: DataFrame, key: str, size: int, most: int = 3) -> DataFrame:
     """The strongest frequencies of each key between 1 and size / 2, with their share of all magnitudes."""
     w = W.partitionBy(key)

@@ -61,3 +61,31 @@ def session_events(running: DataFrame) -> DataFrame:
         F.when(c("session_failed") > 0, one("session_failed_logins", c("session_failed"))), one("session_request_frequency", c("session_requests")),
     ]
     return running.select("ip", "ts_ms", "line_no", F.explode(F.array_compact(F.array(*items))).alias("e")).select("e.entity_type", F.col("ip").alias("entity_id"), "ts_ms", "line_no", "e.value")
+
+
+#: Request methods that are counted by name; all others together.
+METHODS = ["GET", "HEAD", "POST", "PUT", "DELETE", "CONNECT", "OPTIONS", "TRACE", "PATCH"]
+
+
+def session_details(running: DataFrame) -> DataFrame:
+    """One row for each session (``session_id``) with all that is kept of it: what ``running_sessions`` says at its last request (so requests of the
+    window that ends there), requests by method (``GET:3,POST:1,other:1``), number, mean and deviation of times and sizes, and the last ``LAST`` paths in order.
+
+    A figure over no or (deviation) one value is null or 0; requests without a method are in none of the method counts. No more than ``LAST`` paths of a session are gathered.
+    """
+    c = F.col
+    state = {
+        "requests": "session_requests", "requests_window": "session_req_window", "duration_s": "session_duration_s", "paths": "session_paths", "agents": "session_agents", "errors_4xx": "session_4xx",
+        "errors_5xx": "session_5xx", "failed_logins": "session_failed", "gap_s": "session_gap_s", "post_get": "session_post_get",
+    }
+    latest = W.partitionBy("session_id").orderBy(F.desc("ts_ms"), F.desc("line_no"))
+    rows = running.withColumn("__back", F.row_number().over(latest))
+    named = lambda name, n: F.when(n > 0, F.concat(F.lit(f"{name}:"), n.cast("string")))
+    methods = [named(m, F.count_if(c("method") == m)) for m in METHODS] + [named("other", F.count_if(c("method").isNotNull() & ~c("method").isin(METHODS)))]
+    spread = lambda x: F.coalesce(F.stddev_samp(x), F.lit(0.0))
+    one = rows.groupBy("session_id").agg(
+        F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.max(F.when(c("__back") == 1, F.struct(*[c(v).alias(k) for k, v in state.items()]))).alias("s"), F.concat_ws(",", *methods).alias("methods"),
+        F.count("request_time_s").alias("time_n"), F.avg("request_time_s").alias("time_mean"), spread("request_time_s").alias("time_sd"), F.count("bytes_sent").alias("bytes_n"), F.avg("bytes_sent").alias("bytes_mean"), spread("bytes_sent").alias("bytes_sd"),
+        F.array_sort(F.collect_list(F.when(c("__back") <= LAST, F.struct("ts_ms", "line_no", "path")))).alias("p"),
+    )
+    return one.select("session_id", "start_ms", "end_ms", "s.*", "methods", "time_n", "time_mean", "time_sd", "bytes_n", "bytes_mean", "bytes_sd", F.array_join(c("p.path"), " ").alias("last_paths"))

@@ -30,14 +30,21 @@ def save_state(states: DataFrame, path: str, version: int) -> None:
     states.write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    """The newest whole version below ``path``, None without one. A folder without ``_SUCCESS`` was not finished."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath() for f in fs.listStatus(root)] if fs.exists(root) else []
+    return max((int(p.getName().split("=")[1]) for p in names if p.getName().startswith("version=") and fs.exists(jvm.Path(p, "_SUCCESS"))), default=None)
+
+
 def load_state(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """A version of the state, the newest whole one by default. A folder without ``_SUCCESS`` was not finished."""
+    """A version of the state, the newest whole one by default."""
+    if version is None:
+        version = newest_version(spark, path)
     if version is None:
-        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath() for s in fs.listStatus(root)]
-        whole = [int(p.getName().split("=")[1]) for p in names if p.getName().startswith("version=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        version = max(whole)
+        raise FileNotFoundError(f"no whole version in {path}")
     return spark.read.parquet(f"{path}/version={version}")
 
 

@@ -55,6 +55,28 @@ def _(spark, d):
     return N.session_events(N.running_sessions(Q.log(spark, d), C)).withColumn("value", F.round(F.col("value") + 1e-9, 4))
 
 
+def _methods() -> str:
+    named = lambda name, c: f"CASE WHEN count(*) FILTER ({c}) > 0 THEN concat('{name}:', count(*) FILTER ({c})) END"
+    others = ", ".join(f"'{m}'" for m in N.METHODS)
+    return f"concat_ws(',', {', '.join(named(m, f"method = '{m}'") for m in N.METHODS)}, {named('other', f'method NOT IN ({others})')})"
+
+
+DETAILS = ["duration_s", "gap_s", "post_get", "time_mean", "time_sd", "bytes_mean", "bytes_sd"]
+
+
+@query("session_details", with_log(f"""SELECT session_id, start_ms, end_ms, requests, requests_window, paths, agents, errors_4xx, errors_5xx, failed_logins, methods, time_n, bytes_n, last_paths, {Q._even_sql(*DETAILS)} FROM (
+  SELECT session_id, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count(*) AS requests, count(*) FILTER (ts_ms > last_ms - {C.window_ms}) AS requests_window, count(DISTINCT path) AS paths, count(DISTINCT user_agent) AS agents,
+    count(*) FILTER (status BETWEEN 400 AND 499) AS errors_4xx, count(*) FILTER (status BETWEEN 500 AND 599) AS errors_5xx, CAST(sum({FAILED}) AS BIGINT) AS failed_logins, {_methods()} AS methods,
+    count(request_time_s) AS time_n, avg(request_time_s) AS time_mean, coalesce(stddev_samp(request_time_s), 0.0) AS time_sd, count(bytes_sent) AS bytes_n, avg(bytes_sent) AS bytes_mean, coalesce(stddev_samp(bytes_sent), 0.0) AS bytes_sd,
+    (max(ts_ms) - min(ts_ms)) / 1000.0 AS duration_s, CASE WHEN count(*) > 1 THEN (max(ts_ms) - min(ts_ms) FILTER (back <= {N.LAST})) / 1000.0 / (least(count(*), {N.LAST}) - 1) END AS gap_s,
+    CASE WHEN count(*) FILTER (method = 'GET') > 0 THEN count(*) FILTER (method = 'POST') / count(*) FILTER (method = 'GET') ELSE 0.0 END AS post_get,
+    string_agg(path, ' ' ORDER BY ts_ms, line_no) FILTER (back <= {N.LAST}) AS last_paths
+  FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms DESC, line_no DESC) AS back, max(ts_ms) OVER (PARTITION BY session_id) AS last_ms FROM ss) GROUP BY session_id)""", _sessions("al")))
+def _(spark, d):
+    out = N.session_details(N.running_sessions(Q.log(spark, d), C))
+    return out.select(*[c for c in out.columns if c not in DETAILS], *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in DETAILS])
+
+
 def _features(spark, d):
     return I.features(N.running_sessions(E.enrich(Q.log(spark, d), C), C))
 
@@ -176,6 +198,22 @@ def _(spark, d):
     return P.merge_feed(old, rows.where("status = 500").select(F.col("ip").alias("entry")), 4)
 
 
+#: Lines of three feeds out of the log: addresses, hosts, comments and what is neither.
+FEED = """fl AS (SELECT line_no, status, CASE line_no % 5 WHEN 0 THEN concat('  ', ip, ' ') WHEN 1 THEN concat('host', line_no % 37, '.example.com') WHEN 2 THEN concat('# ', ip) WHEN 3 THEN 'ab' ELSE ip END AS value, CAST(line_no % 3 + 1 AS INT) AS source_id FROM al),
+fe AS (SELECT trim(value) AS entry, CASE WHEN value LIKE '%host%' THEN 'domain' ELSE 'ip' END AS kind, source_id, line_no, status FROM fl WHERE line_no % 5 IN (0, 1, 4)),
+fg AS (SELECT entry, kind, source_id, line_no % 4 AS generation FROM fe WHERE status >= 400 UNION ALL SELECT entry, kind, source_id, 4 FROM fe WHERE status = 500)"""
+
+
+@query("feed_infos", with_log("""SELECT kind, entry, types, CAST(80 AS INT) AS confidence, source_id, CAST(generation AS BIGINT) AS generation FROM (
+  SELECT *, CASE kind WHEN 'ip' THEN 1 ELSE 2 END AS types, row_number() OVER (PARTITION BY kind, entry ORDER BY generation DESC, source_id DESC) AS r FROM fg) WHERE r = 1 AND generation >= 2""", FEED))
+def _(spark, d):
+    rows, n = Q.log(spark, d), F.col("line_no")
+    value = F.when(n % 5 == 0, F.concat(F.lit("  "), "ip", F.lit(" "))).when(n % 5 == 1, F.concat(F.lit("host"), (n % 37).cast("string"), F.lit(".example.com"))).when(n % 5 == 2, F.concat(F.lit("# "), "ip")).when(n % 5 == 3, "ab").otherwise(F.col("ip"))
+    lines = rows.select("line_no", "status", value.alias("value"), (n % 3 + 1).cast("int").alias("source_id"))
+    old = P.feed_entries(lines.where("status >= 400").withColumn("generation", n % 4), "generation")
+    return P.merge_feed_infos(P.newest_infos(old), P.feed_entries(lines.where("status = 500")), 4)
+
+
 @query("dominant_freq")
 def _(spark, d):
     return P.dominant(Q.spectrum(spark, d), "path", 24)
