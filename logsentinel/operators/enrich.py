@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from logsentinel.config import Config
 from logsentinel.functions import scalars as S
-from logsentinel.operators.blocks import address_features, present, running_stats
+from logsentinel.operators.blocks import HOUR, address_features, present, running_stats
 
 
 def seq(*keys: str) -> W:
@@ -94,11 +94,26 @@ def ua_cycling(df: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def sessionize(df: DataFrame, cfg: Config = Config(), keys: tuple[str, ...] = ("ip", "user_agent")) -> DataFrame:
-    """session_no counts the key's sessions from 1; a gap of over ``session_gap_s`` begins a new one."""
-    order = W.partitionBy(*keys).orderBy("ts_ms", "line_no")
-    gap = F.col("ts_ms") - F.lag("ts_ms").over(order) > cfg.session_gap_s * 1000
-    df = df.withColumn("__new", F.coalesce(gap, F.lit(True)).cast("int"))
-    return df.withColumn("session_no", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("__new")
+    """session_no counts the key's sessions from 1; a gap of over ``session_gap_s`` begins a new one.
+
+    A key's rows are cut into blocks of time. A pass over keys and times alone gives one row for each block, with the time before it and the sessions
+    so far; these rows are mixed into their blocks as markers in front of the first row, so that no task sees more than a block of a key.
+    """
+    gap_ms = cfg.session_gap_s * 1000
+    length = max(4 * gap_ms, HOUR)
+    rows = df.withColumn("__block", F.floor(F.col("ts_ms") / length))
+    fresh = lambda order: F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(order) > gap_ms, F.lit(True)).cast("long")
+    each = rows.select(*keys, "__block", "ts_ms").withColumn("__new", fresh(W.partitionBy(*keys, "__block").orderBy("ts_ms")))
+    blocks = each.groupBy(*keys, "__block").agg(F.min("ts_ms").alias("__first"), F.max("ts_ms").alias("ts_ms"), F.sum("__new").alias("__new"))
+    far = W.partitionBy(*keys).orderBy("__block")
+    goes_on = F.coalesce(F.col("__first") - F.lag("ts_ms").over(far) <= gap_ms, F.lit(False)).cast("long")
+    blocks = blocks.withColumns({"__before": F.lag("ts_ms").over(far), "__nth": F.row_number().over(far), "__sessions": F.col("__new") - goes_on})
+    markers = blocks.withColumn("__carry", F.sum("__sessions").over(far.rowsBetween(W.unboundedPreceding, -1))).where("__nth > 1")
+    mixed = rows.unionByName(markers.select(*keys, "__block", F.col("__before").alias("ts_ms"), "__carry"), allowMissingColumns=True)
+    order = W.partitionBy(*keys, "__block").orderBy(F.col("__carry").isNull(), "ts_ms", "line_no")
+    mixed = mixed.withColumn("__new", F.coalesce("__carry", fresh(order)))
+    counted = mixed.withColumn("session_no", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return counted.where("__carry IS NULL").select(*df.columns, "session_no")
 
 
 def session_summary(df: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from logsentinel.config import Config
+from logsentinel.operators import enrich as E
 from logsentinel.operators import reports as P
 from logsentinel.operators import sessions as N
 from logsentinel.operators.state import load_state
@@ -57,3 +59,42 @@ def test_session_details(spark):
 def test_session_details_of_an_empty_log(spark):
     schema = "line_no long, ts_ms long, ip string, user_agent string, path string, method string, status int, request_time_s double, bytes_sent long"
     assert N.session_details(N.running_sessions(spark.createDataFrame([], schema).withColumn("more", F.lit(1)))).count() == 0
+
+
+def test_sessions_in_blocks_equal_the_plain_form(spark):
+    """Gaps inside blocks, at their edges and over many empty blocks; null agents; ties; a row without a time."""
+    rng = np.random.default_rng(4)
+    cfg = Config()
+    gap = cfg.session_gap_s * 1000
+    rows = []
+    for key in range(4):
+        t = 0
+        for i in range(400):
+            t += int(rng.choice([0, 1, 1000, gap - 1, gap, gap + 1, 5 * gap, 40 * gap], p=[0.1, 0.1, 0.4, 0.1, 0.1, 0.1, 0.05, 0.05]))
+            rows.append((1000 * key + i, t, f"10.0.0.{key % 2}", None if key > 1 else "agent"))
+    rows.append((9999, None, "10.0.0.0", "agent"))
+    rng.shuffle(rows)
+    rows = [(int(n), None if t is None else int(t), ip, ua) for n, t, ip, ua in rows]
+    log = spark.createDataFrame(rows, "line_no long, ts_ms long, ip string, user_agent string")
+    got = {r["line_no"]: r["session_no"] for r in E.sessionize(log, cfg).collect()}
+    want, state = {}, {}
+    for n, t, ip, ua in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])):
+        last, count = state.get((ip, ua), (None, 0))
+        count += last is None or t is None or t - last > gap
+        state[ip, ua] = (t, count)
+        want[n] = count
+    assert got == want
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    """One address and agent with all of the rows: no task has much more than its share of the sessions' rows."""
+    log = spark.range(40_000).selectExpr("id AS line_no", "id * 60000 AS ts_ms", "'10.0.0.1' AS ip", "'a' AS user_agent")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        sizes = [r["count"] for r in E.sessionize(log).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("count"), F.max("session_no")).collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 40_000 and len(sizes) == 8 and max(sizes) < 2 * sorted(sizes)[4]
