@@ -9,7 +9,7 @@ from logsentinel.config import Config
 from logsentinel.functions.scalars import fixed
 from logsentinel.operators.lookups import in_blocks
 from logsentinel.operators.reports import printable
-from logsentinel.operators.rules import candidates
+from logsentinel.operators.rules import candidates, raised, reason_of
 
 COLUMNS = ["line_no", "ts_ms", "ip", "rule", "tier", "action", "score", "reason", "key"]
 
@@ -39,10 +39,11 @@ def alert_table(enriched: DataFrame, cfg: Config, threats: DataFrame, allowed: D
     Rows of allowed addresses raise nothing. Windows and statistics were taken over all rows before. Columns of the row that are named in
     ``context`` go along with its alerts.
     """
-    listed = F.array(F.struct(F.lit("threat_list").alias("rule"), F.lit("tier1").alias("tier"), F.lit("BLOCK").alias("action"), F.lit(100.0).alias("score"), F.lit("IP is on external threat intelligence blacklist").alias("reason"), F.col("ip").alias("key")))
-    found = F.when(F.col("checked") == "threat", listed).when(F.col("checked") == "rules", candidates(cfg, tiers, sessions=True))
+    listed = F.array(F.struct(F.lit("threat_list").alias("rule"), F.lit("tier1").alias("tier"), F.lit("BLOCK").alias("action"), F.lit(100.0).alias("score"), F.col("ip").alias("key")))
+    found = F.when(F.col("checked") == "threat", listed).when(F.col("checked") == "rules", candidates(cfg, tiers, sessions=True, exact="ip_time_over" in enriched.columns, reasons=False))
     along = [c for c in context or [] if c not in COLUMNS]
-    out = precheck(enriched, threats, allowed).select("line_no", "ts_ms", "ip", *along, F.explode(found).alias("a")).select("line_no", "ts_ms", "ip", *along, "a.*")
+    reason = reason_of("a.rule", cfg, tiers, sessions=True, more={"threat_list": "IP is on external threat intelligence blacklist"})
+    out = raised(precheck(enriched, threats, allowed), found, reason, along)
     for m in more:
         out = out.unionByName(m, allowMissingColumns=True)
     return out.select(*COLUMNS, *along)
