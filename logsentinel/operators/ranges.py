@@ -23,15 +23,22 @@ def increases(samples: DataFrame, keys: list[str], step_ms: int, range_ms: int,
     """(keys, at_ms, increase, rate, samples): growth of counters over ranges, from samples (keys, ts_ms, ``order``, value) that may come at any time.
 
     Growth is counted between samples that both lie in the range, as a counter knows nothing of what was before; a fall is a reset to 0.
-    Samples of an instant come in order of ``order``. Ranges with one sample have no increase (null). Null values are left out.
+    Samples of an instant come in order of ``order``. Ranges with one sample have no increase (null). Samples without a value or a time are left out.
     """
-    there = samples.where("value IS NOT NULL")
-    before = F.lag("value").over(W.partitionBy(*keys).orderBy("ts_ms", order))
+    # a path's samples are cut into blocks of time; the last one of a block is mixed into the next as a marker in front of its rows
+    there = samples.where("value IS NOT NULL AND ts_ms IS NOT NULL").withColumn("__block", F.floor(F.col("ts_ms") / max(range_ms, step_ms)))
+    last = there.groupBy(*keys, "__block").agg(F.max_by("value", F.struct("ts_ms", order)).alias("value"))
+    markers = last.withColumn("__block", F.lead("__block").over(W.partitionBy(*keys).orderBy("__block"))).where("__block IS NOT NULL")
+    mixed = there.select(*keys, "__block", "ts_ms", order, "value").unionByName(markers, allowMissingColumns=True)
+    before = F.lag("value").over(W.partitionBy(*keys, "__block").orderBy("ts_ms", order))
     step = F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-    steps = there.select(*keys, "ts_ms", order, F.coalesce(step, F.lit(0)).cast("double").alias("step"))
-    grown = steps.select("*", F.explode(at_times(step_ms, range_ms)).alias("at_ms"))
-    inside = F.sum("step") - F.min_by("step", F.struct("ts_ms", order))  # the first sample's growth began outside
-    out = grown.groupBy(*keys, "at_ms").agg(F.count("*").alias("samples"), F.when(F.count("*") > 1, inside).alias("increase"))
+    steps = mixed.select(*keys, "ts_ms", order, F.coalesce(step, F.lit(0)).cast("double").alias("step")).where("ts_ms IS NOT NULL")
+    # samples that lie in the same ranges become one row before they are dealt out
+    ends = [F.ceil(F.col("ts_ms") / step_ms).alias("__from"), F.ceil((F.col("ts_ms") + range_ms) / step_ms).alias("__to")]
+    cells = steps.select("*", *ends).groupBy(*keys, "__from", "__to").agg(F.count("*").alias("n"), F.sum("step").alias("all"), F.min(F.struct("ts_ms", order, "step")).alias("first"))
+    grown = cells.select("*", F.explode(at_times(step_ms, range_ms, "first.ts_ms")).alias("at_ms"))
+    inside = F.sum("all") - F.min("first")["step"]  # the first sample's growth began outside
+    out = grown.groupBy(*keys, "at_ms").agg(F.sum("n").alias("samples"), F.when(F.sum("n") > 1, inside).alias("increase"))
     return out.select(*keys, "at_ms", "increase", (F.col("increase") / (range_ms / 1000.0)).alias("rate"), "samples")
 
 
