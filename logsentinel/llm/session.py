@@ -2,37 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def _folder(df: DataFrame) -> str:
-    """The folder for checkpoints; a temporary one is set where ``spark.checkpoint.dir`` is absent and the master is local.
-
-    On a cluster executors don't share a temporary folder, so its absence is an error there.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and sc.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint."""
-    _folder(df)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the checkpoint folder: compressed, read by column, and smaller than a checkpoint."""
-    path = f"{_folder(df)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from logsentinel.sources.kept import checkpoint, stored  # noqa: F401  operators import them from here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
