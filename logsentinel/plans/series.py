@@ -13,6 +13,7 @@ from logsentinel.operators import state as S
 from logsentinel.plans import more
 from logsentinel.plans import registry as Q
 from logsentinel.plans.registry import ALERTS, DAY, query, with_log
+from logsentinel.sources.kept import stored
 
 MINUTE, HOUR = 60_000, 3_600_000
 
@@ -86,7 +87,8 @@ _RULE_SQL = [
 
 @query("rule_table", f"{ALERTS}, {RULE_VALUES} " + " UNION ALL ".join(_RULE_SQL))
 def _(spark, d):
-    return R.rule_alerts(_increments(spark, d), RULES, HOUR).withColumn("value", F.round(F.col("value") + 1e-9, 6))
+    # the rules read them several times, and alerts cost most
+    return R.rule_alerts(stored(_increments(spark, d)), RULES, HOUR).withColumn("value", F.round(F.col("value") + 1e-9, 6))
 
 
 _MOVES = """mv AS (SELECT path, line_no, ts_ms, r, lag(p) OVER (PARTITION BY path ORDER BY ts_ms, line_no) AS old_threshold, p AS new_threshold
