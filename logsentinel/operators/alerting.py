@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logsentinel.config import Config
 from logsentinel.functions.scalars import fixed
 from logsentinel.operators.lookups import in_blocks
-from logsentinel.operators.reports import printable
+from logsentinel.operators.reports import contexts, printable
 from logsentinel.operators.rules import candidates, raised, reason_of
 
 COLUMNS = ["line_no", "ts_ms", "ip", "rule", "tier", "action", "score", "reason", "key"]
@@ -55,26 +55,10 @@ def alert_documents(alerts: DataFrame) -> DataFrame:
     Missing numbers are 0, strings keep only printable ASCII; a row without a running session has a null session_context.
     ``alerts`` carry the columns of their row (``context`` of the rules); alerts without a line get no document.
     """
-    there = set(alerts.columns)
-    text = lambda c: printable(F.coalesce(F.col(c), F.lit(""))) if c in there else F.lit("")
-    number = lambda c, kind="double": F.coalesce(F.col(c), F.lit(0)).cast(kind) if c in there else F.lit(0).cast(kind)
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in there else F.lit(False)
-    part = lambda make, names: F.struct(*[make(c).alias(n) for n, c in names.items()])
-    log = F.struct(
-        text("ip").alias("source_ip"), F.col("line_no").alias("line_number"), text("host").alias("host"), text("ts_str").alias("timestamp_str"), text("method").alias("request_method"), text("path").alias("request_path"),
-        text("protocol").alias("request_protocol"), number("status", "int").alias("status_code"), number("bytes_sent", "long").alias("bytes_sent"), number("request_time_s").alias("request_time_s"), text("user_agent").alias("user_agent"),
-        text("referer").alias("referer"), text("country").alias("country_code"), text("request_id").alias("x_request_id"),
-    )
-    flags = part(flag, {"is_first_request_from_ip": "is_first", "is_path_new_for_ip": "is_path_new", "is_ua_missing": "ua_missing", "is_ua_changed_for_ip": "ua_changed", "is_ua_known_bad": "ua_bad", "is_ua_outdated": "ua_outdated", "is_ua_headless": "ua_headless", "is_ua_inconsistent": "ua_inconsistent", "is_ua_cycling": "ua_cycling"})
-    counts = part(lambda c: number(c, "long"), {"ip_request_count": "ip_req_window", "ip_failed_login_count": "ip_failed_window", "ip_html_requests": "html_window", "ip_asset_requests": "asset_window"})
-    windowed = F.struct(counts["ip_request_count"].alias("ip_request_count"), counts["ip_failed_login_count"].alias("ip_failed_login_count"), counts["ip_html_requests"].alias("ip_html_requests"), counts["ip_asset_requests"].alias("ip_asset_requests"), number("asset_ratio").alias("ip_assets_per_html_ratio"))
-    z = part(number, {"ip_req_time": "ip_time_z", "ip_bytes_sent": "ip_bytes_z", "ip_error_event": "ip_error_z", "ip_req_volume": "ip_vol_z", "path_req_time": "path_time_z", "path_bytes_sent": "path_bytes_z", "path_error_event": "path_error_z"})
-    session = part(number, {"request_count": "session_requests", "unique_paths": "session_paths", "unique_uas": "session_agents", "failed_logins": "session_failed", "errors_4xx": "session_4xx", "errors_5xx": "session_5xx", "avg_time_between_reqs_s": "session_gap_s", "post_to_get_ratio": "session_post_get"})
-    session = F.when(F.col("session_requests").isNotNull(), session) if "session_requests" in there else F.lit(None).cast("struct<request_count:double>")
-    analysis = F.struct(flags.alias("flags"), windowed.alias("windowed_stats"), z.alias("z_scores"), session.alias("session_context"))
+    log, analysis, raw = contexts(alerts)
     document = F.struct(
         F.col("ts_ms").alias("timestamp_ms"), printable(F.col("reason")).alias("alert_reason"), F.col("tier").alias("detection_tier"), F.col("action").alias("suggested_action"), F.col("action").alias("action_code"),
-        F.round("score", 6).alias("anomaly_score"), printable(F.col("key")).alias("offending_key"), F.lit("").alias("ml_contributing_factors"), log.alias("log_context"), analysis.alias("analysis_context"), text("raw").alias("raw_log_line"),
+        F.round("score", 6).alias("anomaly_score"), printable(F.col("key")).alias("offending_key"), F.lit("").alias("ml_contributing_factors"), log.alias("log_context"), analysis.alias("analysis_context"), raw.alias("raw_log_line"),
     )
     return alerts.where("line_no IS NOT NULL").select("line_no", "rule", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
 
